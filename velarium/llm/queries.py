@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .packing import op10_packing
+from .quality_rules import op6_quality_rules
+from .simhash import op3_simhash
 from .token_counts import op4_token_counts
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op6_quality_rules": op6_quality_rules,
     "op10_packing": op10_packing,
 }
 

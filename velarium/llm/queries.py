@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op7_mixing
 from .packing import op10_packing
 from .quality_rules import op6_quality_rules
 from .simhash import op3_simhash
@@ -11,6 +12,7 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
     "op6_quality_rules": op6_quality_rules,
+    "op7_mixing": op7_mixing,
     "op10_packing": op10_packing,
 }
 

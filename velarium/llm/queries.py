@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from .lm_scoring import op8_lm_scoring
 from .mixing import op7_mixing
 from .packing import op10_packing
+from .quality_model import op5_quality_classifier
 from .quality_rules import op6_quality_rules
 from .simhash import op3_simhash
 from .token_counts import op4_token_counts
+from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
+    "op8_lm_scoring": op8_lm_scoring,
     "op10_packing": op10_packing,
 }
 

@@ -21,6 +21,7 @@ texts score as texts without words. Repeated rows score alike; an empty table gi
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -193,6 +194,19 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def first_of_copies(index: np.ndarray, bounds: np.ndarray, words: pa.Array) -> np.ndarray:
+    """False for texts whose three words of smallest hash are those of an earlier text: near
+    copies would make all their words look bound to their label."""
+    order = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words))
+    seen, out = set(), np.ones(len(bounds) - 1, bool)
+    for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+        if b - a >= 3:
+            key = tuple(np.sort(order[index[a:b]])[:3])
+            out[i] = key not in seen
+            seen.add(key)
+    return out
+
+
 def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
     """From (id, text, y). Workers send each text's distinct words."""
     ship(sample.sparkSession)
@@ -218,56 +232,55 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
         return ToxicityModel(np.zeros(SIGNS**3, np.float32), 0.0, np.array([0, 0, 0, 0, np.log(share / (1 - share))]))
     lists = got.column("w").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    text = np.repeat(np.arange(len(y)), np.diff(lists.offsets.to_numpy()))
+    bounds = lists.offsets.to_numpy()
     counts = got.column("c").combine_chunks()
     counts = (counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts).flatten().to_numpy()
     d = lists.flatten().dictionary_encode()
     index, words = d.indices.to_numpy(), d.dictionary
+    single = first_of_copies(index, bounds, words)
+    text = np.repeat(np.arange(len(y)), np.diff(bounds))
+    once = single[text]
     rng = np.random.default_rng(SEED)
 
-    toxic, clean = np.bincount(index[y[text]], minlength=len(words)), np.bincount(index[~y[text]], minlength=len(words))
-    a, b = (toxic + 0.5) / (y.sum() + 1), (clean + 0.5) / ((~y).sum() + 1)
-    z = (np.log(a) - np.log(b)) / np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+    hit = np.bincount(index[once & y[text]], minlength=len(words))
+    clean = np.bincount(index[~y[text]], minlength=len(words))
+    n_hit, n_clean = (y & single).sum(), (~y).sum()
+    a, b = (hit + 0.5) / (n_hit + 1), (clean + 0.5) / (n_clean + 1)
+    z = (np.log(a) - np.log(b)) / np.sqrt(1 / (hit + 0.5) + 1 / (clean + 0.5))
     strong = np.argsort(-z, kind="stable")[: LANDMARKS // 2]
-    frequent = np.argsort(-(clean - 1e9 * (z > 1)), kind="stable")[: LANDMARKS // 2]
+    frequent = np.argsort(np.where(z > 1, 0, -clean), kind="stable")[: LANDMARKS // 2]
     chosen = np.unique(np.append(strong, frequent))
     marks = dense(words.take(pa.array(chosen)))
     value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
-    good = value > 1e-6
+    good = value > 1e-4 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # Nyström map
 
     in_clean = np.flatnonzero(clean > 0)
-    pool = rng.choice(in_clean, min(len(in_clean), 40_000), replace=False, p=None)
-    pool = np.unique(np.concatenate([pool, np.argsort(-clean, kind="stable")[:4000]]))
-    pool = pool[clean[pool] > 0]
-    positive = np.flatnonzero((z > 3.0) & (toxic >= 3) & (a > 4 * b))
-    if not len(positive):
-        positive = strong[:10]
-    margin = None
+    pool = rng.choice(in_clean, min(len(in_clean), 30_000), replace=False)
+    pool = np.union1d(pool, in_clean[np.argsort(-clean[in_clean], kind="stable")[:4000]])
+    positive = np.flatnonzero((z > 3.5) & (hit >= 4) & (a > 5 * b))
+    if len(positive) < 5:
+        positive = strong[:5]
     for r in range(rounds):
         pool = np.setdiff1d(pool, positive)
         rows = np.concatenate([positive, pool])
         x = kernel(words.take(pa.array(rows)), marks) @ root
         yy = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
-        ww = np.where(yy > 0, np.log1p(toxic[rows]), np.log1p(clean[rows]))
-        ww[yy > 0] *= 0.5 * ww[yy < 0].sum() / max(ww[yy > 0].sum(), 1e-9)
+        ww = np.where(yy > 0, np.log1p(hit[rows]), np.log1p(clean[rows]))
+        ww[yy > 0] *= 0.3 * ww[yy < 0].sum() / max(ww[yy > 0].sum(), 1e-9)
         w, bias = hinge(x, yy, ww)
         weights = (marks.T @ (root @ w)).astype(np.float32)
-        model = ToxicityModel(weights, bias, np.zeros(5))
-        margin = model.margins(words)
+        margin = ToxicityModel(weights, bias, np.zeros(5)).margins(words)
         if r == rounds - 1:
             break
-        m = margin[index]
-        best = np.full(len(y), -np.inf)
-        np.maximum.at(best, text, m)
-        witness = (m >= best[text] - 1e-12) & y[text] & (m > -0.5)
-        positive = np.unique(np.append(index[witness & (z[index] > 0.5)], positive))
-        hard = np.unique(index[~y[text] & (m > -0.7)])
-        pool = np.union1d(pool, hard[np.argsort(-margin[hard], kind="stable")[:20_000]])
-        positive = positive[(clean[positive] * (y.sum() + 1)) <= toxic[positive] * ((~y).sum() + 1) * 0.5]
-    total = np.zeros((len(y), 5))
-    rep_text, rep_margin = np.repeat(text, counts), np.repeat(margin[index], counts)
-    total = text_figures(rep_margin, rep_text, len(y))
+        # witnesses: words of toxic texts only, over the margin; hard negatives: the nearest of clean texts
+        witness = np.flatnonzero((hit > 0) & (clean == 0) & (margin > 0.5) & (z > 1))
+        positive = np.union1d(positive[(margin[positive] > 0) | (z[positive] > 0.4 * z.max())], witness)
+        if len(positive) < 5:
+            positive = strong[:5]
+        hard = in_clean[np.argsort(-margin[in_clean], kind="stable")[:10_000]]
+        pool = np.union1d(pool, hard)
+    total = text_figures(np.repeat(margin[index], counts), np.repeat(text, counts), len(y))
     return ToxicityModel(weights, bias, logistic(total, y.astype(float)))
 
 

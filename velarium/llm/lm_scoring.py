@@ -340,7 +340,7 @@ def scored(docs: DataFrame, held_out: str, model: _Handle | None = None, id_col:
     tokens = texts.where("NOT held_out").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     log_all = float(np.log10(tokens + distinct + 1))
 
-    def finish(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def finish(key, left, right):
         c = np.zeros(left.num_rows, np.int64)
         c[left.column("idx").to_numpy()] = left.column("c").to_numpy()
         gain, known = np.log10(c + 1.0), c > 0

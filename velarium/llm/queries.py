@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .cover_tree import op1_cover_tree
 from .lm_scoring import op8_lm_scoring
 from .mixing import op7_mixing
 from .packing import op10_packing
@@ -12,6 +13,7 @@ from .token_counts import op4_token_counts
 from .toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_cover_tree": op1_cover_tree,
     "op2_toxicity": op2_toxicity,
     "op3_simhash": op3_simhash,
     "op4_token_counts": op4_token_counts,

@@ -9,6 +9,7 @@ from .packing import op10_packing
 from .quality_model import op5_quality_classifier
 from .quality_rules import op6_quality_rules
 from .simhash import op3_simhash
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op4_token_counts
 from .toxicity import op2_toxicity
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_mixing": op7_mixing,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_packing": op10_packing,
 }
 

@@ -1,15 +1,16 @@
 """Language-model scores by context-tree weighting over bytes.
 
 Texts are lower-cased (A-Z) and read as bytes with an end mark. A byte is eight binary
-decisions, most significant first; each decision has a context tree over the classes of the
-three bytes before it (48 fixed classes, so a trained model has at most 48^3 + 48^2 + 49
-contexts of 256 values, whatever the corpus). A node's counts give a Krichevsky-Trofimov block
-probability, and P_w = (P_e + product of the children's P_w) / 2 mixes all depths. Counts are
-sufficient for both, so training is one distributed count of (context, byte) over all training
-texts. Scoring freezes the model: a decision's probability mixes the estimates along its
-context's path with the posterior weights; a node without data takes its parent's estimate.
-The log probabilities of all bytes in all seen contexts make one table, so a byte costs two
-look-ups.
+decisions, most significant first; each decision has a context tree over the classes (48, so
+the tree stays narrow) of the DEPTH bytes before it. A node's counts give a
+Krichevsky-Trofimov block probability, and P_w = (P_e + product of the children's P_w) / 2
+mixes all depths. Counts are sufficient for both, so training is one distributed count of
+(context, byte) over all training texts, kept whole. The tree that scores has a fixed size: it
+grows all contexts up to two bytes and the MAX_CONTEXTS most frequent deeper ones; the others'
+counts make one child of their parent together. Scoring freezes the model: a decision's
+probability mixes the estimates along its context's path with the posterior weights; a node
+without data takes its parent's estimate. The log probabilities of all bytes in all grown
+contexts make one table, so a byte costs a walk of a few look-ups.
 
 Beside it stands a unigram base over words and one end token per text with add-one smoothing.
 Its vocabulary is never collected: blocks of texts give one row per distinct word, counts meet
@@ -34,9 +35,15 @@ from ._common import LOWER, Words, bytes_of, crc_mod, per_text, ship, slices, ta
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 does not use
 CLASSES = 48
-DEPTH = 3
+DEPTH = 6
+#: Contexts of three bytes and more that the tree grows; each costs a worker some 1.2 KB.
+MAX_CONTEXTS = 1 << 16
+#: Tasks whose counts meet first.
+FAN_IN = 64
+#: Bytes of text handled at once.
+SLICE = 4 << 20
 #: Bytes of text whose words share one dictionary.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 #: No word: stands for the end of a text.
 END_TOKEN = b"\n"
 
@@ -72,40 +79,145 @@ def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def keys_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """context * 256 + byte at each position; the latest byte is the context's first digit."""
-    k = CLASS_OF[data]
-    context = np.zeros(len(at), np.int32)
+    k = CLASS_OF[data].astype(np.int64)
+    context = np.zeros(len(at), np.int64)
     for d in range(1, DEPTH + 1):
-        context = context * CLASSES + k[at - d]
+        context *= CLASSES
+        context += k[at - d]
     return context * 256 + data[at]
 
 
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(inverse, weights=np.concatenate(counts).astype(float), minlength=len(k)).astype(np.int64)
+def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of their counts (1 each by default)."""
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        by = np.argsort(keys, kind="stable")
+        keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    sums = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], sums.astype(np.int64)
+
+
+def _pack(a: np.ndarray) -> bytes:
+    raw = np.ascontiguousarray(a).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _open(b: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    return np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), dtype) if size else np.zeros(0, dtype)
+
+
+def _pack_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
+    return _pack(np.diff(keys, prepend=0)), _pack(counts)
+
+
+def _open_counts(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(_open(keys, np.int64)), _open(counts, np.int64)
+
+
+#: Least counts are told apart exactly up to EXACT, then in steps of a sixteenth of an octave.
+EXACT = 1024
+BINS = EXACT + 16 * 64
+
+
+def _bin(n: np.ndarray) -> np.ndarray:
+    return np.where(n < EXACT, n, EXACT + np.floor(16 * np.log2(np.maximum(n, EXACT) / EXACT)).astype(np.int64))
 
 
 def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, n): occurrences of each byte in each context over all docs."""
+    """One row for each class pair of the last two bytes: all (context, byte) counts below it.
+    Counts meet in two steps, so no group gathers a row from every task."""
     ship(docs.sparkSession)
+    span = CLASSES ** (DEPTH - 2) * 256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() // FAN_IN
         keys, counts, held = [], [], 0
+
+        def merged():
+            k = _counted(np.concatenate(keys), np.concatenate(counts))
+            keys[:], counts[:] = [k[0]], [k[1]]
+            return len(k[0])
+
         for b in batches:
-            for i, j in slices(b.column(0)):
+            for i, j in slices(b.column(0), SLICE):
                 data, at, _ = stream(b.column(0).slice(i, j - i))
-                k, n = np.unique(keys_of(data, at), return_counts=True)
+                k, n = _counted(keys_of(data, at))
                 keys.append(k)
                 counts.append(n)
                 held += len(k)
-                if held > 4_000_000:
-                    k, n = _merge(keys, counts)
-                    keys, counts, held = [k], [n], 0
+                if held > 3_000_000:
+                    held = merged() // 2  # distinct keys grow slowly: merge again after as many more
         if keys:
-            k, n = _merge(keys, counts)
-            for i in range(0, len(k), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].astype(np.int32)), pa.array(n[i : i + (1 << 16)])], names=["key", "n"])
+            merged()
+            k, n = keys[0], counts[0]
+            pair = k // span
+            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            ends = np.append(first[1:], len(k))
+            packed = [_pack_counts(k[a:b], n[a:b]) for a, b in zip(first, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[first], pa.int64()), pa.array([salt] * len(first), pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], names=["pair", "salt", "k", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    def meet(key, t):
+        both = [_open_counts(*x) for x in zip(t.column("k").to_pylist(), t.column("n").to_pylist())]
+        k, n = _counted(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
+        p = _pack_counts(k, n)
+        return pa.table({"pair": pa.array([key[0].as_py()], pa.int64()), "salt": pa.array([0], pa.int64()), "k": pa.array([p[0]], pa.binary()), "n": pa.array([p[1]], pa.binary())})
+
+    schema = "pair bigint, salt bigint, k binary, n binary"
+    parts = docs.select(text_col).mapInArrow(run, schema).groupBy("pair", "salt").applyInArrow(meet, schema)
+    return parts.groupBy("pair").applyInArrow(meet, schema)
+
+
+def contexts_of(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(context * 256 + byte, n) at a lesser depth."""
+    short = (keys // 256) // CLASSES ** (DEPTH - depth) * 256 + keys % 256
+    return _counted(short, counts)
+
+
+def train(docs: DataFrame, text_col: str = "text", max_contexts: int = MAX_CONTEXTS) -> _Handle:
+    """The counts of the tree's contexts, sent to all executors: all contexts up to two bytes,
+    and of the deeper ones those that occur often enough for max_contexts of them."""
+    grams = written(gather(docs, text_col))
+
+    def census(batches):
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys, counts = _open_counts(k, n)
+                total = np.zeros(BINS, np.int64)
+                for depth in range(3, DEPTH + 1):
+                    c, m = contexts_of(keys, counts, depth)
+                    _, m = _counted(c // 256, m)
+                    total += np.bincount(_bin(m), minlength=BINS)
+                some = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bin", "n"])
+
+    bins = grams.select("k", "n").mapInArrow(census, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).sort(F.desc("bin")).collect()  # BINS at most
+    least, so_far = BINS, 0
+    for r in bins:
+        so_far += r["n"]
+        if so_far > max_contexts:
+            break
+        least = r["bin"]
+
+    def grown(batches):
+        for b in batches:
+            for pair, k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                keys, counts = _open_counts(k, n)
+                for depth in range(2, DEPTH + 1):
+                    c, m = contexts_of(keys, counts, depth)
+                    if depth > 2:
+                        whole, total = _counted(c // 256, m)
+                        keep = (_bin(total) >= least)[np.searchsorted(whole, c // 256)]
+                        c, m = c[keep], m[keep]
+                    if len(c):
+                        p = _pack_counts(c, m)
+                        yield pa.RecordBatch.from_arrays([pa.array([pair], pa.int64()), pa.array([depth], pa.int32()), pa.array([p[0]], pa.binary()), pa.array([p[1]], pa.binary())], names=["pair", "depth", "k", "n"])
+
+    kept = grams.select("pair", "k", "n").mapInArrow(grown, "pair bigint, depth int, k binary, n binary").toArrow().to_pylist()
+    payload = sorted((r["pair"], r["depth"], r["k"], r["n"]) for r in kept)
+    return _Handle(docs.sparkSession.sparkContext.broadcast(payload))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -124,87 +236,151 @@ def _totals(counts: np.ndarray) -> np.ndarray:
     return t
 
 
-def _block_log(t: np.ndarray) -> np.ndarray:
-    """Log KT block probability of each decision node."""
+def _block_log(counts: np.ndarray) -> np.ndarray:
+    """Log KT block probability of each decision node for rows of 256 byte counts."""
+    t = _totals(counts)
     zero, one = t[:, 0::2], t[:, 1::2]
-    out = _lgamma(zero + 0.5) + _lgamma(one + 0.5) - _lgamma(zero + one + 1) - np.log(np.pi)
-    out[:, 0] = 0
+    out = np.zeros_like(zero)
+    at = (zero + one) > 0
+    at[:, 0] = False
+    a, b = zero[at], one[at]
+    out[at] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi)
     return out
 
 
-def _kt(t: np.ndarray) -> np.ndarray:
-    return (t[:, 1::2] + 0.5) / (t[:, 0::2] + t[:, 1::2] + 1)
+class _Level:
+    """Contexts of one depth below a pair: estimates, totals and weights of their decisions."""
 
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.contexts, inverse = np.unique(keys // 256, return_inverse=True)
+        self.counts = np.zeros((len(self.contexts), 256))
+        self.counts[inverse, keys % 256] = counts
+
+    def weigh(self, below: _Level | None) -> None:
+        """`below` may lack contexts; what it lacks counts as one more child."""
+        own = _block_log(self.counts)
+        t = _totals(self.counts)
+        zero, one = t[:, 0::2], t[:, 1::2]
+        self.estimate, self.seen = (one + 0.5) / (zero + one + 1), (zero + one) > 0
+        self.weighted, self.weight = own, np.ones_like(own)
+        if below is not None and len(below.contexts):
+            parent = np.searchsorted(self.contexts, below.contexts // CLASSES)
+            has = np.unique(parent)
+            first = np.searchsorted(parent, has)
+            rest = self.counts[has] - np.add.reduceat(below.counts, first, axis=0)
+            children = np.add.reduceat(below.weighted, first, axis=0) + _block_log(rest)
+            self.weighted = own.copy()
+            self.weighted[has] = np.logaddexp(own[has], children) + np.log(0.5)
+            self.weight[has] = np.exp(own[has] + np.log(0.5) - self.weighted[has])
+
+
+def _subtree(parts: dict[int, tuple[bytes, bytes]]) -> list[_Level]:
+    """Weighed levels from depth 2 on."""
+    levels = [_Level(*_open_counts(*parts[d])) for d in sorted(parts)]
+    below = None
+    for level in reversed(levels):
+        level.weigh(below)
+        below = level
+    return levels
+
+
+def _log_bytes(p: np.ndarray) -> np.ndarray:
+    """Log10 probability of each byte from the probability of a 1 at each decision."""
+    log = np.zeros((len(p), 512))
+    one, zero = np.log10(p), np.log10(1 - p)
+    for i in (1, 2, 4, 8, 16, 32, 64, 128):
+        log[:, 2 * i : 4 * i : 2] = log[:, i : 2 * i] + zero[:, i : 2 * i]
+        log[:, 2 * i + 1 : 4 * i : 2] = log[:, i : 2 * i] + one[:, i : 2 * i]
+    return log[:, 256:].astype(np.float32)
 
-class Model:
-    """Frozen tree: log10 probability of each byte in each context (`rows[context] * 256 + byte`)."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        keys, counts = keys[order].astype(np.int64), counts[order]
-        levels = []  # from the deepest: contexts, heap totals, log P_w, weight of the own estimate
-        contexts, inverse = np.unique(keys // 256, return_inverse=True)
-        dense = np.zeros((len(contexts), 256))
-        dense[inverse, keys % 256] = counts
-        below = None
-        for depth in range(DEPTH, -1, -1):
-            t = _totals(dense)
-            own = _block_log(t)
-            if below is None:
-                weighted, weight = own, np.ones_like(own)
-            else:
-                weighted = np.logaddexp(own, below) + np.log(0.5)
-                weight = np.exp(own + np.log(0.5) - weighted)
-            levels.append((contexts, _kt(t), t[:, 0::2] + t[:, 1::2], weight))
-            if not depth:
-                break
-            up, inverse = np.unique(contexts // CLASSES if depth > 1 else np.zeros_like(contexts), return_inverse=True)
-            starts = np.searchsorted(inverse, np.arange(len(up)))
-            dense = np.add.reduceat(dense, starts, axis=0) if len(starts) else dense
-            below = np.add.reduceat(weighted, starts, axis=0) if len(starts) else weighted
-            contexts = up
-        levels.reverse()
-        tables, self.rows = [], np.zeros(CLASSES**DEPTH, np.int32)
-        base = 0
-        every = np.arange(CLASSES**DEPTH)
-        for depth in range(DEPTH + 1):  # a context that ends at this depth: none deeper was seen
-            contexts = levels[depth][0]
-            for i in range(0, len(contexts), 4096):
-                tables.append(self._bytes(self._decisions(levels, depth, contexts[i : i + 4096])))
-            prefix = every // CLASSES ** (DEPTH - depth) if depth else np.zeros_like(every)
-            at = np.minimum(np.searchsorted(contexts, prefix), max(len(contexts) - 1, 0))
-            found = contexts[at] == prefix if len(contexts) else np.zeros(len(every), bool)
-            self.rows[found] = base + at[found]
-            base += len(contexts)
-        self.table = np.concatenate(tables).ravel() if tables else np.full(256, -np.log10(256.0), np.float32)
-
-    @staticmethod
-    def _decisions(levels, depth: int, contexts: np.ndarray) -> np.ndarray:
-        """Probability of a 1 at each decision node for contexts of this depth."""
-        p = None
-        for d in range(depth, -1, -1):
-            have, kt, total, weight = levels[d]
-            at = np.searchsorted(have, contexts // CLASSES ** (depth - d) if d else np.zeros_like(contexts))
-            if p is None:
-                p, seen = kt[at], total[at] > 0
-            else:
-                w = np.where(seen, weight[at], 1.0)
-                p, seen = w * kt[at] + (1 - w) * p, total[at] > 0
-        return p
-
-    @staticmethod
-    def _bytes(p: np.ndarray) -> np.ndarray:
-        log = np.zeros((len(p), 512))
-        one, zero = np.log10(p), np.log10(1 - p)
-        for i in (1, 2, 4, 8, 16, 32, 64, 128):
-            log[:, 2 * i : 4 * i : 2] = log[:, i : 2 * i] + zero[:, i : 2 * i]
-            log[:, 2 * i + 1 : 4 * i : 2] = log[:, i : 2 * i] + one[:, i : 2 * i]
-        return log[:, 256:].astype(np.float32)
+class Model:
+    """Frozen tree: `child[node * CLASSES + class]` walks from the root towards older bytes
+    (`dead` where the tree ends), `table[node * 256 + byte]` is the byte's log10 probability."""
+
+    def __init__(self, payload: list[tuple]):
+        pairs: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        for pair, depth, k, n in payload:
+            pairs.setdefault(pair, {})[depth] = (k, n)
+        names = np.array(sorted(pairs), np.int64)
+        two = _Level(np.zeros(0, np.int64), np.zeros(0))  # depth 2 as a whole
+        two.contexts = names
+        two.counts, two.weighted = np.zeros((len(names), 256)), np.zeros((len(names), 256))
+        nodes = 0
+        for i, pair in enumerate(names.tolist()):
+            levels = _subtree(pairs[pair])
+            top, nodes = levels[0], nodes + sum(len(x.contexts) for x in levels)
+            two.counts[i], two.weighted[i] = top.counts[0], top.weighted[0]
+        if not len(names):
+            self.table, self.child, self.dead = np.full(512, -np.log10(256.0), np.float32), np.full(2 * CLASSES, 1, np.int32), 1
+            self.open = self.best = None
+            self._shorten()
+            return
+        one = _Level.__new__(_Level)
+        one.contexts, inverse = np.unique(names // CLASSES, return_inverse=True)
+        one.counts = np.zeros((len(one.contexts), 256))
+        np.add.at(one.counts, inverse, two.counts)
+        one.weigh(two)
+        root = _Level.__new__(_Level)
+        root.contexts, root.counts = np.zeros(1, np.int64), one.counts.sum(axis=0, keepdims=True)
+        root.weigh(one)
+
+        self.dead = nodes + len(one.contexts) + 1
+        table = np.empty((self.dead, 256), np.float32)
+        child = np.full((self.dead + 1, CLASSES), self.dead, np.int32)
+        node = 0
+
+        def add(p: np.ndarray) -> np.ndarray:
+            nonlocal node
+            table[node : node + len(p)] = _log_bytes(p)
+            node += len(p)
+            return np.arange(node - len(p), node)
+
+        def link(parent: np.ndarray, contexts: np.ndarray, ids: np.ndarray) -> None:
+            child[parent, contexts % CLASSES] = ids
+
+        leaf0 = root.estimate
+        id0 = add(leaf0)
+        sum0, left0 = root.weight * root.estimate, 1 - root.weight
+        leaf1 = np.where(one.seen, sum0 + left0 * one.estimate, leaf0)
+        id1 = add(leaf1)
+        link(np.repeat(id0, len(id1)), one.contexts, id1)
+        sum1, left1 = sum0 + left0 * one.weight * one.estimate, left0 * (1 - one.weight)
+        for pair in names.tolist():
+            i = np.searchsorted(one.contexts, pair // CLASSES)
+            up_ids, up_contexts = id1[i : i + 1], one.contexts[i : i + 1]
+            leaf, total, left = leaf1[i : i + 1], sum1[i : i + 1], left1[i : i + 1]
+            for level in _subtree(pairs[pair]):
+                at = np.searchsorted(up_contexts, level.contexts // CLASSES)
+                leaf_ = np.where(level.seen, total[at] + left[at] * level.estimate, leaf[at])
+                ids = add(leaf_)
+                link(up_ids[at], level.contexts, ids)
+                total = total[at] + left[at] * level.weight * level.estimate
+                left = left[at] * (1 - level.weight)
+                leaf, up_ids, up_contexts = leaf_, ids, level.contexts
+        self.table, self.child = table.ravel(), child.ravel()
+        self._shorten()
+
+    def _shorten(self) -> None:
+        """The walk of the last three bytes in one look-up."""
+        size = CLASSES**3
+        at, best = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        every = np.arange(size)
+        for d in (2, 1, 0):
+            at = self.child[at * np.int64(CLASSES) + every // CLASSES**d % CLASSES]
+            best = np.where(at != self.dead, at, best)
+        self.open, self.best = at, best
 
     def score(self, texts: pa.Array) -> np.ndarray:
         data, at, bounds = stream(texts)
-        key = keys_of(data, at)
-        value = self.table[self.rows[key >> 8] * np.int64(256) + (key & 255)]
+        k = CLASS_OF[data]
+        three = (k[at - 1] * CLASSES + k[at - 2]) * CLASSES + k[at - 3]
+        walk, best = self.open[three], self.best[three]
+        del three
+        for d in range(4, DEPTH + 1):
+            walk = self.child[walk * np.int64(CLASSES) + k[at - d]]
+            best = np.where(walk != self.dead, walk, best)
+        value = self.table[best * np.int64(256) + data[at]]
         return per_text(value.astype(float), bounds)
 
 
@@ -215,7 +391,7 @@ def _model(handle) -> Model:
     """Built once per worker process and broadcast."""
     if handle.id not in _MODELS:
         _MODELS.clear()
-        _MODELS[handle.id] = Model(*handle.value)
+        _MODELS[handle.id] = Model(handle.value)
     return _MODELS[handle.id]
 
 
@@ -233,13 +409,6 @@ class _Handle:
         return self.broadcast.value
 
 
-def train(docs: DataFrame, text_col: str = "text") -> _Handle:
-    """The counts, sent to all executors: at most CLASSES ** DEPTH * 256 of them, 12 bytes each."""
-    counts = gather(docs, text_col).toArrow()
-    pair = (counts.column("key").to_numpy(), counts.column("n").to_numpy())
-    return _Handle(docs.sparkSession.sparkContext.broadcast(pair))
-
-
 def lm_scores(docs: DataFrame, model: _Handle, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes with the end mark, score log10, bits_per_byte)."""
     ship(docs.sparkSession)
@@ -248,7 +417,7 @@ def lm_scores(docs: DataFrame, model: _Handle, id_col: str = "doc_id", text_col:
     def run(batches):
         m = _model(model)
         for b in batches:
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), SLICE):
                 part = b.column(1).slice(i, j - i)
                 score, size = m.score(part), np.diff(bytes_of(part)[1]) + 1
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(score), pa.array(-score / np.log10(2) / size)], names=[id_col, "n_bytes", "score", "bits_per_byte"])
@@ -317,7 +486,7 @@ def scored(docs: DataFrame, held_out: str, model: _Handle | None = None, id_col:
         id_type = None
         for b in batches:
             id_type = b.column(0).type
-            for i, j in slices(b.column(1)):
+            for i, j in slices(b.column(1), SLICE):
                 part = b.column(1).slice(i, j - i)
                 words = Words(part, lower=True)
                 index, own = words.encoded()

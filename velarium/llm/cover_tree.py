@@ -35,7 +35,8 @@ from ._common import components, ship, table, written
 
 COSINE = 0.9
 LEAF = 64
-BLOCK = 4096
+FEW = 16
+BLOCK = 8192
 #: Vectors of the sample that cells are drawn from, and cells, at most.
 SAMPLE, MAX_CELLS = 4096, 1024
 SLACK = 1e-9
@@ -49,78 +50,127 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (a @ b.T)))
 
 
+#: Single-precision products of unit vectors are off by less than this.
+ROUNDING = 4e-6
+
+
 class Node:
-    """points: rows of the tree's array; children: nodes, or None at a leaf, whose children are
-    its points; centers and radii of the children."""
+    """Children by their centers (single precision), radii (rounded up; 0: one point), first
+    points, and, for those of several points, nodes."""
 
-    __slots__ = ("children", "centers", "points", "radii")
+    __slots__ = ("centers", "children", "heads", "radii")
 
     def __init__(self, x: np.ndarray, points: np.ndarray, radius: float):
-        self.points, self.children = points, None
-        if len(points) > LEAF and radius > 1e-6:
+        self.heads, self.radii = points, np.zeros(len(points))
+        self.children = np.full(len(points), None, object)
+        if len(points) > LEAF and radius > 1e-3:
             centers, owner, far = net(x, points, radius / 2)
             if len(centers) < len(points):
-                self.children = []
                 order = np.argsort(owner, kind="stable")
                 cuts = np.searchsorted(owner[order], np.arange(len(centers) + 1))
-                for k in range(len(centers)):
+                large = np.diff(cuts) > FEW  # smaller children stand here point by point
+                loose = points[~large[owner]]
+                self.heads = np.append(loose, centers[large])
+                self.radii = np.append(np.zeros(len(loose)), far[large])
+                self.children = np.full(len(self.heads), None, object)
+                for n, k in enumerate(np.flatnonzero(large), len(loose)):
                     mine = order[cuts[k] : cuts[k + 1]]
                     mine = mine[np.argsort(points[mine] != centers[k], kind="stable")]  # own center first
-                    self.children.append(Node(x, points[mine], radius / 2))
-                self.centers, self.radii = x[centers], far
-                return
-        self.centers, self.radii = x[points], np.zeros(len(points))
+                    self.children[n] = Node(x, points[mine], radius / 2)
+        self.centers = x[self.heads]
+
+    def part(self, some: np.ndarray) -> Node:
+        out = Node.__new__(Node)
+        out.centers, out.radii, out.heads, out.children = self.centers[some], self.radii[some], self.heads[some], self.children[some]
+        return out
 
 
 def net(x: np.ndarray, points: np.ndarray, radius: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centers, center of each point, true covering radii): centers lie farther apart than
-    radius and cover all points within it; the first point is a center."""
+    """(centers, center of each point, covering radii): centers lie farther apart than radius
+    and cover all points within it (but for rounding); the first point is a center."""
     owner = np.full(len(points), -1)
-    gap = np.full(len(points), np.inf)
+    gap = np.ones(len(points))
     centers: list[int] = []
     left = np.arange(len(points))
+    near = np.float32(1 - radius * radius / 2)
     while len(left):
         some = left[:batch]
-        d = distances(x[points[some]], x[points[some]])
+        far = x[points[some]] @ x[points[some]].T < near
         free = np.ones(len(some), bool)
         new = []
         for i in range(len(some)):
             if free[i]:
                 new.append(i)
-                free &= d[i] > radius
+                free &= far[i]
         chosen = points[some[new]]
-        d = distances(x[points[left]], x[chosen])
-        best = d.argmin(axis=1)
-        near = d[np.arange(len(left)), best]
-        ok = near <= radius
-        ok[: len(some)][new] = True
-        best[: len(some)][new], near[: len(some)][new] = np.arange(len(new)), 0
-        owner[left[ok]], gap[left[ok]] = len(centers) + best[ok], near[ok]
+        d = x[points[left]] @ x[chosen].T
+        best = d.argmax(axis=1)
+        cosine = d[np.arange(len(left)), best]
+        ok = cosine >= near
+        ok[new] = True
+        best[new], cosine[new] = np.arange(len(new)), 2
+        owner[left[ok]], gap[left[ok]] = len(centers) + best[ok], cosine[ok]
         centers.extend(chosen.tolist())
         left = left[~ok]
+    reach = np.where(gap > 1.5, 0.0, np.sqrt(np.maximum(0.0, 2 - 2 * gap) + 4 * ROUNDING))
     far = np.zeros(len(centers))
-    np.maximum.at(far, owner, gap)
+    np.maximum.at(far, owner, reach)
     return np.array(centers), owner, far
 
 
+def close(u: Node, v: Node, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of children whose balls may hold points within the limit."""
+    rows, cols = [], []
+
+    def compare(a: np.ndarray, b: np.ndarray, wide: bool) -> None:
+        for k in range(0, len(a), 1024):
+            i = a[k : k + 1024]
+            dot = u.centers[i] @ v.centers[b].T
+            if wide:
+                span = np.minimum(2.0, limit + u.radii[i][:, None] + v.radii[b][None, :])
+                hit = dot >= 1 - span * span / 2 - ROUNDING
+            else:
+                hit = dot >= np.float32(1 - limit * limit / 2 - ROUNDING)
+            p = np.flatnonzero(hit)
+            rows.append(i[p // len(b)])
+            cols.append(b[p % len(b)])
+
+    thin_u, thin_v = u.radii == 0, v.radii == 0
+    parts = [(thin_u, thin_v, False), (~thin_u, np.ones(len(thin_v), bool), True), (thin_u, ~thin_v, True)]
+    for m, n, wide in parts:
+        a, b = np.flatnonzero(m), np.flatnonzero(n)
+        if len(a) and len(b):
+            compare(a, b, wide)
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def dual(a: Node, b: Node, limit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points (rows of each tree's array) within the limit, in batches."""
+    """Pairs of points (rows of each tree's array) that may lie within the limit, in batches;
+    none that does is left out. A child of several points descends against all children of the
+    other node that it may reach, at once."""
     stack = [(a, b)]
     while stack:
         u, v = stack.pop()
-        near = distances(u.centers, v.centers) <= limit + SLACK + u.radii[:, None] + v.radii[None, :]
-        i, j = np.nonzero(near)
-        if u.children is None and v.children is None:
-            if len(i):
-                yield u.points[i], v.points[j]
-        elif u.children is None:
-            for k in np.unique(j):
-                stack.append((u, v.children[k]))
-        elif v.children is None:
-            for k in np.unique(i):
-                stack.append((u.children[k], v))
-        else:
-            stack.extend((u.children[p], v.children[q]) for p, q in zip(i, j))
+        i, j = close(u, v, limit)
+        one_u, one_v = u.radii[i] == 0, v.radii[j] == 0
+        both = one_u & one_v
+        if both.any():
+            yield u.heads[i[both]], v.heads[j[both]]
+        for k, some in grouped(i[~one_u], j[~one_u]):
+            stack.append((u.children[k], v.part(some)))
+        rest = one_u & ~one_v
+        for k, some in grouped(j[rest], i[rest]):
+            stack.append((u.part(some), v.children[k]))
+
+
+def grouped(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else [], len(keys)).astype(int)
+    for x, y in zip(cuts[:-1], cuts[1:]):
+        yield keys[x], values[x:y]
 
 
 class Links:
@@ -151,8 +201,9 @@ def join_blocks(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.n
     links = Links(len(x))
     if not len(left) or not len(right):
         return links
-    a = Node(x, left, 2.0)
-    b = a if same else Node(x, right, 2.0)
+    single = x.astype(np.float32)
+    a = Node(single, left, 2.0)
+    b = a if same else Node(single, right, 2.0)
     for i, j in dual(a, b, chord(cosine)):
         if same:
             keep = i < j
@@ -171,10 +222,10 @@ def cells(sample: np.ndarray, wanted: int) -> np.ndarray:
     """Centers of the first tree level that has enough, in nested order."""
     if not len(sample) or wanted <= 1:
         return sample[:1]
-    radius, points = 2.0, np.arange(len(sample))
+    radius, points, single = 2.0, np.arange(len(sample)), sample.astype(np.float32)
     while True:
         radius /= 2
-        centers, _, _ = net(sample, points, radius)
+        centers, _, _ = net(single, points, radius)
         if len(centers) >= min(wanted, len(sample)) or radius < 1e-6:
             return sample[centers[:wanted]]
         points = np.append(centers, np.setdiff1d(points, centers))

@@ -3,7 +3,7 @@ Arrow buffers, distributed connected components."""
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -69,6 +69,15 @@ def crc_mod(column: str, m: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def tidy() -> None:
+    """Give freed memory back, so that a worker that lives on does not hold its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
 # ---------------------------------------------------------------- Arrow text
 def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array; nulls are empty."""

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, Words, bytes_of, crc_mod, per_text, ship, slices, table, written
+from ._common import LOWER, Words, bytes_of, crc_mod, per_text, ship, slices, table, tidy, written
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 does not use
 CLASSES = 48
@@ -41,9 +41,9 @@ MAX_CONTEXTS = 1 << 16
 #: Tasks whose counts meet first.
 FAN_IN = 64
 #: Bytes of text handled at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Bytes of text whose words share one dictionary.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: No word: stands for the end of a text.
 END_TOKEN = b"\n"
 
@@ -148,11 +148,12 @@ def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 keys.append(k)
                 counts.append(n)
                 held += len(k)
-                if held > 3_000_000:
+                if held > 1_500_000:
                     held = merged() // 2  # distinct keys grow slowly: merge again after as many more
         if keys:
             merged()
-            k, n = keys[0], counts[0]
+            k, n = keys.pop(), counts.pop()
+            tidy()
             pair = k // span
             first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             ends = np.append(first[1:], len(k))
@@ -392,6 +393,7 @@ def _model(handle) -> Model:
     if handle.id not in _MODELS:
         _MODELS.clear()
         _MODELS[handle.id] = Model(handle.value)
+        tidy()
     return _MODELS[handle.id]
 
 
@@ -474,6 +476,8 @@ def scored(docs: DataFrame, held_out: str, model: _Handle | None = None, id_col:
             number += 1
             size = 0
             held.clear()
+            del rows, words, uniq, to
+            tidy()
 
         def record(what: str, block, **given) -> pa.RecordBatch:
             n = len(block)

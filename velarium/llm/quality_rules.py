@@ -155,8 +155,10 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", char
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, with their columns."""
-    return judged(docs, **options).where("_verdict.kept").select(*docs.columns)
+    """The documents that the rules keep, with their columns. The verdict is exploded rather
+    than filtered on: a filter would move below the steps and compute them several times over."""
+    kept = F.explode(F.expr("filter(array(_verdict), v -> v.kept)")).alias("_verdict_kept")
+    return judged(docs, **options).select(*docs.columns, kept).select(*docs.columns)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,3 @@
 """Named queries over the given tables."""
 
-from . import identity  # noqa: F401
+from . import identity, quality  # noqa: F401

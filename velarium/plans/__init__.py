@@ -1,3 +1,3 @@
 """Named queries over the given tables."""
 
-from . import identity, quality, regions  # noqa: F401
+from . import events, identity, quality, regions  # noqa: F401

@@ -38,12 +38,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bytes_of, ship, slices, table, written
+from ._common import bytes_of, ship, slices, table, tidy, written
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text in a block, in a bucket (before selection), and in a shard.
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 16 << 20, 24 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 6 << 20, 1 << 20
 HOT = 4096
 CHUNK = 1 << 19
 NO_ID = np.iinfo(np.int64).max
@@ -169,6 +169,16 @@ class Segments:
         return out
 
 
+def _four(keys: np.ndarray) -> bytes:
+    """The low four bytes of each key. Within a bucket of some 10^5 keys these tell nearly all
+    apart; two that agree only send a segment on for nothing."""
+    return (keys & U(0xFFFFFFFF)).astype("<u4").tobytes()
+
+
+def _from_four(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, "<u4").astype(U)
+
+
 def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U(33)) % U(buckets)).astype(np.int64)
 
@@ -183,31 +193,32 @@ def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Positions of text sorted by what follows, up to the end of their segment (`left` bytes
     away, its end mark included); ties stand in order of position."""
     n = len(text)
-    padded = np.append(text, np.zeros(16, np.uint8))
-    words = _words(padded)[:n].byteswap()
+    words = _words(np.append(text, np.zeros(16, np.uint8)))[:n].byteswap()
     order = np.arange(n)
-    group = np.zeros(n, np.int64)  # of each entry of order
-    live = np.arange(n)  # entries of order that are still tied
-    depth = 0
+    live = order  # entries of order that are still tied
+    group = np.zeros(n, U)  # of each live entry, numbered in order
+    depth, step = 0, 8
     longest = int(left.max()) if n else 0
     while len(live) and depth < longest:
         at = order[live]
-        ok = left[at] > depth
-        w = words[np.where(ok, at + depth, 0)]
-        have = np.clip(left[at] - depth, 0, 8)
-        w &= np.where(have >= 8, U(0xFFFFFFFFFFFFFFFF), ~(U(0xFFFFFFFFFFFFFFFF) >> (U(8) * np.minimum(have, 7).astype(U))))
+        have = left[at] - depth
+        w = words[np.where(have > 0, at + depth, 0)]
+        cover = np.clip(have, 0, step)
+        w &= ~np.where(cover >= 8, U(0), U(0xFFFFFFFFFFFFFFFF) >> (U(8) * np.minimum(cover, 7).astype(U)))
         if depth:
-            by = np.lexsort((w, group[live]))
-        else:
-            by = np.argsort(w, kind="stable")
+            w = group << U(40) | w >> U(24)  # a group's number and five bytes in one word
+        by = np.argsort(w)
         order[live] = at[by]
-        g, w = group[live][by], w[by]
-        new = np.append(True, (g[1:] != g[:-1]) | (w[1:] != w[:-1]))
-        first = np.flatnonzero(new)
-        group[live] = live[first[np.cumsum(new) - 1]]
+        w = w[by]
+        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
         size = np.diff(np.append(first, len(live)))
-        live = live[np.repeat(size > 1, size)]
-        depth += 8
+        tied = size > 1
+        live = live[np.repeat(tied, size)]
+        group = np.repeat(np.arange(tied.sum()), size[tied]).astype(U)
+        depth, step = depth + step, 5
+    if len(live):  # equal to the end
+        at = order[live]
+        order[live] = at[np.lexsort((at, group))]
     return order
 
 
@@ -282,7 +293,7 @@ def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], leas
 # ---------------------------------------------------------------- the job
 def _pack(a: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(a)
-    return len(raw.tobytes()).to_bytes(8, "little") + pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+    return raw.nbytes.to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw.tobytes(), asbytes=True)
 
 
 def _open(b: bytes, dtype) -> np.ndarray:
@@ -292,7 +303,7 @@ def _open(b: bytes, dtype) -> np.ndarray:
 
 def _store(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -342,36 +353,42 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         number = TaskContext.get().partitionId() << 24
         held, size = [], 0
 
-        def flush():
+        def flush() -> pa.RecordBatch:
             nonlocal number, size
-            t = pa.Table.from_batches(held).combine_chunks()
-            raw, offsets = bytes_of(t.column(i_text))
-            keys, count, by, cuts = keys_by_bucket(Segments(raw, offsets))
-            yield _row("text", number, -1, _store(t))
-            for k in range(buckets):
-                part = by[cuts[k] : cuts[k + 1]]
-                if len(part):
-                    yield _row("keys", number, k, keys[part].tobytes(), _pack(count[part]))
+            out = _row("text", number, -1, _store(pa.Table.from_batches(held).combine_chunks()))
             number += 1
             size = 0
             held.clear()
+            return out
 
         for b in batches:
             for i, j in slices(b.column(i_text), block_bytes):
                 held.append(b.slice(i, j - i))
                 size += int(bytes_of(held[-1].column(i_text))[1][-1])
                 if size >= block_bytes:
-                    yield from flush()
+                    yield flush()
         if held:
-            yield from flush()
+            yield flush()
+        tidy()
+
+    def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys, count, by, cuts = keys_by_bucket(Segments(*bytes_of(_load(data).column(i_text))))
+                for k in range(buckets):
+                    part = by[cuts[k] : cuts[k + 1]]
+                    if len(part):
+                        yield _row("keys", block, k, _four(keys[part]), _pack(count[part]))
+        tidy()
 
     made = written(docs.mapInArrow(make_blocks, _ROW))
+    blocks = made.select("block", "a")
 
     def answer(key, t):
         """Which minimizers of a bucket are repeated, and which are hot, for each block."""
         t = t.combine_chunks()
         blocks = t.column("block").to_pylist()
-        keys = [np.frombuffer(x, U) for x in t.column("a").to_pylist()]
+        keys = [_from_four(x) for x in t.column("a").to_pylist()]
         counts = [_open(x, np.uint8) for x in t.column("b").to_pylist()]
         every = np.concatenate(keys)
         order = np.argsort(every)
@@ -384,7 +401,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         cuts = np.cumsum([len(k) for k in keys])[:-1]
         return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": t.column("bucket"), "flags": pa.array([_pack(f) for f in np.split(flag, cuts)], pa.binary())})
 
-    keys = made.where("what = 'keys'").select("block", "bucket", "a", "b")
+    keys = blocks.mapInArrow(list_keys, _ROW).select("block", "bucket", "a", "b")
     flags = keys.groupBy("bucket").applyInArrow(answer, "block bigint, bucket bigint, flags binary")
 
     def select(key, left, right):
@@ -415,21 +432,23 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             content = np.empty(len(order), np.int64)
             content[order] = number[np.cumsum(head) - 1] if len(order) else content[order]
             smallest = own <= own[rep][content] if len(order) else np.zeros(0, bool)
-            out.append(_row("own", block, -1, _pack(seg.start.astype(np.int64)), _pack(seg.size.astype(np.uint8)), _pack(content.astype(np.int32)), _pack(smallest)))
+            out.append(_row("own", block, -1 - block, _pack(np.diff(seg.start, prepend=0).astype(np.int32)), _pack(seg.size.astype(np.uint8)), _pack(content.astype(np.int32)), _pack(smallest)))
             cuts = np.searchsorted(to[by], np.arange(buckets + 1))
             for k in range(buckets):
                 r = rep[cuts[k] : cuts[k + 1]]
                 if len(r):
                     text = raw[spans(seg.start[r], seg.size[r] + LENGTH - 1)]
                     out.append(_row("segments", block, k, _pack(text), _pack(seg.size[r].astype(np.uint8)), _pack(seg.key[r]), _pack(np.append(own[r], cuts[k]))))
+        tidy()
         return pa.Table.from_batches(out, schema=out[0].schema) if out else pa.Table.from_batches([_row("none", block, -1)]).slice(0, 0)
 
-    blocks = made.where("what = 'text'").select("block", "a")
-    chosen = written(blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(select, _ROW))
+    chosen = blocks.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(select, _ROW)
 
     def merge(key, t):
         """For each block's contents of this bucket: the window starts to remove where the id
-        is the block's smallest, one bit each."""
+        is the block's smallest, one bit each. A block's own row passes through."""
+        if key[0].as_py() < 0:
+            return pa.table({"block": t.column("block"), "at": pa.array([-1], pa.int64()), "mask": t.column("a"), "b": t.column("b"), "c": t.column("c"), "d": t.column("d")})
         t = t.sort_by("block").combine_chunks()
         texts = [_open(x, np.uint8) for x in t.column("a").to_pylist()]
         starts = [_open(x, np.uint8).astype(np.int64) for x in t.column("b").to_pylist()]
@@ -459,33 +478,37 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         np.bitwise_or.at(mask, use[s], U(1) << o.astype(U))
         result = np.where(smallest[group] < least, U(0xFFFFFFFFFFFFFFFF), mask[group])
         cuts = np.cumsum([len(x) for x in keys])[:-1]
-        return pa.table({"block": t.column("block"), "at": pa.array([int(x[-1]) for x in last], pa.int64()), "mask": pa.array([_pack(m) for m in np.split(result, cuts)], pa.binary())})
+        tidy()
+        return pa.table({"block": t.column("block"), "at": pa.array([int(x[-1]) for x in last], pa.int64()), "mask": pa.array([_pack(m) for m in np.split(result, cuts)], pa.binary()), **{x: pa.nulls(len(last), pa.binary()) for x in "bcd"}})
 
-    verdicts = chosen.where("what = 'segments'").select("block", "bucket", "a", "b", "c", "d").groupBy("bucket").applyInArrow(merge, "block bigint, at bigint, mask binary")
+    replies = chosen.groupBy("bucket").applyInArrow(merge, "block bigint, at bigint, mask binary, b binary, c binary, d binary")
 
     def finish(key, left, right):
         t = _load(left.column("a")[0].as_py())
         raw, offsets = bytes_of(t.column(i_text))
         rows = right.to_pylist()
         own = next(r for r in rows if r["at"] == -1)
-        start, size, content, smallest = (_open(own[c], d) for c, d in (("mask", np.int64), ("b", np.uint8), ("c", np.int32), ("d", bool)))
+        start, size, content, smallest = (_open(own[c], d) for c, d in (("mask", np.int32), ("b", np.uint8), ("c", np.int32), ("d", bool)))
+        start = np.cumsum(start, dtype=np.int64)
         masks = np.zeros(int(content.max()) + 1 if len(content) else 0, U)
         for r in rows:
             if r["at"] >= 0:
                 m = _open(r["mask"], U)
                 masks[r["at"] : r["at"] + len(m)] = m
         bits = np.where(smallest, masks[content], U(0xFFFFFFFFFFFFFFFF)) if len(content) else np.zeros(0, U)
-        change = np.zeros(len(raw) + 1, np.int32)
+        change = np.zeros(len(raw) + 1, np.int16)  # every window start counts once
+
         for o in range(LENGTH - GRAM + 1):
             go = (size > o) & ((bits >> U(o)) & U(1)).astype(bool)
             np.add.at(change, start[go] + o, 1)
             np.add.at(change, start[go] + o + LENGTH, -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
+        del change
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
         edge = offsets[:-1][offsets[:-1] < len(raw)]
         rise[edge] = gone[edge]
-        total, risen = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(rise))
+        total, risen = np.append(0, np.cumsum(gone, dtype=np.int32)), np.append(0, np.cumsum(rise, dtype=np.int32))
         n_gone, n_spans = total[offsets[1:]] - total[offsets[:-1]], risen[offsets[1:]] - risen[offsets[:-1]]
         digests, texts = [], []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
@@ -496,10 +519,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
                 digests.append(hashlib.sha256(raw[a:b].tobytes()).hexdigest())
                 texts.append(raw[a:b].tobytes().decode())
         result = pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(texts, pa.string())], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        tidy()
         return t.append_column(name, result)
 
-    own = chosen.where("what = 'own'").selectExpr("block", "-1L AS at", "a AS mask", "b", "c", "d")
-    replies = own.unionByName(verdicts.selectExpr("block", "at", "mask", "cast(null as binary) AS b", "cast(null as binary) AS c", "cast(null as binary) AS d"))
     schema = T.StructType([*docs.schema, T.StructField(name, T.StructType([*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]))])
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), name
 

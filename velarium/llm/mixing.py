@@ -17,7 +17,8 @@ the ring as often as it holds it whole; its other blocks are consecutive from a
 Hence at most two documents of a shard are taken in part, and none more than `most` times.
 
 Null and empty texts have size 0 and are never taken. Repeated rows are separate documents.
-An empty table gives no rows. Working columns stay apart from the input's.
+An empty table gives no rows. `mixed` carries each row as one struct, so other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -122,10 +123,11 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """docs as the mix takes them, in whole documents: each row as often as its taken words go
     into its size, rounded. Rows equal in id and text count as one with their copies summed."""
     m = mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    copies = m.where("size > 0").groupBy("id", "key").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("n")).where("n > 0").select(F.col("id").alias("_m_id"), F.col("key").alias("_m_key"), "n")
-    copies = copies.withColumn("_m_copy", F.sequence(F.lit(1), F.col("n").cast("int"))).drop("n")
-    keyed = docs.withColumn("_m_of", F.xxhash64(F.lit(seed), F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    return keyed.join(copies, (keyed["_m_of"] == copies["_m_key"]) & keyed[id_col].eqNullSafe(copies["_m_id"])).dropDuplicates([id_col, "_m_of"]).withColumn("_m_copy", F.explode("_m_copy")).select(*docs.columns)
+    copies = m.where("size > 0").groupBy("id", "key").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("n")).where("n > 0")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("_key"))
+    j = rows.join(copies, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["_key", "_id"])
+    return j.select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_copy")).select("_row.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ Fixed base counts stand beside it: words, their code points, symbols, repeated l
 in three-word windows that occur twice or more.
 
 Null and empty texts have no words and fail the base rule. Repeated rows are judged alike. An
-empty table gives no rows. Other columns pass through `quality_filter`; those whose names clash
-with this module's are kept as they came, because the working columns live in one struct.
+empty table gives no rows. `quality_filter` carries each row as one struct, so other columns pass
+through whatever their names.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _measured(docs: DataFrame, text_col: str, lang_col: str, base: bool) -> Data
           cast(if(i + 1 < size(d), array_position(_q_c, get(d, i + 1)) - 1, size(_q_c)) - array_position(_q_c, w) + 1 AS bigint) AS n)))[0],
         array(struct('w:' AS bin, cast(size(_q_w) - size(_q_c) AS bigint) AS n)))""")
     fields = [
-        F.col(lang_col).cast("string").alias("lang") if lang_col in docs.columns else F.lit(None).cast("string").alias("lang"),
+        F.col(lang_col).cast("string").alias("lang"),
         F.array(*chars).alias("chars"),
         common.alias("common"),
         F.size("_q_w").cast(LONG).alias("n_words"),
@@ -111,7 +111,8 @@ def _measured(docs: DataFrame, text_col: str, lang_col: str, base: bool) -> Data
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, shares: map of bin to its share of the language's characters or words), from all
     documents. Written once: it is read twice and its size is checked before use."""
-    m = _measured(docs.select(*{c: 1 for c in (text_col, lang_col) if c in docs.columns}), text_col, lang_col, base=False)
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    m = _measured(docs.select(F.col(text_col).alias("_text"), lang.alias("_lang")), "_text", "_lang", base=False)
     bins = m.select(F.col("_q.lang").alias("lang"), F.inline(F.concat("_q.chars", "_q.common"))).groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     by = bins.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("n"))
     share = F.expr("""transform(array(struct(
@@ -133,13 +134,14 @@ def _distance(counts: str, total: str, prefix: str) -> Column:
 
 
 def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", char_limits=CHAR_LIMITS, word_limits=WORD_LIMITS) -> DataFrame:
-    """docs with a struct `_verdict`: base counts, distances, base_failed, kept. The texts stay
-    in place; only the references move."""
+    """(_row: the document as a struct, _verdict: base counts, distances, base_failed, kept). The
+    texts stay in place; only the references move."""
     refs = references(docs, text_col, lang_col)
     if refs.count() <= MAX_BROADCAST_LANGUAGES:
         refs = F.broadcast(refs)
-    m = _measured(docs, text_col, lang_col, base=True).select(*docs.columns, "_q")
-    j = m.join(refs, F.col("_q.lang").eqNullSafe(F.col("_q_lang")), "left")
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), lang.alias("_lang"))
+    j = _measured(rows, "_text", "_lang", base=True).select("_row", "_q").join(refs, F.col("_q.lang").eqNullSafe(F.col("_q_lang")), "left")
     j = j.withColumn("_q_cd", F.round(_distance("_q.chars", "_q.n_chars", "c:"), 6)).withColumn("_q_wd", F.round(_distance("_q.common", "_q.n_words", "w:"), 6))
     j = j.withColumn("_q_b", F.expr(f"_q.n_words < {MIN_WORDS} OR 100 * _q.n_repeat_words > {MAX_REPEAT_PERCENT} * _q.n_words"))
     limits = [("_q_cd", *x) for x in char_limits] + [("_q_wd", *x) for x in word_limits]
@@ -151,15 +153,15 @@ def judged(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", char
         F.col("_q_cd").alias("char_distance"),
         F.col("_q_wd").alias("word_distance"),
     )
-    return j.select(*docs.columns, verdict.alias("_verdict"))
+    return j.select("_row", verdict.alias("_verdict"))
 
 
 def quality_filter(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with their columns. The verdict is exploded rather
     than filtered on: a filter would move below the steps and compute them several times over."""
-    kept = F.explode(F.expr("filter(array(_verdict), v -> v.kept)")).alias("_verdict_kept")
-    return judged(docs, **options).select(*docs.columns, kept).select(*docs.columns)
+    kept = F.explode(F.expr("filter(array(_verdict), v -> v.kept)")).alias("_kept")
+    return judged(docs, **options).select("_row", kept).select("_row.*")
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", "_verdict.*")
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("_row.doc_id", "_verdict.*")

@@ -15,7 +15,7 @@ grows with one common passage's surroundings.
 Merging. In a bucket, segments whose minimizer leads to one content only are settled: all its
 copies but those of the smallest id go. The others are cut into shards; each shard's suffixes
 are sorted into its Burrows-Wheeler transform, and the transforms are interleaved by iterative
-refinement: from an order by prefixes of length i - 1, a stable pass over the preceding bytes
+refinement: from an interleave by eight bytes on, and an order by prefixes of length i - 1, a stable pass over the preceding bytes
 gives the order by prefixes of length i, and the intervals of equal prefixes with it. Suffixes
 alone in their interval retire. After LENGTH passes, the intervals left are the repeated
 windows, with common prefixes of LENGTH at least; each takes the smallest id in it.
@@ -139,13 +139,20 @@ class Segments:
     def summary(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct minimizers, how many contents each has here, and 255 at most; one more if
         a content occurs twice, so that the minimizer counts as repeated)."""
-        both = _mix(self.key ^ (self.content * U(0x9E3779B97F4A7C15)))
         order = np.argsort(self.key)
         key = self.key[order]
-        keys, first, total = np.unique(key, return_index=True, return_counts=True)
-        _, at = np.unique(both, return_index=True)
-        distinct = np.bincount(np.searchsorted(keys, self.key[at]), minlength=len(keys))
-        return keys, np.minimum(np.where(total > 1, np.maximum(distinct, 2), distinct), 255).astype(np.uint8)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        total = np.diff(np.append(first, len(key)))
+        count = np.ones(len(first), np.int64)
+        several = total > 1
+        if several.any():
+            some = np.repeat(several, total)
+            group = np.repeat(np.arange(several.sum()), total[several])
+            content = self.content[order][some]
+            by = np.lexsort((content, group))
+            new = np.append(True, (content[by][1:] != content[by][:-1]) | (group[by][1:] != group[by][:-1]))
+            count[several] = np.maximum(np.bincount(group[by], weights=new).astype(np.int64), 2)
+        return key[first], np.minimum(count, 255).astype(np.uint8)
 
     def chosen(self, keep: np.ndarray, windows: np.ndarray, raw: np.ndarray) -> Segments:
         """Segments with keep set; those with windows set as single windows."""
@@ -261,7 +268,15 @@ def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], leas
     link = link.astype(np.int32)
     at = np.arange(len(text), dtype=np.int32)  # the interleave: shards one after another
     interval = np.zeros(len(text), np.int32)
-    for _ in range(length):
+    start = 8 if length > 8 else 0
+    if start:  # interleaved by the first eight bytes at once
+        at = at[left[order] > start]
+        prefix = _words(np.append(text, np.zeros(8, np.uint8)))[order[at]].byteswap()
+        by = np.argsort(prefix)
+        at, prefix = at[by], prefix[by]
+        interval = np.cumsum(np.append(True, prefix[1:] != prefix[:-1]), dtype=np.int32) if len(at) else interval[:0]
+        del prefix, by
+    for _ in range(length - start):
         to = link[at]
         go = to >= 0
         alone = np.empty(len(at), bool)
@@ -293,7 +308,7 @@ def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], leas
 # ---------------------------------------------------------------- the job
 def _pack(a: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(a)
-    return raw.nbytes.to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw.tobytes(), asbytes=True)
+    return raw.nbytes.to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw.tobytes(), asbytes=True)
 
 
 def _open(b: bytes, dtype) -> np.ndarray:
@@ -303,7 +318,7 @@ def _open(b: bytes, dtype) -> np.ndarray:
 
 def _store(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
         w.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -328,10 +343,10 @@ def _row(what: str, block: int, bucket: int, *data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=_ROW.names)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT) -> tuple[DataFrame, str]:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, texts: bool = True) -> tuple[DataFrame, str]:
     """docs with a struct column (its name is returned: one that docs does not use) of n_bytes,
-    n_removed, n_spans, kept_sha256, kept_text. kept_text keeps characters of which any byte is
-    kept, as a text must be valid."""
+    n_removed, n_spans, kept_sha256, and if `texts`, kept_text: null where nothing is removed, else
+    the characters of which any byte is kept, as a text must be valid."""
     spark = docs.sparkSession
     ship(spark)
     name = "_passages"
@@ -342,12 +357,10 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     names = list(docs.columns)
     i_id, i_text = names.index(id_col), names.index(text_col)
 
-    def keys_by_bucket(seg: Segments):
-        keys, count = seg.summary()
+    def by_bucket(keys: np.ndarray):
         to = bucket_of(keys, buckets)
         by = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-        return keys, count, by, cuts
+        return by, np.searchsorted(to[by], np.arange(buckets + 1))
 
     def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -374,7 +387,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     def list_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys, count, by, cuts = keys_by_bucket(Segments(*bytes_of(_load(data).column(i_text))))
+                keys, count = Segments(*bytes_of(_load(data).column(i_text))).summary()
+                by, cuts = by_bucket(keys)
                 for k in range(buckets):
                     part = by[cuts[k] : cuts[k + 1]]
                     if len(part):
@@ -413,7 +427,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             raw, offsets = bytes_of(t.column(i_text))
             ids = _order_ids(t.column(i_id))
             seg = Segments(raw, offsets)
-            keys, _, by, cuts = keys_by_bucket(seg)
+            keys = np.unique(seg.key)
+            by, cuts = by_bucket(keys)
             flag = np.zeros(len(keys), np.uint8)
             for k, f in zip(right.column("bucket").to_pylist(), right.column("flags").to_pylist()):
                 flag[by[cuts[k] : cuts[k + 1]]] = _open(f, np.uint8)
@@ -421,24 +436,25 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
             seg = seg.chosen(of > 0, of > 1, raw)
             both = _mix(seg.key ^ (seg.content * U(0x9E3779B97F4A7C15)))
             own = ids[seg.doc]
-            order = np.lexsort((seg.start, own, both))
+            order = np.argsort(both)
             head = np.append(True, both[order][1:] != both[order][:-1]) if len(order) else np.zeros(0, bool)
-            rep = order[head]  # of each content, an occurrence with the smallest id
+            rep = order[head]  # of each content, an occurrence, and the smallest id
+            least = np.minimum.reduceat(own[order], np.flatnonzero(head)) if len(order) else own
             to = bucket_of(seg.key[rep], buckets)
             by = np.argsort(to, kind="stable")
-            rep = rep[by]
+            rep, least = rep[by], least[by]
             number = np.empty(len(by), np.int64)
             number[by] = np.arange(len(by))
             content = np.empty(len(order), np.int64)
             content[order] = number[np.cumsum(head) - 1] if len(order) else content[order]
-            smallest = own <= own[rep][content] if len(order) else np.zeros(0, bool)
+            smallest = own <= least[content] if len(order) else np.zeros(0, bool)
             out.append(_row("own", block, -1 - block, _pack(np.diff(seg.start, prepend=0).astype(np.int32)), _pack(seg.size.astype(np.uint8)), _pack(content.astype(np.int32)), _pack(smallest)))
             cuts = np.searchsorted(to[by], np.arange(buckets + 1))
             for k in range(buckets):
                 r = rep[cuts[k] : cuts[k + 1]]
                 if len(r):
                     text = raw[spans(seg.start[r], seg.size[r] + LENGTH - 1)]
-                    out.append(_row("segments", block, k, _pack(text), _pack(seg.size[r].astype(np.uint8)), _pack(seg.key[r]), _pack(np.append(own[r], cuts[k]))))
+                    out.append(_row("segments", block, k, _pack(text), _pack(seg.size[r].astype(np.uint8)), _pack(seg.key[r]), _pack(np.append(least[cuts[k] : cuts[k + 1]], cuts[k]))))
         tidy()
         return pa.Table.from_batches(out, schema=out[0].schema) if out else pa.Table.from_batches([_row("none", block, -1)]).slice(0, 0)
 
@@ -510,19 +526,21 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         rise[edge] = gone[edge]
         total, risen = np.append(0, np.cumsum(gone, dtype=np.int32)), np.append(0, np.cumsum(rise, dtype=np.int32))
         n_gone, n_spans = total[offsets[1:]] - total[offsets[:-1]], risen[offsets[1:]] - risen[offsets[:-1]]
-        digests, texts = [], []
+        digests, kept = [], []
         for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
             if n_gone[i]:
                 digests.append(hashlib.sha256(raw[a:b][~gone[a:b]].tobytes()).hexdigest())
-                texts.append(_valid(raw[a:b], gone[a:b]))
+                kept.append(_valid(raw[a:b], gone[a:b]) if texts else None)
             else:
-                digests.append(hashlib.sha256(raw[a:b].tobytes()).hexdigest())
-                texts.append(raw[a:b].tobytes().decode())
-        result = pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests), pa.array(texts, pa.string())], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                digests.append(hashlib.sha256(raw[a:b]).hexdigest())
+                kept.append(None)
+        result = pa.StructArray.from_arrays([pa.array(np.diff(offsets), pa.int64()), pa.array(n_gone, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digests, pa.string()), pa.array(kept, pa.string())], names=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        if not texts:
+            t = t.drop_columns([text_col])
         tidy()
         return t.append_column(name, result)
 
-    schema = T.StructType([*docs.schema, T.StructField(name, T.StructType([*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]))])
+    schema = T.StructType([*(f for f in docs.schema if texts or f.name != text_col), T.StructField(name, T.StructType([*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("kept_text", T.StringType())]))])
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), name
 
 
@@ -562,5 +580,5 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, name = judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out, name = judged(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
     return out.select("doc_id", f"{name}.n_bytes", f"{name}.n_removed", f"{name}.n_spans", f"{name}.kept_sha256")

@@ -90,8 +90,8 @@ def thesis_fields(df: DataFrame, text: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str, keys: list[str]) -> None:
-    """Rows in canonical column order, sorted by keys over range partitions, zstd-compressed."""
-    df.select(*sorted(df.columns)).repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "zstd").mode("overwrite").json(path)
+    """Rows in canonical column order, sorted by keys over range partitions, compressed."""
+    df.select(*sorted(df.columns)).repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "gzip").mode("overwrite").json(path)
 
 
 def write_edges(df: DataFrame, path: str) -> None:

@@ -36,8 +36,9 @@ def deduplicated(df: DataFrame, late: str = "1 hour") -> DataFrame:
     return df.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def rate_limited(df: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
-    """Sliding-window limiter with state: a key's last allowed times, at most `limit` of them."""
+def rate_limited(df: DataFrame, limit: int, seconds: int = 60, late: str = "1 hour") -> DataFrame:
+    """Sliding-window limiter with state: a key's last allowed times, at most `limit` of them,
+    dropped a day of event time after its last request."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,10 +54,10 @@ def rate_limited(df: DataFrame, limit: int, seconds: int = 60) -> DataFrame:
             if allowed[-1]:
                 held.append(now)
         state.update((held,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(int(max(rows["ts"]).timestamp() * 1000) + 24 * 3600 * 1000)
         yield pd.DataFrame({"client": key[0], "event_id": rows["event_id"], "allowed": allowed})
 
-    return df.groupBy("client").applyInPandasWithState(step, "client bigint, event_id bigint, allowed boolean", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.withWatermark("ts", late).groupBy("client").applyInPandasWithState(step, "client bigint, event_id bigint, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:

@@ -459,3 +459,18 @@ def test_pipeline_stages(spark):
         assert now <= ids, name
         ids = now
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@needs
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_equivalents(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, SF)
+    r = c.execute(queries.ORACLES[name])
+    columns = [d[0] for d in r.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows(df.select(*columns)) == sorted(r.fetchall(), key=repr)

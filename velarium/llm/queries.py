@@ -5,6 +5,7 @@ from __future__ import annotations
 from .cover_tree import op1_cover_tree
 from .lm_scoring import op8_lm_scoring
 from .mixing import op7_mixing
+from .oracles import OP1, OP6, OP9
 from .packing import op10_packing
 from .quality_model import op5_quality_classifier
 from .quality_rules import op6_quality_rules
@@ -26,4 +27,8 @@ QUERIES = {
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_cover_tree": OP1,
+    "op6_quality_rules": OP6,
+    "op9_suffix_dedup": OP9,
+}

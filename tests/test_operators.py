@@ -89,3 +89,26 @@ def test_empty_inputs(spark):
     m = spark.createDataFrame([], "metric string, ts timestamp, event_id bigint, value double, client bigint")
     for f in (metrics.anomalies, metrics.trend, metrics.p95_change, metrics.forecast, metrics.summary):
         assert f(m).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("region", "name", "variant"),
+    [("A2", "García Márquez, Gabriel", "García, Gabriel"), ("C3", "Al-Rashid, Harun", "Rashid, Harun"), ("C4", "Ahmad bin Ali", "Ahmad"), ("B2", "Erdős, Pál", "Erdős Pál"),
+     ("B3", "Chatzidakis, N", "Hatzidakis, N"), ("C1", "Hasanoğlu, Ali", "Hasanoglu, Ali"), ("C2", "Lotfi-zadeh, Ali", "Lotfizade, Ali"), ("A4", "Māhina, Ō", "Mahina, O"),
+     ("E4", "Kim, Min-jun", "Kim, Min jun"), ("E7", "Cruz, Juan M.", "Cruz, Juan"), ("E5", "Đặng, Thái", "Dặng, Thái")],
+)
+def test_regional_variants(spark, region, name, variant):
+    from velarium.operators import cleaning
+
+    r = cleaning.process(spark.createDataFrame([(region, name)], "region string, name string")).first()
+    assert variant in r["variants"]
+    assert r["valid"]
+
+
+def test_every_region_cleans_twice_alike(spark):
+    from velarium.operators import cleaning
+
+    df = spark.createDataFrame([(r, n) for r in cleaning.REGIONS for n in ("von Neumann, John", "  Euler ,  Leonhard ", "Abu Kamil", "")], "region string, name string")
+    once = cleaning.process(df)
+    again = cleaning.process(once.select("region", F.col("cleaned").alias("name"))).select("cleaned")
+    assert sorted(map(tuple, once.select("cleaned").collect())) == sorted(map(tuple, again.collect()))

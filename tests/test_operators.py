@@ -112,3 +112,15 @@ def test_every_region_cleans_twice_alike(spark):
     once = cleaning.process(df)
     again = cleaning.process(once.select("region", F.col("cleaned").alias("name"))).select("cleaned")
     assert sorted(map(tuple, once.select("cleaned").collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_enrichment_keeps_every_row(spark):
+    from velarium.plans.enrich import enrich
+
+    rows = [(1, "Euler,  Leonhard", "Leonhard Euler", 1707, "DE"), (2, "Euler, Leonhard", "Leonhard Euler", 1707, "DE"), (3, None, None, None, None), (4, "", "", 0, "ZZ"), (5, "Mori, S", "red plate", 1950, "US")]
+    got = {r["ord"]: r for r in enrich(spark.createDataFrame(rows, "ord bigint, latin string, native string, birth int, country string")).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert got[2]["gid"] == got[1]["gid"] + "--1"
+    assert got[1]["collides"]
+    assert (got[1]["detected"], got[4]["detected"], got[5]["detected"]) == ("B1", "R0", "E1")
+    assert got[1]["birth_text"] == "1700s"

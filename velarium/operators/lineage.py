@@ -18,15 +18,16 @@ def clean_edges(edges: DataFrame) -> DataFrame:
     return e.join(back, (F.col("student") == F.col("a")) & (F.col("advisor") == F.col("b")), "left_anti")
 
 
-def walks(edges: DataFrame, up: bool, depth: int) -> DataFrame:
-    """(root, node, depth): all nodes within `depth` steps of each root, at their least depth.
-    One recursive query; paths stop where they would meet themselves."""
+def walks(edges: DataFrame, up: bool, depth: int, root: int | None = None) -> DataFrame:
+    """(root, node, depth): all nodes within `depth` steps of each root, or of one, at their least
+    depth. One recursive query; paths stop where they would meet themselves."""
     spark = edges.sparkSession
+    start = "" if root is None else f"WHERE a = {int(root)}"
     a, b = ("student", "advisor") if up else ("advisor", "student")
     edges.select(F.col(a).alias("a"), F.col(b).alias("b")).createOrReplaceTempView("_walk_edges")
     return spark.sql(f"""
       WITH RECURSIVE w(root, node, depth, path) MAX RECURSION LEVEL {depth + 2} AS (
-        SELECT a, b, 1, array(a, b) FROM _walk_edges
+        SELECT a, b, 1, array(a, b) FROM _walk_edges {start}
         UNION ALL
         SELECT w.root, e.b, w.depth + 1, concat(w.path, array(e.b))
         FROM w JOIN _walk_edges e ON w.node = e.a

@@ -1,6 +1,5 @@
-"""Look-ups, fuzzy matches and merges. Candidates always come from an equi-join on a blocking
-key, and a block above `most` rows is cut by a second key, so no block is compared whole
-against itself at scale."""
+"""Look-ups, fuzzy matches and merges. Candidates always come from an equi-join on blocking keys;
+the caller chooses keys fine enough that a block's pairs stay few."""
 
 from __future__ import annotations
 

@@ -1,3 +1,3 @@
 """Named queries over the given tables."""
 
-from . import events, identity, quality, records, regions  # noqa: F401
+from . import enrich, events, identity, quality, records, regions  # noqa: F401

@@ -82,3 +82,25 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def composite(a: Column, b: Column) -> Column:
     return 0.4 * sequence_ratio(a, b) + 0.4 * jaro_winkler(a, b) + 0.2 * (1 - edit_distance(a, b))
+
+
+def _grams(c: Column) -> Column:
+    return F.when(F.length(c) >= 2, F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: c.substr(i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
+def dice_multiset(a: Column, b: Column) -> Column:
+    """Bigrams with repeats: twice the sum of the lesser counts over all bigrams."""
+    x, y = _grams(F.lower(a)), _grams(F.lower(b))
+    n = F.size(x) + F.size(y)
+
+    def count(arr: Column, g: Column) -> Column:
+        return F.size(F.filter(arr, lambda v: v == g))
+
+    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda t, g: t + F.least(count(x, g), count(y, g)))
+    return F.when(F.lower(a) == F.lower(b), 1.0).when(n == 0, 0.0).otherwise(2.0 * both / n)
+
+
+def dice_joined(a: Column, b: Column) -> Column:
+    """Set bigrams without spaces and hyphens; two empty strings give 1."""
+    x, y = (F.regexp_replace(c, "[ -]", "") for c in (a, b))
+    return F.when((x == "") & (y == ""), 1.0).otherwise(dice(x, y))

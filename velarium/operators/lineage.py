@@ -161,3 +161,19 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     r = df.select(value, F.row_number().over(Window.orderBy(value)).alias("i"), F.sum(value).over(w).alias("c"))
     return r.agg(F.round((F.count("*") + 1 - 2 * F.sum("c") / F.max("c")) / F.count("*"), 9).alias("gini"))
+
+
+def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(student, target, found): each advisor reference by id, else by name in lower case, else a
+    shadow node of its name. edges: student, ref; nodes: gid, name."""
+    by_id = nodes.select(F.col("gid").alias("_i")).distinct()
+    by_name = nodes.groupBy(F.lower("name").alias("_n")).agg(F.min("gid").alias("_g"))
+    j = edges.join(by_id, F.col("ref") == F.col("_i"), "left").join(by_name, F.lower("ref") == F.col("_n"), "left")
+    found = F.when(F.col("_i").isNotNull(), "id").when(F.col("_g").isNotNull(), "name").otherwise("shadow")
+    return j.select("student", F.coalesce("_i", "_g", F.concat(F.lit("SHADOW::"), "ref")).alias("target"), found.alias("found"))
+
+
+def coherence(degree: DataFrame) -> DataFrame:
+    """Mean of positive scores and how many are high (over .8) and medium (over .5)."""
+    s = F.col("score")
+    return degree.agg(F.round(F.avg(F.when(s > 0, s)), 9).alias("mean"), F.count_if(s > 0.8).alias("high"), F.count_if((s > 0.5) & (s <= 0.8)).alias("medium"), F.count_if(s <= 0.5).alias("low"))

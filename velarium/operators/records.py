@@ -99,3 +99,34 @@ def page(df: DataFrame, order: list, offset: int, limit: int, most: int = 10_000
 
 def attribution(spark: SparkSession, sources: DataFrame) -> DataFrame:
     return sources.groupBy("source").agg(F.count("*").alias("n")).select("source", F.concat(F.lit("Data from "), "source", F.lit(" ("), F.col("n").cast("string"), F.lit(" records)")).alias("line"))
+
+
+#: Signs of markup, queries, paths and code in a name.
+SUSPICIOUS = r"(?i)(<script|javascript:|drop table|union select|\.\./|\$\{|--;|/\*)"
+
+
+def name_threats(c: Column, most: int = 150) -> Column:
+    """Names of the security checks that a name fails."""
+    return F.array_compact(
+        F.array(
+            F.when(F.length(c) > most, F.lit("too_long")),
+            F.when(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"), F.lit("control")),
+            F.when(c.rlike(SUSPICIOUS), F.lit("pattern")),
+            F.when(c.rlike("[A-Za-z]") & c.rlike(r"[\x{0400}-\x{04FF}\x{0370}-\x{03FF}]"), F.lit("mixed_script")),
+        )
+    )
+
+
+def timeline_ordered(years: Column) -> Column:
+    """Whether no year of the array is below the one before it."""
+    return F.forall(F.zip_with(F.slice(years, F.lit(1), F.greatest(F.size(years) - 1, F.lit(0))), F.slice(years, F.lit(2), F.greatest(F.size(years) - 1, F.lit(0))), lambda a, b: F.coalesce(a <= b, F.lit(True))), lambda x: x)
+
+
+def ngrams(c: Column, least: int, most: int) -> Column:
+    """Character n-grams of all lengths from least to most."""
+
+    def of(n: int) -> Column:
+        at = F.sequence(F.lit(1), F.length(c) - (n - 1))
+        return F.when(F.length(c) >= n, F.transform(at, lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*map(of, range(least, most + 1))))

@@ -255,17 +255,16 @@ def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], leas
     first = np.cumsum(full) - full
     text = np.full(int(full.sum()), 0xFF, np.uint8)
     text[spans(first, sizes)] = data
-    owner = np.repeat(np.arange(n), full)
-    left = np.repeat(first + full, full) - np.arange(len(text))
+    owner = np.repeat(np.arange(n, dtype=np.int32), full)
+    left = np.repeat((first + full).astype(np.int32), full) - np.arange(len(text), dtype=np.int32)
     begins = np.zeros(len(text), bool)
     begins[first] = True
     shard = np.cumsum(full) // shard_bytes
     cuts = np.append(first[np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))], len(text))
-    order, bwt, link = np.empty(len(text), np.int64), np.empty(len(text), np.uint8), np.empty(len(text), np.int64)
+    order, bwt, link = np.empty(len(text), np.int32), np.empty(len(text), np.uint8), np.empty(len(text), np.int32)
     for a, b in zip(cuts[:-1], cuts[1:]):
         o, t, k = transform(text[a:b], left[a:b], begins[a:b])
         order[a:b], bwt[a:b], link[a:b] = o + a, t, np.where(k < 0, -1, k + a)
-    link = link.astype(np.int32)
     at = np.arange(len(text), dtype=np.int32)  # the interleave: shards one after another
     interval = np.zeros(len(text), np.int32)
     start = 8 if length > 8 else 0

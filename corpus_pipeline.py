@@ -3,7 +3,8 @@ that is written as Parquet and read again as the next one's docs; all but the la
 columns of documents.
 
 1. quality_rules: documents that the distribution rules reject go.
-2. simhash: one document of each group of near copies stays, the one with the smallest id.
+2. simhash: one document of each group of near copies (five-word shingles, Jaccard similarity
+   of 0.8) stays, the one with the smallest id.
 3. suffix_dedup: passages that start in a document with a smaller id are taken out of the
    others' texts, in whole characters; `n_chars` follows. Documents stay, emptied ones too.
 4. mixing: documents are taken as often as their source's target says, in whole documents.

@@ -159,6 +159,26 @@ def test_near_pairs_connect_exactly(spark, bucket):
     assert got == want
 
 
+@pytest.mark.parametrize("bucket", [2, 64])
+def test_stage_links_equal_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rng = random.Random(16)
+    texts, line = [], [f"common{i}" for i in range(12)]
+    for _ in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([6, 40, 120]))] + line
+        for _ in range(8):
+            w = list(words)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = [p for p in links if bin(fingerprint(texts[p[0]]) ^ fingerprint(texts[p[1]])).count("1") > 2]
+    assert far  # links that two bits of 64 miss
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert dict(rows(simhash.similar_documents(docs))) == groups(range(len(texts)), links)
+
+
 def test_simhash_on_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

@@ -19,6 +19,11 @@ linear whatever the group's size.
 
 Components come from distributed min-label stars. Null ids are kept; a component's id is its
 smallest id that is not null. An empty table gives no rows; other columns are not touched.
+
+The pipeline's stage (keep_one) links documents whose sets of five-word shingles have a Jaccard
+similarity of at least 0.8. Such texts differ in ten of 64 bits on average, and in any number at
+worst, so no radius holds them all: the stage does not use fingerprints. Candidates come from
+the prefix filter instead, which misses no such pair, and each is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, components, ship, slices, table, written
+from ._common import Words, components, ship, slices, table, tidy, written
 
 SEED = 42
 WORDS_PER_SHINGLE = 3
@@ -40,10 +45,17 @@ DISTANCE = 2
 BUCKET = 64
 #: Hot segment values up to which they are sent to every executor (12 bytes each).
 MAX_BROADCAST_VALUES = 200_000
+#: The pipeline's stage: words of a shingle, and the least Jaccard similarity as a fraction.
+STAGE_WORDS = 5
+SIMILAR = (4, 5)
+#: Groups of shingles that are counted to sort rare ones first; the order changes no result.
+SKETCH, SKETCH_ROWS = 1 << 20, 64
+#: Turns in which crowded lists try one pair a set before all pairs are tried.
+ROUNDS = 4
 
 
-def fingerprints_of(texts: pa.Array, k: int = WORDS_PER_SHINGLE, seed: int = SEED) -> np.ndarray:
-    """uint64 fingerprint of each text."""
+def shingles_of(texts: pa.Array, k: int = WORDS_PER_SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """uint64 hashes of each text's shingles, repeats included."""
     w = Words(texts, lower=True)
     n = len(w)
     size = np.diff(w.offsets)
@@ -51,17 +63,24 @@ def fingerprints_of(texts: pa.Array, k: int = WORDS_PER_SHINGLE, seed: int = SEE
     start = w.offsets[:-1] + np.arange(n)
     spaced[np.arange(len(w.data)) + np.repeat(np.arange(n), size)] = w.data
     end = start + size
-    out = np.zeros(len(texts), np.uint64)
     view = memoryview(spaced)
     digest = xxhash.xxh64_intdigest
-    for row, (a, b) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist())):
+    for a, b in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist()):
         if a == b:
-            continue
-        if b - a <= k:
+            spans = []
+        elif b - a <= k:
             spans = [(int(start[a]), int(end[b - 1]))]
         else:
             spans = zip(start[a : b - k + 1].tolist(), end[a + k - 1 : b].tolist())
-        h = np.array([digest(view[i:j], seed) for i, j in spans], np.uint64)
+        yield np.array([digest(view[i:j], seed) for i, j in spans], np.uint64)
+
+
+def fingerprints_of(texts: pa.Array, k: int = WORDS_PER_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """uint64 fingerprint of each text."""
+    out = np.zeros(len(texts), np.uint64)
+    for row, h in enumerate(shingles_of(texts, k, seed)):
+        if not len(h):
+            continue
         votes = np.zeros(64, np.int64)
         for c in range(0, len(h), 1 << 16):
             part = h[c : c + (1 << 16)]
@@ -127,10 +146,138 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
+def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
+    """(node, set): the distinct shingle hashes in order, 8 bytes each, and their hash."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in slices(b.column(0)):
+                sets = [np.unique(h).tobytes() for h in shingles_of(b.column(0).slice(i, j - i), k)]
+                node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "set"])
+        tidy()
+
+    return docs.select(text_col).mapInArrow(run, "node bigint, set binary")
+
+
+def commonness(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """Octave of the number of sets that hold each of SKETCH groups of shingles."""
+    ship(docs.sparkSession)
+    step = SKETCH // SKETCH_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for b in batches:
+            for i, j in slices(b.column(0)):
+                for x in shingles_of(b.column(0).slice(i, j - i), k):
+                    np.add.at(total, (np.unique(x) % np.uint64(SKETCH)).astype(np.int64), 1)
+        tidy()
+        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int64()), pa.array([total[i : i + step].tobytes() for i in range(0, SKETCH, step)], pa.binary())], names=["part", "n"])
+
+    def add(key, t):
+        n = np.zeros(step, np.int64)
+        for x in t.column("n").to_pylist():
+            n += np.frombuffer(x, np.int64)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
+
+    out = np.zeros(SKETCH, np.int64)
+    for r in docs.select(text_col).mapInArrow(run, "part bigint, n binary").groupBy("part").applyInArrow(add, "part bigint, n binary").collect():  # SKETCH_ROWS
+        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["n"], np.int64)
+    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+
+
+def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, node, size, prefix): the hash and number of a text's distinct shingles and the rarest
+    of them, so many that two sets as similar as SIMILAR share one, whatever the common order."""
+    rank = docs.sparkSession.sparkContext.broadcast(commonness(docs, text_col, k))
+    kind = docs.select(id_col).schema[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in slices(b.column(1)):
+                node, size, first = [], [], []
+                for h in map(np.unique, shingles_of(b.column(1).slice(i, j - i), k)):
+                    n = len(h)
+                    take = n + (-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
+                    by = np.argsort(rank.value[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")[:take]
+                    node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                    size.append(n)
+                    first.append(h[by].view(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, "node", "size", "prefix"])
+        tidy()
+
+    long = T.LongType()
+    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([kind, T.StructField("node", long), T.StructField("size", long), T.StructField("prefix", T.ArrayType(long))]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets (node, set) have a Jaccard similarity of at least SIMILAR."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(n * SIMILAR[1] >= SIMILAR[0] * (len(x) + len(y) - n))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+def similar_links(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links between distinct sets that connect exactly those with a Jaccard similarity of
+    at least SIMILAR. Candidates share a prefix shingle, may reach the overlap by their sizes and
+    places, and are verified. Where more than BUCKET sets share one, each set is tried first with
+    one other of a list that it shares; what remains in one component then makes no more pairs."""
+    post = marked.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    lists = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
+    live = written(post.join(lists, "token").dropDuplicates(["token", "node"]))
+    crowds = written(live.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("token"))
+    # from the first common shingle on: the overlap must reach SIMILAR / (1 + SIMILAR) of both sizes
+    may = f"least(sa - pa, sb - pb) * {sum(SIMILAR)} >= {SIMILAR[0]} * (sa + sb)"
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select("token", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}"))
+
+    def pairs(df: DataFrame) -> DataFrame:
+        return side(df, "a").join(side(df, "b"), "token").where(f"a < b AND ca <> cb AND {may}").select("a", "b").distinct()
+
+    calm = written(pairs(live.join(crowds, "token", "left_anti").withColumn("c", F.col("node"))))
+    crowded = written(live.join(crowds, "token", "left_semi"))
+    nodes = written(calm.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct())
+    mark = F.broadcast if nodes.count() <= MAX_BROADCAST_VALUES else (lambda x: x)
+    own = written(sets.join(mark(nodes), "node", "left_semi").dropDuplicates(["node"]))
+    links = written(verified(calm, own))
+    if crowds.isEmpty():
+        return links
+    for turn in range(ROUNDS + 1):
+        cur = written(crowded.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")))
+        mixed = cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1")
+        if turn == ROUNDS or mixed.where(F.col("n") > BUCKET).isEmpty():
+            return links.unionByName(verified(pairs(cur), own))
+        tried = side(cur, "a").join(side(mixed.select("token", "p.*"), "b"), "token").where(f"ca <> cb AND {may}")
+        some = tried.groupBy("a").agg(F.min_by("b", F.xxhash64("token", F.lit(turn))).alias("b"))
+        links = written(links.unionByName(verified(some, own)))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = STAGE_WORDS) -> DataFrame:
+    """(id, component_id) for each row of docs: documents whose sets of k-word shingles have a
+    Jaccard similarity of at least SIMILAR are linked."""
+    marked = written(prefixes(docs, id_col, text_col, k))
+    comp = written(components(similar_links(marked, shingle_sets(docs, text_col, k))))
+    distinct = marked.groupBy("node").agg(F.min(id_col).alias("least"))
+    by_node = written(distinct.join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")))
+    classes = by_node.groupBy("c").agg(F.min("least").alias("component_id"))
+    return marked.select(id_col, "node").join(by_node.join(classes, "c").select("node", "component_id"), "node").select(id_col, "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that are near copies of one with a smaller id. Rows that
     repeat an id stay or go together; rows without an id stay unless copied by one that has."""
-    seen = near_duplicates(docs, id_col, text_col)
+    seen = similar_documents(docs, id_col, text_col)
     gone = seen.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
 

@@ -124,3 +124,22 @@ def test_enrichment_keeps_every_row(spark):
     assert got[1]["collides"]
     assert (got[1]["detected"], got[4]["detected"], got[5]["detected"]) == ("B1", "R0", "E1")
     assert got[1]["birth_text"] == "1700s"
+
+
+def test_components_whole_equals_union_find(spark, tmp_path):
+    from velarium.plans.registry import QUERIES
+
+    rows = [(p, 10 + p % 3 if p < 900 else 900 + p, 1 + p % 7) for p in range(0, 1200, 7)] + [(1000, 5000, 2), (2000, 5000, 3), (1, 1, 4)]
+    spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for p, s, _ in rows:
+        x, y = find(p), find(-1 - s)
+        parent[max(x, y)] = min(x, y)
+    got = {r["node"]: r["component"] for r in QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    assert got == {n: find(n) for n in list(parent)}

@@ -165,6 +165,14 @@ def components(spark, sf):
     return lineage.components(e, "p", "s")
 
 
+@query("components_whole")
+def components_whole(spark, sf):
+    """Over every part and supplier of lineitem; suppliers get negative numbers."""
+    _checkpoints(spark)
+    e = V.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("p"), (-1 - F.col("l_suppkey")).alias("s")).distinct()
+    return lineage.components(e, "p", "s")
+
+
 @query("acyclic_rest", f"WITH RECURSIVE {V.EDGES_SQL}, e AS (SELECT DISTINCT * FROM edges), w AS (SELECT student AS root, advisor AS node FROM e UNION SELECT w.root, e.advisor FROM w JOIN e ON w.node = e.student), c AS (SELECT DISTINCT root FROM w WHERE root = node), k AS (SELECT DISTINCT w.root FROM w JOIN c ON w.node = c.root UNION SELECT root FROM c) SELECT student, advisor FROM e WHERE advisor IN (SELECT root FROM k)")
 def acyclic_rest(spark, sf):
     _checkpoints(spark)

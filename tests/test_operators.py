@@ -143,3 +143,25 @@ def test_components_whole_equals_union_find(spark, tmp_path):
         parent[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in QUERIES["components_whole"](spark, str(tmp_path)).collect()}
     assert got == {n: find(n) for n in list(parent)}
+
+
+def test_lineage_frontier_whole_equals_brute_force(spark, tmp_path):
+    from velarium.plans.registry import QUERIES
+
+    keys = range(1, 400)
+    spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    edges = {(k, k // 3) for k in keys if k >= 3} | {(k // 3, k) for k in keys if k % 101 == 0}
+    up = {}
+    for s, a in edges:
+        if s != a and (a, s) not in edges:
+            up.setdefault(s, set()).add(a)
+    want = set()
+    for root in up:
+        seen, last = {root}, {root}
+        for d in range(1, 13):
+            last = {a for n in last for a in up.get(n, ())} - seen
+            seen |= last
+            want |= {(root, n, d) for n in last}
+    got = {(r["root"], r["node"], r["depth"]) for r in QUERIES["lineage_frontier_whole"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {r for r, _, _ in got if r % 50}

@@ -187,6 +187,14 @@ def lineage_frontier(spark, sf):
     return lineage.frontier(e, roots, True, 12)
 
 
+@query("lineage_frontier_whole")
+def lineage_frontier_whole(spark, sf):
+    """From every node that has an advisor."""
+    _checkpoints(spark)
+    e = lineage.clean_edges(V.advisor_edges(spark, sf))
+    return lineage.frontier(e, e.select(F.col("student").alias("node")).distinct(), True, 12)
+
+
 @query("betweenness")
 def betweenness(spark, sf):
     return lineage.betweenness(lineage.clean_edges(V.advisor_edges(spark, sf)))

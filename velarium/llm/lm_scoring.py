@@ -1,23 +1,27 @@
 """Language-model scores by context-tree weighting over bytes.
 
 Texts are lower-cased (A-Z) and read as bytes with an end mark. A byte is eight binary
-decisions, most significant first; each decision has a context tree over the classes (48, so
-the tree stays narrow) of the DEPTH bytes before it. A node's counts give a
-Krichevsky-Trofimov block probability, and P_w = (P_e + product of the children's P_w) / 2
-mixes all depths. Counts are sufficient for both, so training is one distributed count of
-(context, byte) over all training texts, kept whole. The tree that scores has a fixed size: it
-grows all contexts up to two bytes and the MAX_CONTEXTS most frequent deeper ones; the others'
-counts make one child of their parent together. Scoring freezes the model: a decision's
-probability mixes the estimates along its context's path with the posterior weights; a node
-without data takes its parent's estimate. The log probabilities of all bytes in all grown
-contexts make one table, so a byte costs a walk of a few look-ups.
+decisions, most significant first; each decision has a context tree over the DEPTH bytes
+before it, as they are. A node's counts give a Krichevsky-Trofimov block probability, and
+P_w = (P_e + product of the children's P_w) / 2 mixes all depths. Scoring freezes the model: a
+decision's probability mixes the estimates along its context's path with the posterior
+weights; the weight left below the deepest node with data goes to that node's estimate.
+
+Nothing is cut: every (context, byte) of the training texts counts, and the tree grows with
+them. It is never in one place. Texts lie in blocks; a block sends each of its distinct
+(context, byte) keys once, with its training count, to the group of the key's last SPLIT
+bytes. A group merges the counts and weighs its subtrees; the few levels above SPLIT are weighed
+by last byte, the root on the driver (256 rows). The weights come back the same way, groups
+answer each block with the log probabilities of its keys, and blocks sum them over their texts.
 
 Beside it stands a unigram base over words and one end token per text with add-one smoothing.
-Its vocabulary is never collected: blocks of texts give one row per distinct word, counts meet
-by word, and each block gets the counts of its own words back.
+Its vocabulary is never collected: blocks give one row per distinct word, counts are summed by
+word and joined back, and each block gets the counts of its own words.
 
 A null text is empty; an empty text has only its end. Null ids hash as empty text. Repeated
-rows are scored alike and all counted. An empty table gives no rows.
+rows are scored alike and all counted. A null flag counts as training. An empty table gives no
+rows. Very long texts stand alone in a block, whole. Other columns are not touched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,44 +31,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import LOWER, Words, bytes_of, crc_mod, per_text, ship, slices, table, tidy, written
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 does not use
-CLASSES = 48
 DEPTH = 6
-#: Contexts of three bytes and more that the tree grows; each costs a worker some 1.2 KB.
-MAX_CONTEXTS = 1 << 16
-#: Tasks whose counts meet first.
-FAN_IN = 64
-#: Bytes of text handled at once.
-SLICE = 2 << 20
-#: Bytes of text whose words share one dictionary.
-BLOCK_BYTES = 12 << 20
+#: Bytes of context that choose a key's group; deeper subtrees lie whole in one group.
+SPLIT = 3
+#: Bytes of text in a block, and of a part of it whose keys are sorted at once.
+BLOCK_BYTES, SLICE = 12 << 20, 2 << 20
+#: Groups at most; a block sends one row to each at most, so rows grow with the blocks only.
+MAX_GROUPS = 4096
 #: No word: stands for the end of a text.
 END_TOKEN = b"\n"
+U = np.uint64
+HALF = float(np.log(0.5))
 
 
-def byte_classes() -> np.ndarray:
-    """Class of each byte as context: letters apart, folded case, a few signs, digits as one,
-    bytes over 127 by their low bits."""
-    c = np.full(256, 33, np.int32)
-    c[97:123] = c[65:91] = np.arange(26)
-    c[[32, 10, 9, 11, 12, 13]] = [26, 27, 28, 28, 28, 28]
-    c[48:58] = 29
-    c[[ord("."), ord(","), ord("|")]] = [30, 31, 32]
-    c[128:192] = 34 + np.arange(64) % 8
-    c[192:] = 42 + np.arange(64) % 5
-    c[[PAD, END]] = 47
-    return c
-
-
-CLASS_OF = byte_classes()
-
-
+# ---------------------------------------------------------------- keys
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, positions to predict, bounds): every text follows DEPTH pads and ends with END."""
     raw, offsets = bytes_of(texts)
@@ -78,459 +65,466 @@ def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def keys_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """context * 256 + byte at each position; the latest byte is the context's first digit."""
-    k = CLASS_OF[data].astype(np.int64)
-    context = np.zeros(len(at), np.int64)
+    """The DEPTH bytes before each position, latest first, then its own: one number each."""
+    k = np.zeros(len(data), U)
     for d in range(1, DEPTH + 1):
-        context *= CLASSES
-        context += k[at - d]
-    return context * 256 + data[at]
-
-
-def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and the sum of their counts (1 each by default)."""
+        k[d:] |= data[:-d].astype(U) << U(8 * (DEPTH - d + 1))
+    k |= data
+    return k[at]
+
+
+def shorter(keys: np.ndarray) -> np.ndarray:
+    """Keys without their oldest byte of context."""
+    return (keys >> U(16)) << U(8) | (keys & U(255))
+
+
+def edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+
+
+def group_of(keys: np.ndarray, depth: int, groups: int) -> np.ndarray:
+    """Group of each sorted key of `depth` bytes of context, by the last SPLIT of them."""
+    context = keys >> U(8 * (depth - SPLIT) + 8)
+    return ((context * U(0x9E3779B97F4A7C15) >> U(40)) % U(groups)).astype(np.uint16)
+
+
+def local_keys(texts: pa.Array, mark: np.ndarray | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(first text, sorted key << 8 | mark of its text) of parts of at most SLICE bytes and 256
+    texts; where mark is None, a text's mark is its place in the part."""
+    for i, j in slices(texts, SLICE):
+        for a in range(i, j, 256):
+            b = min(a + 256, j)
+            data, at, bounds = stream(texts.slice(a, b - a))
+            own = np.arange(b - a) if mark is None else mark[a:b]
+            yield a, np.sort(keys_of(data, at) << U(8) | np.repeat(own.astype(U), np.diff(bounds)))
+
+
+def block_keys(texts: pa.Array, train: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distinct keys of some texts in order, and how often training texts hold each."""
+    keys, counts, held = [], [], 0
+    for _, s in local_keys(texts, train if train is not None else np.zeros(len(texts), bool)):
+        k = s >> U(8)
+        first = edges(k)
+        keys.append(k[first])
+        if train is not None:
+            counts.append(np.add.reduceat((s & U(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64))
+        held += len(first)
+        if held > 3_000_000 and len(keys) > 8:
+            k, n = merged(keys, counts if train is not None else None)
+            keys, counts, held = [k], [n], len(k)
+    return merged(keys, counts if train is not None else None)
+
+
+def merged(keys: list[np.ndarray], counts: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Distinct keys in order and the sums of their counts."""
+    if not keys:
+        return np.zeros(0, U), None if counts is None else np.zeros(0, np.int64)
+    k = np.concatenate(keys)
     if counts is None:
-        keys = np.sort(keys)
-    else:
-        by = np.argsort(keys, kind="stable")
-        keys, counts = keys[by], counts[by]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    sums = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
-    return keys[first], sums.astype(np.int64)
+        k = np.sort(k)
+        return k[edges(k)], None
+    if len(keys) == 1:
+        return k, counts[0]
+    by = np.argsort(k, kind="stable")
+    k, n = k[by], np.concatenate(counts)[by]
+    first = edges(k)
+    return k[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _pack(a: np.ndarray) -> bytes:
-    raw = np.ascontiguousarray(a).tobytes()
+    """Bytes of equal weight stand together, which compresses well."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _open(b: bytes, dtype) -> np.ndarray:
     size = int.from_bytes(b[:8], "little")
-    return np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), dtype) if size else np.zeros(0, dtype)
+    if not size:
+        return np.zeros(0, dtype)
+    item = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), np.uint8).reshape(item, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=U(0)))
 
-def _pack_counts(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return _pack(np.diff(keys, prepend=0)), _pack(counts)
 
+def _open_keys(b: bytes) -> np.ndarray:
+    return np.cumsum(_open(b, U), dtype=U)
 
-def _open_counts(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_open(keys, np.int64)), _open(counts, np.int64)
 
+# ---------------------------------------------------------------- the tree
+#: lgamma(n + 0.5) - lgamma(0.5) and lgamma(n + 1) of small counts.
+SMALL = 1 << 14
+_HALVES = np.append(0, np.cumsum(np.log(np.arange(SMALL) + 0.5)))
+_WHOLES = np.append(0, np.cumsum(np.log(np.arange(SMALL) + 1.0)))
 
-#: Least counts are told apart exactly up to EXACT, then in steps of a sixteenth of an octave.
-EXACT = 1024
-BINS = EXACT + 16 * 64
 
+def _stirling(x: np.ndarray) -> np.ndarray:
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3)
 
-def _bin(n: np.ndarray) -> np.ndarray:
-    return np.where(n < EXACT, n, EXACT + np.floor(16 * np.log2(np.maximum(n, EXACT) / EXACT)).astype(np.int64))
 
+def _log_rising(n: np.ndarray, small: np.ndarray, shift: float, base: float) -> np.ndarray:
+    out = small[np.minimum(n, SMALL)]
+    big = n > SMALL
+    if big.any():
+        out[big] = _stirling(n[big] + shift) - base
+    return out
 
-def gather(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """One row for each class pair of the last two bytes: all (context, byte) counts below it.
-    Counts meet in two steps, so no group gathers a row from every task."""
-    ship(docs.sparkSession)
-    span = CLASSES ** (DEPTH - 2) * 256
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = TaskContext.get().partitionId() // FAN_IN
-        keys, counts, held = [], [], 0
+def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Log Krichevsky-Trofimov block probability of so many zeros and ones."""
+    half = 0.5 * float(np.log(np.pi))
+    return _log_rising(zeros, _HALVES, 0.5, half) + _log_rising(ones, _HALVES, 0.5, half) - _log_rising(zeros + ones, _WHOLES, 1.0, 0.0)
+
+
+class Levels:
+    """Keys and counts of depths `deep` up to `shallow`, and each key's place one level up."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, deep: int, shallow: int):
+        self.keys, self.counts, self.up = {deep: keys}, {deep: counts}, {}
+        for d in range(deep - 1, shallow - 1, -1):
+            self.keys[d], self.up[d + 1] = np.unique(shorter(self.keys[d + 1]), return_inverse=True)
+            self.counts[d] = np.bincount(self.up[d + 1], weights=self.counts[d + 1], minlength=len(self.keys[d])).astype(np.int64)
+        self.deep, self.shallow = deep, shallow
+
+
+def runs(keys: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first key, number for each key) of the decision nodes after `bit` bits of the byte."""
+    node = keys >> U(8 - bit)
+    first = edges(node)
+    number = np.zeros(len(keys), np.int64)
+    number[first[1:]] = 1
+    return first, np.cumsum(number)
+
+
+def sweep(t: Levels, below: list[np.ndarray] | None = None, above: list[tuple] | None = None, leaves: bool = True):
+    """Weighs the levels decision by decision (bit by bit). below: log P_w of the deepest level's
+    nodes where the tree goes on under it. Without `above`: log P_w of the shallowest level's
+    nodes, for each bit. With it, (total, left, leaf) for the nodes of the shallowest level as
+    their parents have them: the probability of a one at the deepest level's nodes if `leaves`,
+    else (total, left, leaf) for these."""
+    out = []
+    for bit in range(8):
+        first, number, estimate, weight, seen, parent = {}, {}, {}, {}, {}, {}
+        weighted = None
+        for d in range(t.deep, t.shallow - 1, -1):
+            first[d], number[d] = runs(t.keys[d], bit)
+            n = len(first[d])
+            byte = (t.keys[d] >> U(7 - bit)) & U(1)
+            total = np.bincount(number[d], weights=t.counts[d], minlength=n).astype(np.int64)
+            ones = np.bincount(number[d], weights=t.counts[d] * byte.astype(np.int64), minlength=n).astype(np.int64)
+            own = log_kt(total - ones, ones)
+            estimate[d], seen[d] = (ones + 0.5) / (total + 1.0), total > 0
+            if d == t.deep:
+                weighted, weight[d] = (own, None) if below is None else (below[bit], None)
+            else:
+                parent[d + 1] = number[d][t.up[d + 1][first[d + 1]]]
+                children = np.bincount(parent[d + 1], weights=weighted, minlength=n)
+                weighted = np.logaddexp(own, children) + HALF
+                weight[d] = np.exp(own + HALF - weighted)
+        if above is None:
+            out.append(weighted)
+            continue
+        total, left, leaf = above[bit]
+        for d in range(t.shallow, t.deep + (1 if leaves else 0)):
+            if d > t.shallow:
+                total, left, leaf = total[parent[d]], left[parent[d]], leaf[parent[d]]
+            leaf = np.where(seen[d], total + left * estimate[d], leaf)
+            if weight[d] is not None:
+                total, left = total + left * weight[d] * estimate[d], left * (1 - weight[d])
+        if leaves:
+            out.append(leaf)
+        else:
+            to = parent[t.deep]
+            out.append((total[to], left[to], leaf[to]))
+    return out
 
-        def merged():
-            k = _counted(np.concatenate(keys), np.concatenate(counts))
-            keys[:], counts[:] = [k[0]], [k[1]]
-            return len(k[0])
 
-        for b in batches:
-            for i, j in slices(b.column(0), SLICE):
-                data, at, _ = stream(b.column(0).slice(i, j - i))
-                k, n = _counted(keys_of(data, at))
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > 1_500_000:
-                    held = merged() // 2  # distinct keys grow slowly: merge again after as many more
-        if keys:
-            merged()
-            k, n = keys.pop(), counts.pop()
-            tidy()
-            pair = k // span
-            first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-            ends = np.append(first[1:], len(k))
-            packed = [_pack_counts(k[a:b], n[a:b]) for a, b in zip(first, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(pair[first], pa.int64()), pa.array([salt] * len(first), pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], names=["pair", "salt", "k", "n"])
-
-    def meet(key, t):
-        both = [_open_counts(*x) for x in zip(t.column("k").to_pylist(), t.column("n").to_pylist())]
-        k, n = _counted(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
-        p = _pack_counts(k, n)
-        return pa.table({"pair": pa.array([key[0].as_py()], pa.int64()), "salt": pa.array([0], pa.int64()), "k": pa.array([p[0]], pa.binary()), "n": pa.array([p[1]], pa.binary())})
-
-    schema = "pair bigint, salt bigint, k binary, n binary"
-    parts = docs.select(text_col).mapInArrow(run, schema).groupBy("pair", "salt").applyInArrow(meet, schema)
-    return parts.groupBy("pair").applyInArrow(meet, schema)
-
-
-def contexts_of(keys: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(context * 256 + byte, n) at a lesser depth."""
-    short = (keys // 256) // CLASSES ** (DEPTH - depth) * 256 + keys % 256
-    return _counted(short, counts)
-
-
-def train(docs: DataFrame, text_col: str = "text", max_contexts: int = MAX_CONTEXTS) -> _Handle:
-    """The counts of the tree's contexts, sent to all executors: all contexts up to two bytes,
-    and of the deeper ones those that occur often enough for max_contexts of them."""
-    grams = written(gather(docs, text_col))
-
-    def census(batches):
-        for b in batches:
-            for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys, counts = _open_counts(k, n)
-                total = np.zeros(BINS, np.int64)
-                for depth in range(3, DEPTH + 1):
-                    c, m = contexts_of(keys, counts, depth)
-                    _, m = _counted(c // 256, m)
-                    total += np.bincount(_bin(m), minlength=BINS)
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["bin", "n"])
-
-    bins = grams.select("k", "n").mapInArrow(census, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).sort(F.desc("bin")).collect()  # BINS at most
-    least, so_far = BINS, 0
-    for r in bins:
-        so_far += r["n"]
-        if so_far > max_contexts:
-            break
-        least = r["bin"]
-
-    def grown(batches):
-        for b in batches:
-            for pair, k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                keys, counts = _open_counts(k, n)
-                for depth in range(2, DEPTH + 1):
-                    c, m = contexts_of(keys, counts, depth)
-                    if depth > 2:
-                        whole, total = _counted(c // 256, m)
-                        keep = (_bin(total) >= least)[np.searchsorted(whole, c // 256)]
-                        c, m = c[keep], m[keep]
-                    if len(c):
-                        p = _pack_counts(c, m)
-                        yield pa.RecordBatch.from_arrays([pa.array([pair], pa.int64()), pa.array([depth], pa.int32()), pa.array([p[0]], pa.binary()), pa.array([p[1]], pa.binary())], names=["pair", "depth", "k", "n"])
-
-    kept = grams.select("pair", "k", "n").mapInArrow(grown, "pair bigint, depth int, k binary, n binary").toArrow().to_pylist()
-    payload = sorted((r["pair"], r["depth"], r["k"], r["n"]) for r in kept)
-    return _Handle(docs.sparkSession.sparkContext.broadcast(payload))
-
-
-def _lgamma(x: np.ndarray) -> np.ndarray:
-    """For x >= 0.5: shifted Stirling series."""
-    shift = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5)
-    y = x + 6
-    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
-
-
-def _totals(counts: np.ndarray) -> np.ndarray:
-    """Heap of sums for rows of 256 byte counts: node i holds 2 i and 2 i + 1."""
-    t = np.zeros((len(counts), 512))
-    t[:, 256:] = counts
-    for i in (128, 64, 32, 16, 8, 4, 2, 1):
-        t[:, i : 2 * i] = t[:, 2 * i : 4 * i].reshape(len(t), i, 2).sum(axis=2)
-    return t
-
-
-def _block_log(counts: np.ndarray) -> np.ndarray:
-    """Log KT block probability of each decision node for rows of 256 byte counts."""
-    t = _totals(counts)
-    zero, one = t[:, 0::2], t[:, 1::2]
-    out = np.zeros_like(zero)
-    at = (zero + one) > 0
-    at[:, 0] = False
-    a, b = zero[at], one[at]
-    out[at] = _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - np.log(np.pi)
+def log_bytes(t: Levels, ones: list[np.ndarray]) -> np.ndarray:
+    """Log10 probability of each of the deepest level's keys."""
+    keys = t.keys[t.deep]
+    out = np.zeros(len(keys))
+    for bit in range(8):
+        p = ones[bit][runs(keys, bit)[1]]
+        out += np.log10(np.where((keys >> U(7 - bit)) & U(1), p, 1 - p))
     return out
 
 
-class _Level:
-    """Contexts of one depth below a pair: estimates, totals and weights of their decisions."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.contexts, inverse = np.unique(keys // 256, return_inverse=True)
-        self.counts = np.zeros((len(self.contexts), 256))
-        self.counts[inverse, keys % 256] = counts
-
-    def weigh(self, below: _Level | None) -> None:
-        """`below` may lack contexts; what it lacks counts as one more child."""
-        own = _block_log(self.counts)
-        t = _totals(self.counts)
-        zero, one = t[:, 0::2], t[:, 1::2]
-        self.estimate, self.seen = (one + 0.5) / (zero + one + 1), (zero + one) > 0
-        self.weighted, self.weight = own, np.ones_like(own)
-        if below is not None and len(below.contexts):
-            parent = np.searchsorted(self.contexts, below.contexts // CLASSES)
-            has = np.unique(parent)
-            first = np.searchsorted(parent, has)
-            rest = self.counts[has] - np.add.reduceat(below.counts, first, axis=0)
-            children = np.add.reduceat(below.weighted, first, axis=0) + _block_log(rest)
-            self.weighted = own.copy()
-            self.weighted[has] = np.logaddexp(own[has], children) + np.log(0.5)
-            self.weight[has] = np.exp(own[has] + np.log(0.5) - self.weighted[has])
-
-
-def _subtree(parts: dict[int, tuple[bytes, bytes]]) -> list[_Level]:
-    """Weighed levels from depth 2 on."""
-    levels = [_Level(*_open_counts(*parts[d])) for d in sorted(parts)]
-    below = None
-    for level in reversed(levels):
-        level.weigh(below)
-        below = level
-    return levels
-
-
-def _log_bytes(p: np.ndarray) -> np.ndarray:
-    """Log10 probability of each byte from the probability of a 1 at each decision."""
-    log = np.zeros((len(p), 512))
-    one, zero = np.log10(p), np.log10(1 - p)
-    for i in (1, 2, 4, 8, 16, 32, 64, 128):
-        log[:, 2 * i : 4 * i : 2] = log[:, i : 2 * i] + zero[:, i : 2 * i]
-        log[:, 2 * i + 1 : 4 * i : 2] = log[:, i : 2 * i] + one[:, i : 2 * i]
-    return log[:, 256:].astype(np.float32)
-
-
-class Model:
-    """Frozen tree: `child[node * CLASSES + class]` walks from the root towards older bytes
-    (`dead` where the tree ends), `table[node * 256 + byte]` is the byte's log10 probability."""
-
-    def __init__(self, payload: list[tuple]):
-        pairs: dict[int, dict[int, tuple[bytes, bytes]]] = {}
-        for pair, depth, k, n in payload:
-            pairs.setdefault(pair, {})[depth] = (k, n)
-        names = np.array(sorted(pairs), np.int64)
-        two = _Level(np.zeros(0, np.int64), np.zeros(0))  # depth 2 as a whole
-        two.contexts = names
-        two.counts, two.weighted = np.zeros((len(names), 256)), np.zeros((len(names), 256))
-        nodes = 0
-        for i, pair in enumerate(names.tolist()):
-            levels = _subtree(pairs[pair])
-            top, nodes = levels[0], nodes + sum(len(x.contexts) for x in levels)
-            two.counts[i], two.weighted[i] = top.counts[0], top.weighted[0]
-        if not len(names):
-            self.table, self.child, self.dead = np.full(512, -np.log10(256.0), np.float32), np.full(2 * CLASSES, 1, np.int32), 1
-            self.open = self.best = None
-            self._shorten()
-            return
-        one = _Level.__new__(_Level)
-        one.contexts, inverse = np.unique(names // CLASSES, return_inverse=True)
-        one.counts = np.zeros((len(one.contexts), 256))
-        np.add.at(one.counts, inverse, two.counts)
-        one.weigh(two)
-        root = _Level.__new__(_Level)
-        root.contexts, root.counts = np.zeros(1, np.int64), one.counts.sum(axis=0, keepdims=True)
-        root.weigh(one)
-
-        self.dead = nodes + len(one.contexts) + 1
-        table = np.empty((self.dead, 256), np.float32)
-        child = np.full((self.dead + 1, CLASSES), self.dead, np.int32)
-        node = 0
-
-        def add(p: np.ndarray) -> np.ndarray:
-            nonlocal node
-            table[node : node + len(p)] = _log_bytes(p)
-            node += len(p)
-            return np.arange(node - len(p), node)
-
-        def link(parent: np.ndarray, contexts: np.ndarray, ids: np.ndarray) -> None:
-            child[parent, contexts % CLASSES] = ids
-
-        leaf0 = root.estimate
-        id0 = add(leaf0)
-        sum0, left0 = root.weight * root.estimate, 1 - root.weight
-        leaf1 = np.where(one.seen, sum0 + left0 * one.estimate, leaf0)
-        id1 = add(leaf1)
-        link(np.repeat(id0, len(id1)), one.contexts, id1)
-        sum1, left1 = sum0 + left0 * one.weight * one.estimate, left0 * (1 - one.weight)
-        for pair in names.tolist():
-            i = np.searchsorted(one.contexts, pair // CLASSES)
-            up_ids, up_contexts = id1[i : i + 1], one.contexts[i : i + 1]
-            leaf, total, left = leaf1[i : i + 1], sum1[i : i + 1], left1[i : i + 1]
-            for level in _subtree(pairs[pair]):
-                at = np.searchsorted(up_contexts, level.contexts // CLASSES)
-                leaf_ = np.where(level.seen, total[at] + left[at] * level.estimate, leaf[at])
-                ids = add(leaf_)
-                link(up_ids[at], level.contexts, ids)
-                total = total[at] + left[at] * level.weight * level.estimate
-                left = left[at] * (1 - level.weight)
-                leaf, up_ids, up_contexts = leaf_, ids, level.contexts
-        self.table, self.child = table.ravel(), child.ravel()
-        self._shorten()
-
-    def _shorten(self) -> None:
-        """The walk of the last three bytes in one look-up."""
-        size = CLASSES**3
-        at, best = np.zeros(size, np.int32), np.zeros(size, np.int32)
-        every = np.arange(size)
-        for d in (2, 1, 0):
-            at = self.child[at * np.int64(CLASSES) + every // CLASSES**d % CLASSES]
-            best = np.where(at != self.dead, at, best)
-        self.open, self.best = at, best
-
-    def score(self, texts: pa.Array) -> np.ndarray:
-        data, at, bounds = stream(texts)
-        k = CLASS_OF[data]
-        three = (k[at - 1] * CLASSES + k[at - 2]) * CLASSES + k[at - 3]
-        walk, best = self.open[three], self.best[three]
-        del three
-        for d in range(4, DEPTH + 1):
-            walk = self.child[walk * np.int64(CLASSES) + k[at - d]]
-            best = np.where(walk != self.dead, walk, best)
-        value = self.table[best * np.int64(256) + data[at]]
-        return per_text(value.astype(float), bounds)
-
-
-_MODELS: dict[int, Model] = {}
-
-
-def _model(handle) -> Model:
-    """Built once per worker process and broadcast."""
-    if handle.id not in _MODELS:
-        _MODELS.clear()
-        _MODELS[handle.id] = Model(handle.value)
-        tidy()
-    return _MODELS[handle.id]
+def _join_runs(parts: list[tuple[np.ndarray, list[np.ndarray]]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Parts of (sorted keys, values of their nodes for each bit) as one: (order, keys, values)."""
+    keys = np.concatenate([p[0] for p in parts])
+    order = np.argsort(keys, kind="stable")
+    whole = keys[order]
+    values = []
+    for bit in range(8):
+        each = np.concatenate([p[1][bit][runs(p[0], bit)[1]] for p in parts])[order]
+        values.append(each[runs(whole, bit)[0]])
+    return order, whole, values
 
 
-class _Handle:
-    """A broadcast with its number, which tells models apart inside a reused worker."""
+def _cut_runs(keys: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
+    """Values of nodes, end to end, as one array for each bit."""
+    sizes = [len(runs(keys, bit)[0]) for bit in range(8)]
+    return np.split(flat, np.cumsum(sizes)[:-1])
 
-    def __init__(self, broadcast):
-        self.broadcast, self.id = broadcast, broadcast._jbroadcast.id()
 
-    def __getstate__(self):
-        return {"broadcast": self.broadcast, "id": self.id}
+# ---------------------------------------------------------------- the job
+_ROW = T.StructType([T.StructField("what", T.StringType()), T.StructField("block", T.LongType()), T.StructField("grp", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in "abc")])
+_ROWS = pa.schema([("what", pa.string()), ("block", pa.int64()), ("grp", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
 
-    @property
-    def value(self):
-        return self.broadcast.value
 
+def _rows(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_pylist([dict(zip(_ROWS.names, (*r, *[None] * (6 - len(r))))) for r in rows], _ROWS)
 
-def lm_scores(docs: DataFrame, model: _Handle, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes with the end mark, score log10, bits_per_byte)."""
-    ship(docs.sparkSession)
-    kind = docs.select(id_col).schema[0]
 
-    def run(batches):
-        m = _model(model)
-        for b in batches:
-            for i, j in slices(b.column(1), SLICE):
-                part = b.column(1).slice(i, j - i)
-                score, size = m.score(part), np.diff(bytes_of(part)[1]) + 1
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(score), pa.array(-score / np.log10(2) / size)], names=[id_col, "n_bytes", "score", "bits_per_byte"])
+def _store(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
 
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([kind, T.StructField("n_bytes", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]))
 
+def _load(b: bytes) -> pa.Table:
+    return pa.ipc.open_stream(b).read_all()
 
-def _planes(index: np.ndarray) -> bytes:
-    """Low, middle and high bytes of word numbers, one after another (they compress apart)."""
-    return np.ascontiguousarray(index.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
 
+def _subtrees(keys: np.ndarray, counts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, Levels]]:
+    """(from, to, levels from SPLIT down) of parts that hold whole subtrees, `most` keys or one each."""
+    first = np.append(edges(keys >> U(8 * (DEPTH - SPLIT) + 8)), len(keys))
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + most, side="right")) - 1)
+        a, b = int(first[i]), int(first[j])
+        yield a, b, Levels(keys[a:b], counts[a:b], DEPTH, SPLIT)
+        i = j
 
-def _numbers(planes: bytes) -> np.ndarray:
-    p = np.frombuffer(planes, np.uint8).reshape(3, -1).astype(np.int64)
-    return p[0] | p[1] << 8 | p[2] << 16
 
+def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(block, a): texts with their ids and flags, end to end, as stored tables; docs has the
+    columns id, text, held_out."""
 
-def scored(docs: DataFrame, held_out: str, model: _Handle | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs;
-    the model and the base learn from rows whose boolean column held_out is false."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            for i, j in slices(b.column(1), block_bytes):
+                held.append(b.slice(i, j - i))
+                size += int(bytes_of(held[-1].column(1))[1][-1])
+                if size >= block_bytes:
+                    yield from _rows([("text", number, -1, _store(pa.Table.from_batches(held).combine_chunks()))]).to_batches()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield from _rows([("text", number, -1, _store(pa.Table.from_batches(held).combine_chunks()))]).to_batches()
+        tidy()
+
+    return docs.mapInArrow(run, _ROW)
+
+
+def _flags(t: pa.Table) -> np.ndarray:
+    return t.column("held_out").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes with the end
+    mark, bits_per_byte) for each row of docs; the model and the base learn from rows whose
+    boolean column held_out is false or null."""
     spark = docs.sparkSession
     ship(spark)
-    model = model or train(docs.where(f"NOT {held_out}"), text_col)
-    kind = docs.select(F.col(id_col).alias("id")).schema[0]
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(model)
-        number = TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
-        size = 0
-
-        def flush():
-            nonlocal number, size
-            uniq = pa.concat_arrays([h[1] for h in held] + [pa.array([END_TOKEN], pa.binary())]).dictionary_encode()
-            to, words = uniq.indices.to_numpy(), uniq.dictionary
-            end = int(to[-1])
-            total, trained, rows, at = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-            for index, own, bounds, out, ids, score in held:
-                index = to[at : at + len(own)][index]
-                at += len(own)
-                total += np.bincount(index, minlength=len(words))
-                train_words = np.repeat(~out, np.diff(bounds))
-                trained += np.bincount(index[train_words], minlength=len(words))
-                trained[end] += (~out).sum()
-                rows.append((index, bounds, out, ids, score))
-            rank = np.argsort(np.argsort(-total, kind="stable"), kind="stable")  # frequent words get small numbers
-            for i in range(0, len(words), 1 << 17):
-                w = words.slice(i, 1 << 17)
-                k = len(w)
-                yield record("word", np.full(k, number), word=w, n=trained[i : i + k], idx=rank[i : i + k])
-            for index, bounds, out, ids, score in rows:
-                packed = [_planes(np.append(rank[index[a:b]], rank[end])) for a, b in zip(bounds[:-1], bounds[1:])]
-                yield record("doc", np.full(len(ids), number), n=np.diff(bounds) + 1, id=ids, held_out=out, planes=packed, score=score)
-            number += 1
-            size = 0
-            held.clear()
-            del rows, words, uniq, to
-            tidy()
-
-        def record(what: str, block, **given) -> pa.RecordBatch:
-            n = len(block)
-            cols = [pa.array([what] * n), pa.array(block, pa.int64())]
-            for name, t in (("word", pa.binary()), ("n", pa.int64()), ("idx", pa.int32()), ("id", id_type), ("held_out", pa.bool_()), ("planes", pa.binary()), ("score", pa.float64())):
-                v = given.get(name)
-                cols.append(pa.nulls(n, t) if v is None else v.cast(t) if isinstance(v, pa.Array) else pa.array(v, t))
-            return pa.RecordBatch.from_arrays(cols, names=["what", "block", "word", "n", "idx", "id", "held_out", "planes", "score"])
-
-        id_type = None
+    kind = T.StructField("id", docs.select(F.col(id_col).alias("id")).schema[0].dataType)
+    # columns are renamed one by one, so that clashing names cannot meet
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
+    made = written(blocks_of(docs, block_bytes))
+    groups = min(MAX_GROUPS, 4 * made.count() + 4)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block: its keys for every group, and its words."""
+        names = [*_ROWS.names, "word", "n", "idx"]
+        types = [*_ROWS.types, pa.binary(), pa.int64(), pa.int32()]
+
+        def batch(count: int, **given) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([given[name] if name in given else pa.nulls(count, t) for name, t in zip(names, types)], names=names)
+
         for b in batches:
-            id_type = b.column(0).type
-            for i, j in slices(b.column(1), SLICE):
-                part = b.column(1).slice(i, j - i)
-                words = Words(part, lower=True)
-                index, own = words.encoded()
-                held.append((index, own, words.bounds, b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False).astype(bool), b.column(0).slice(i, j - i), m.score(part)))
-                size += len(bytes_of(part)[0])
-                if size >= BLOCK_BYTES:
-                    yield from flush()
-        if held:
-            yield from flush()
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                t = _load(data)
+                texts, train = t.column("text").combine_chunks(), ~_flags(t)
+                keys, counts = block_keys(texts, train)
+                to = group_of(keys, DEPTH, groups)
+                by = np.argsort(to, kind="stable")
+                to, keys, counts = to[by], keys[by], counts[by]
+                first = edges(to)
+                ends = np.append(first[1:], len(to))
+                yield batch(len(first), what=pa.array(["keys"] * len(first)), block=pa.array([block] * len(first), pa.int64()), grp=pa.array(to[first].astype(np.int64)), a=pa.array([_pack_keys(keys[x:y]) for x, y in zip(first, ends)], pa.binary()), b=pa.array([_pack(counts[x:y].astype(np.int32)) for x, y in zip(first, ends)], pa.binary()))
+                del keys, counts, to, by
+                w = Words(texts, lower=True)
+                index, words = w.encoded()
+                n = np.bincount(index, weights=np.repeat(train, np.diff(w.bounds)), minlength=len(words)).astype(np.int64)
+                words, n = pa.concat_arrays([words, pa.array([END_TOKEN], pa.binary())]), np.append(n, train.sum())
+                for i in range(0, len(words), 1 << 17):
+                    m = min(1 << 17, len(words) - i)
+                    yield batch(m, what=pa.array(["word"] * m), block=pa.array([block] * m, pa.int64()), word=words.slice(i, m), n=pa.array(n[i : i + m]), idx=pa.array(np.arange(i, i + m, dtype=np.int32)))
+                del w, index, words, n
+                tidy()
 
     field = T.StructField
-    schema = T.StructType([field("what", T.StringType()), field("block", T.LongType()), field("word", T.BinaryType()), field("n", T.LongType()), field("idx", T.IntegerType()), kind, field("held_out", T.BooleanType()), field("planes", T.BinaryType()), field("score", T.DoubleType())])
-    seen = written(docs.select(F.col(id_col).alias("id"), F.col(text_col), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out")).select("id", text_col, "held_out").mapInArrow(blocks, schema))
-    by = Window.partitionBy("word").orderBy("block", "idx")
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    words = seen.where("what = 'word'").select("block", "word", "n", "idx")
-    counted = written(words.select("block", "idx", F.sum("n").over(whole).alias("c"), (F.row_number().over(by) == 1).alias("first")))
-    texts = seen.where("what = 'doc'").select("block", "n", "id", "held_out", "planes", "score")
-    distinct = counted.where("first AND c > 0").count()
-    tokens = texts.where("NOT held_out").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sent = written(made.select("block", "a").mapInArrow(send, T.StructType([*_ROW.fields, field("word", T.BinaryType()), field("n", T.LongType()), field("idx", T.IntegerType())])))
+    messages = sent.where("what = 'keys'").select(*_ROWS.names)
+
+    def weigh(key, t):
+        """A group's counts as one, and what its subtrees weigh at SPLIT, by last byte."""
+        k, n = merged([_open_keys(x) for x in t.column("a").to_pylist()], [_open(x, np.int32).astype(np.int64) for x in t.column("b").to_pylist()])
+        out = [("state", -1, key[0].as_py(), _pack_keys(k), _pack(n))]
+        for _, _, levels in _subtrees(k, n):
+            w = sweep(levels)
+            top = levels.keys[SPLIT]
+            first = [runs(top, bit)[0] for bit in range(8)]
+            last = (top >> U(8 * SPLIT)).astype(np.int64)
+            for c in np.unique(last).tolist():
+                a, b = np.searchsorted(last, [c, c + 1])
+                cut = [w[bit][slice(*np.searchsorted(first[bit], [a, b]))] for bit in range(8)]
+                out.append(("up", c, key[0].as_py(), _pack_keys(top[a:b]), _pack(levels.counts[SPLIT][a:b]), _pack(np.concatenate(cut))))
+        tidy()
+        return _rows(out)
+
+    weighed = written(messages.groupBy("grp").applyInArrow(weigh, _ROW))
+    ups = weighed.where("what = 'up'").select("block", "grp", "a", "b", "c")
+
+    def top_levels(t: pa.Table) -> tuple[np.ndarray, Levels, list[np.ndarray]]:
+        """Groups of the keys at SPLIT below one last byte, their levels up to it, and P_w."""
+        parts = []
+        for a, c in zip(t.column("a").to_pylist(), t.column("c").to_pylist()):
+            k = _open_keys(a)
+            parts.append((k, _cut_runs(k, _open(c, np.float64))))
+        order, keys, below = _join_runs(parts)
+        counts = np.concatenate([_open(x, np.int64) for x in t.column("b").to_pylist()])[order]
+        return keys, Levels(keys, counts, SPLIT, 1), below
+
+    def rise(key, t):
+        _, levels, below = top_levels(t)
+        w = sweep(levels, below)
+        return _rows([("one", key[0].as_py(), -1, _pack_keys(levels.keys[1]), _pack(levels.counts[1]), _pack(np.concatenate(w)))])
+
+    ones = ups.groupBy("block").applyInArrow(rise, _ROW).toArrow().sort_by("block")  # one row for each byte: 256 at most
+    above: dict[int, list] = {}
+    if ones.num_rows:
+        parts = [(k := _open_keys(a), _cut_runs(k, _open(c, np.float64))) for a, c in zip(ones.column("a").to_pylist(), ones.column("c").to_pylist())]
+        _, keys, below = _join_runs(parts)  # already in order
+        levels = Levels(keys, np.concatenate([_open(x, np.int64) for x in ones.column("b").to_pylist()]), 1, 0)
+        start = [(np.zeros(m), np.ones(m), np.full(m, 0.5)) for m in (len(runs(levels.keys[0], bit)[0]) for bit in range(8))]
+        found = sweep(levels, below, start, leaves=False)
+        last = (keys >> U(8)).astype(np.int64)
+        for c in np.unique(last).tolist():
+            a, b = np.searchsorted(last, [c, c + 1])
+            cut = [slice(*np.searchsorted(runs(keys, bit)[0], [a, b])) for bit in range(8)]
+            above[c] = [tuple(v[s] for v in found[bit]) for bit, s in enumerate(cut)]
+    root = spark.sparkContext.broadcast(above)
+
+    def fall(key, t):
+        """What the levels above SPLIT leave to the subtrees of one last byte, for their groups."""
+        keys, levels, below = top_levels(t)
+        found = sweep(levels, below, root.value[key[0].as_py()], leaves=False)
+        to = group_of(keys, SPLIT, groups)
+        each = [[v[runs(keys, bit)[1]] for v in found[bit]] for bit in range(8)]
+        out = []
+        for g in np.unique(to).tolist():
+            mine = np.flatnonzero(to == g)
+            k = keys[mine]
+            flat = [np.concatenate([each[bit][x][mine][runs(k, bit)[0]] for bit in range(8)]) for x in range(3)]
+            out.append(("down", key[0].as_py(), g, _pack_keys(k), _pack(np.concatenate(flat))))
+        return _rows(out)
+
+    downs = ups.groupBy("block").applyInArrow(fall, _ROW)
+
+    def answer(key, t):
+        """For each block, the log probabilities of the keys that it sent to this group."""
+        what = t.column("what").to_pylist()
+        a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
+        i = what.index("state")
+        keys, counts = _open_keys(a[i]), _open(b[i], np.int64)
+        parts = []
+        for i in sorted((i for i, w in enumerate(what) if w == "down"), key=lambda i: t.column("block")[i].as_py()):
+            k = _open_keys(a[i])
+            parts.append((k, [_cut_runs(k, x) for x in np.split(_open(b[i], np.float64), 3)]))
+        top = np.concatenate([p[0] for p in parts])
+        each = [[np.concatenate([p[1][x][bit] for p in parts]) for x in range(3)] for bit in range(8)]
+        value = np.empty(len(keys), np.float32)
+        for x, y, levels in _subtrees(keys, counts):
+            lo, hi = np.searchsorted(top, [levels.keys[SPLIT][0], levels.keys[SPLIT][-1] + U(1)])
+            cut = [slice(*np.searchsorted(runs(top, bit)[0], [lo, hi])) for bit in range(8)]
+            value[x:y] = log_bytes(levels, sweep(levels, None, [tuple(v[s] for v in each[bit]) for bit, s in enumerate(cut)]))
+        value = (value.view(np.uint32) & np.uint32(0xFFFFFF00)).view(np.float32)  # 16 bits of mantissa travel
+        out = []
+        for i, w in enumerate(what):
+            if w == "keys":
+                mine = value[np.searchsorted(keys, _open_keys(a[i]))]
+                out.append(("value", t.column("block")[i].as_py(), key[0].as_py(), _pack(mine)))
+        tidy()
+        return _rows(out)
+
+    states = weighed.where("what = 'state'").select(*_ROWS.names)
+    replies = messages.unionByName(states).unionByName(downs).groupBy("grp").applyInArrow(answer, _ROW)
+
+    words = sent.where("what = 'word'").select("block", "word", "n", "idx")
+    counted = written(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
+    tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    known = words.join(counted, "word").select("block", "idx", "c")
     log_all = float(np.log10(tokens + distinct + 1))
 
     def finish(key, left, right):
-        c = np.zeros(left.num_rows, np.int64)
-        c[left.column("idx").to_numpy()] = left.column("c").to_numpy()
-        gain, known = np.log10(c + 1.0), c > 0
-        base, n_known = [], []
-        for planes in right.column("planes").to_pylist():
-            i = _numbers(planes)
-            base.append(float(gain[i].sum()) - len(i) * log_all)
-            n_known.append(int(known[i].sum()))
-        n = right.num_rows
-        return pa.table({"id": right.column("id"), "held_out": right.column("held_out"), "n_tokens": right.column("n"), "n_known": pa.array(n_known, pa.int64()), "train_tokens": pa.array([tokens] * n, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": right.column("score")})
+        what = left.column("what").to_pylist()
+        a, grp = left.column("a").to_pylist(), left.column("grp").to_pylist()
+        t = _load(a[what.index("text")])
+        texts, out = t.column("text").combine_chunks(), _flags(t)
+        keys, _ = block_keys(texts, None)
+        to = group_of(keys, DEPTH, groups)
+        by = np.argsort(to, kind="stable")
+        value = np.empty(len(keys), np.float32)
+        value[by] = np.concatenate([_open(a[i], np.float32) for i in sorted((i for i, w in enumerate(what) if w == "value"), key=grp.__getitem__)])
+        del by, to
+        score = np.zeros(len(texts))
+        for i, s in local_keys(texts, None):
+            k = s >> U(8)
+            first = edges(k)
+            each = np.repeat(value[np.searchsorted(keys, k[first])], np.diff(np.append(first, len(k))))
+            part = np.bincount((s & U(255)).astype(np.int64), weights=each)
+            score[i : i + len(part)] = part
+        del keys, value
+        w = Words(texts, lower=True)
+        index, words = w.encoded()
+        c = np.zeros(len(words) + 1, np.int64)
+        c[right.column("idx").to_numpy()] = right.column("c").to_numpy()
+        gain = np.log10(c + 1.0) - log_all
+        size = np.diff(bytes_of(texts)[1]) + 1
+        m = len(texts)
+        result = pa.table(
+            {
+                "id": t.column("id"), "held_out": pa.array(out), "n_tokens": pa.array(np.diff(w.bounds) + 1, pa.int64()),
+                "n_known": pa.array(per_text((c[index] > 0).astype(np.int64), w.bounds) + int(c[-1] > 0), pa.int64()),
+                "train_tokens": pa.array([tokens] * m, pa.int64()), "base_score": pa.array(per_text(gain[index], w.bounds) + gain[-1]),
+                "score": pa.array(score), "n_bytes": pa.array(size, pa.int64()), "bits_per_byte": pa.array(-score / np.log10(2) / size),
+            }
+        )
+        del w, index, words, c, gain
+        tidy()
+        return result
 
     long, double = T.LongType(), T.DoubleType()
-    out = T.StructType([kind, field("held_out", T.BooleanType()), field("n_tokens", long), field("n_known", long), field("train_tokens", long), field("base_score", double), field("score", double)])
-    done = counted.select("block", "idx", "c").groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(finish, out)
+    schema = T.StructType([kind, field("held_out", T.BooleanType()), field("n_tokens", long), field("n_known", long), field("train_tokens", long), field("base_score", double), field("score", double), field("n_bytes", long), field("bits_per_byte", double)])
+    both = made.select(*_ROWS.names).unionByName(replies)
+    done = both.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, schema)
     return done.withColumnRenamed("id", id_col)
 
 
+def lm_scores(docs: DataFrame, corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`scored` for each row of docs, with the model and the base learned from corpus alone."""
+    told = docs.select(F.struct(F.col(id_col).alias("id")).alias(id_col), F.col(text_col).alias("text"), F.lit(True).alias("held_out"))
+    other = corpus.select(F.lit(None).cast(told.schema[0].dataType).alias(id_col), F.col(text_col).alias("text"), F.lit(False).alias("held_out"))
+    out = scored(told.unionByName(other), "held_out", id_col, "text").where("held_out")
+    return out.withColumn(id_col, F.col(id_col)["id"]).drop("held_out")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod("doc_id", 7) == 2).alias("held_out"))
     return scored(docs, "held_out")

@@ -7,18 +7,23 @@ documents.
 Routing. Every LENGTH-byte window has a minimizer, the least hash of its GRAM-byte strings;
 equal windows have equal minimizers. Runs of window starts with one minimizer make a segment,
 and a segment can only repeat where its minimizer does. Blocks of documents send their distinct
-minimizers (a few bytes each); buckets of minimizers answer which occur twice or more; only
-those segments travel on, equal ones of a block once, with the smallest id. A minimizer with
-more than HOT different segments is dealt as single windows by their own hash, so no bucket
-grows with one common passage's surroundings.
-
-Merging. In a bucket, segments whose minimizer leads to one content only are settled: all its
-copies but those of the smallest id go. The others are cut into shards; each shard's suffixes
-are sorted into its Burrows-Wheeler transform, and the transforms are interleaved by iterative
-refinement: from an interleave by eight bytes on, and an order by prefixes of length i - 1, a stable pass over the preceding bytes
-gives the order by prefixes of length i, and the intervals of equal prefixes with it. Suffixes
-alone in their interval retire. After LENGTH passes, the intervals left are the repeated
-windows, with common prefixes of LENGTH at least; each takes the smallest id in it.
+minimizers (a few bytes each) to groups, which answer which occur twice or more; only those
+segments travel on, equal ones of a block once, with the smallest id. A block sends one row to
+a group at most and there are MAX_GROUPS at most, so rows grow with the blocks alone; a group
+beyond BUCKET_BYTES works through its minimizers in parts. A minimizer with more than `hot`
+different segments travels as single windows by their own hash, so no part grows with one
+common passage's surroundings; these windows are merged like all others.
+
+Merging. Every segment that travels goes through the merge. The segments of a part are cut into
+shards, block by block; each shard's suffixes are sorted into its Burrows-Wheeler transform, in
+which a symbol is the STEP bytes before a suffix, with the place of the suffix that is longer by
+them. The merge starts with the shards one after another, each in its own order, and refines the
+interleave: from an order by prefixes of length i, one stable pass over the symbols gives the
+order by prefixes of length i + STEP, and the intervals of equal prefixes with it. Suffixes of
+different shards are never compared or sorted together. Only the suffixes that some window
+needs at a length take part, and those alone in their interval retire. At LENGTH bytes, the
+intervals left are the repeated windows, with common prefixes of LENGTH at least; each takes the
+smallest id in it.
 
 Null texts are empty. Null ids stand after all others; documents of equal id never match each
 other. Repeated rows are treated alike. Texts shorter than LENGTH lose nothing. An empty table
@@ -42,9 +47,14 @@ from ._common import bytes_of, ship, slices, table, tidy, written
 
 LENGTH = 50
 GRAM = 24
-#: Bytes of text in a block, in a bucket (before selection), and in a shard.
+#: Bytes of text in a block, in a part of a group (before selection), and in a shard.
 BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 6 << 20, 1 << 20
+#: Groups at most; a block sends each of them one row.
+MAX_GROUPS = 1024
+#: Different segments of a minimizer from which on they travel as single windows.
 HOT = 4096
+#: Bytes of a symbol of the transforms.
+STEP = 4
 CHUNK = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
@@ -190,55 +200,70 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> U(33)) % U(buckets)).astype(np.int64)
 
 
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> U(8)) % U(parts)).astype(np.uint32)
+
+
 # ---------------------------------------------------------------- transforms
 def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Positions start .. start + size of each range, end to end."""
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def suffix_order(text: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Positions of text sorted by what follows, up to the end of their segment (`left` bytes
-    away, its end mark included); ties stand in order of position."""
+def suffix_order(text: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, place): positions of text sorted by what follows, up to the end of their segment
+    (`left` bytes away, its end mark included); ties stand in order of position. Sorted by five
+    bytes, then by doubled lengths; numbers, places and what was sorted share one 64-bit word."""
     n = len(text)
-    words = _words(np.append(text, np.zeros(16, np.uint8)))[:n].byteswap()
-    order = np.arange(n)
-    live = order  # entries of order that are still tied
-    group = np.zeros(n, U)  # of each live entry, numbered in order
-    depth, step = 0, 8
-    longest = int(left.max()) if n else 0
-    while len(live) and depth < longest:
-        at = order[live]
-        have = left[at] - depth
-        w = words[np.where(have > 0, at + depth, 0)]
-        cover = np.clip(have, 0, step)
-        w &= ~np.where(cover >= 8, U(0), U(0xFFFFFFFFFFFFFFFF) >> (U(8) * np.minimum(cover, 7).astype(U)))
-        if depth:
-            w = group << U(40) | w >> U(24)  # a group's number and five bytes in one word
-        by = np.argsort(w)
-        order[live] = at[by]
-        w = w[by]
-        first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
-        size = np.diff(np.append(first, len(live)))
-        tied = size > 1
-        live = live[np.repeat(tied, size)]
-        group = np.repeat(np.arange(tied.sum()), size[tied]).astype(U)
-        depth, step = depth + step, 5
-    if len(live):  # equal to the end
+    bits = U(max(1, n.bit_length()))
+    if 3 * int(bits) > 63:
+        raise ValueError("a shard holds two million bytes at most")
+    low = (U(1) << bits) - U(1)
+    depth = 5
+    words = _words(np.append(text, np.zeros(16, np.uint8)))[:n].byteswap() >> U(24)
+    short = np.flatnonzero(left < depth)
+    words[short] &= ~((U(1) << (U(8) * (depth - left[short]).astype(U))) - U(1))
+    s = np.sort(words << bits | np.arange(n, dtype=U))
+    order = (s & low).astype(np.int32)
+    s >>= bits
+    rank = np.empty(n, np.int32)  # the first place of those equal so far
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])).astype(np.int32) if n else np.zeros(0, np.int32)
+    size = np.diff(np.append(first, n))
+    rank[order] = np.repeat(first, size)
+    live = np.flatnonzero(np.repeat(size > 1, size))
+    live = live[left[order[live]] > depth].astype(np.int32)  # an end mark ends all that share it
+    while len(live):
         at = order[live]
-        order[live] = at[np.lexsort((at, group))]
-    return order
-
-
-def transform(text: np.ndarray, left: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, transform, link): suffix order, preceding byte of each suffix, and the place of
-    the suffix that is longer by that byte (-1 at the beginning of a segment)."""
-    order = suffix_order(text, left)
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    before = order - 1
-    link = place[before]
-    link[begins[order]] = -1
-    return order, text[before], link
+        s = np.sort(rank[at].astype(U) << (bits + bits) | rank[at + depth].astype(U) << bits | np.arange(len(live), dtype=U))
+        at = at[s & low]
+        order[live] = at
+        s >>= bits
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        size = np.diff(np.append(first, len(s)))
+        rank[at] = np.repeat(live[first], size)
+        depth *= 2
+        live = live[np.repeat(size > 1, size) & (left[at] > depth)]
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order, place
+
+
+def transform(text: np.ndarray, left: np.ndarray, done: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, place, symbols, link): suffix order and its inverse, the number of the `step` bytes
+    before each suffix, and the place of the suffix that is longer by them (-1 where its segment
+    has fewer before it, by `done`)."""
+    order, place = suffix_order(text, left)
+    link = place[order - step]  # what wraps around is marked next
+    link[done[order] < step] = -1
+    return order, place, symbols(text, order, step), link
+
+
+def symbols(text: np.ndarray, at: np.ndarray, step: int) -> np.ndarray:
+    """Number of the `step` bytes before each position, in their order."""
+    out = np.zeros(len(at), np.uint32)
+    for k in range(step, 0, -1):
+        out = out << np.uint32(8) | text[at - k]
+    return out
 
 
 def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], least: np.ndarray, length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, np.ndarray]:
@@ -255,55 +280,53 @@ def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], leas
     first = np.cumsum(full) - full
     text = np.full(int(full.sum()), 0xFF, np.uint8)
     text[spans(first, sizes)] = data
-    owner = np.repeat(np.arange(n, dtype=np.int32), full)
-    left = np.repeat((first + full).astype(np.int32), full) - np.arange(len(text), dtype=np.int32)
-    begins = np.zeros(len(text), bool)
-    begins[first] = True
+    done = np.arange(len(text), dtype=np.int32) - np.repeat(first.astype(np.int32), full)  # bytes before, in the segment
+    left = np.repeat(full.astype(np.int32), full) - done
     shard = np.cumsum(full) // shard_bytes
-    cuts = np.append(first[np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))], len(text))
-    order, bwt, link = np.empty(len(text), np.int32), np.empty(len(text), np.uint8), np.empty(len(text), np.int32)
+    cuts = np.append(first[np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))], len(text)).tolist()
+    order, symbol, link = np.empty(len(text), np.int32), np.empty(len(text), np.uint32), np.empty(len(text), np.int32)
+    odd = length % STEP
+    begin: list[tuple[np.ndarray, np.ndarray]] = []
     for a, b in zip(cuts[:-1], cuts[1:]):
-        o, t, k = transform(text[a:b], left[a:b], begins[a:b])
-        order[a:b], bwt[a:b], link[a:b] = o + a, t, np.where(k < 0, -1, k + a)
-    at = np.arange(len(text), dtype=np.int32)  # the interleave: shards one after another
-    interval = np.zeros(len(text), np.int32)
-    start = 8 if length > 8 else 0
-    if start:  # interleaved by the first eight bytes at once
-        at = at[left[order] > start]
-        prefix = _words(np.append(text, np.zeros(8, np.uint8)))[order[at]].byteswap()
-        by = np.argsort(prefix)
-        at, prefix = at[by], prefix[by]
-        interval = np.cumsum(np.append(True, prefix[1:] != prefix[:-1]), dtype=np.int32) if len(at) else interval[:0]
-        del prefix, by
-    for _ in range(length - start):
-        to = link[at]
-        go = to >= 0
-        alone = np.empty(len(at), bool)
-        if len(at):
-            same = interval[1:] == interval[:-1]
-            alone[0], alone[1:] = True, ~same
-            alone[:-1] &= ~same
-            alone[-1] &= not (len(at) > 1 and same[-1])
-        go &= ~alone
-        byte, to, interval = bwt[at[go]], to[go], interval[go]
-        by = np.argsort(byte, kind="stable")
-        byte, at, interval = byte[by], to[by], interval[by]
+        o, place, t, k = transform(text[a:b], left[a:b], done[a:b])
+        order[a:b], symbol[a:b], link[a:b] = o + np.int32(a), t, np.where(k < 0, -1, k + np.int32(a))
+        # of each window the suffix right behind its end; symbols of `odd` bytes for a first pass
+        where = o[done[a:b][o] >= length]
+        begin.append((symbols(text[a:b], where, odd), place[where - odd] + np.int32(a)))
+    # the interleave: shards one after another, each in its own order
+    at = np.concatenate([x[1] for x in begin])
+    interval = np.zeros(len(at), np.uint32)
+    if odd and len(at):
+        at, interval = _refine(np.concatenate([x[0] for x in begin]), at, interval)
+    del begin
+    for _ in range(length // STEP):
         if not len(at):
             break
-        new = np.empty(len(at), bool)
-        new[0] = True
-        new[1:] = (byte[1:] != byte[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(new, dtype=np.int32)
+        at, interval = _refine(symbol[at], link[at], interval)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     where = order[at]
-    mine = owner[where]
+    mine = np.searchsorted(first, where, side="right") - 1
     starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
-    smallest = np.minimum.reduceat(least[mine], starts)[np.cumsum(np.append(False, interval[1:] != interval[:-1]))]
+    smallest = np.repeat(np.minimum.reduceat(least[mine], starts), np.diff(np.append(starts, len(at))))
     hit = smallest < least[mine]
     return mine[hit], where[hit] - first[mine[hit]]
 
 
+def _refine(symbol: np.ndarray, to: np.ndarray, interval: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass: entries in stable order of the symbols before them, at their longer suffixes,
+    with the numbers of the new intervals; entries alone in theirs are left out."""
+    by = np.sort(symbol.astype(U) << U(32) | np.arange(len(symbol), dtype=U))  # stable: places break ties
+    symbol, by = (by >> U(32)).astype(np.uint32), (by & U(0xFFFFFFFF)).astype(np.uint32)
+    to, interval = to[by], interval[by]
+    same = (symbol[1:] == symbol[:-1]) & (interval[1:] == interval[:-1])
+    new = np.append(True, ~same)
+    number = np.cumsum(new, dtype=np.uint32)
+    shared = np.append(False, same)
+    shared[:-1] |= same
+    return to[shared], number[shared]
+
+
 # ---------------------------------------------------------------- the job
 def _pack(a: np.ndarray) -> bytes:
     raw = np.ascontiguousarray(a)
@@ -342,7 +365,7 @@ def _row(what: str, block: int, bucket: int, *data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=_ROW.names)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, texts: bool = True) -> tuple[DataFrame, str]:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, max_groups: int = MAX_GROUPS, texts: bool = True) -> tuple[DataFrame, str]:
     """docs with a struct column (its name is returned: one that docs does not use) of n_bytes,
     n_removed, n_spans, kept_sha256, and if `texts`, kept_text: null where nothing is removed, else
     the characters of which any byte is kept, as a text must be valid."""
@@ -351,8 +374,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     name = "_passages"
     while name in docs.columns:
         name += "_"
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    buckets = max(1, -(-int(total) // bucket_bytes))
     names = list(docs.columns)
     i_id, i_text = names.index(id_col), names.index(text_col)
 
@@ -396,6 +417,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
     made = written(docs.mapInArrow(make_blocks, _ROW))
     blocks = made.select("block", "a")
+    wanted = max(1, -(-made.count() * block_bytes // bucket_bytes))
+    buckets = min(wanted, max_groups)
+    parts = -(-wanted // buckets)
 
     def answer(key, t):
         """Which minimizers of a bucket are repeated, and which are hot, for each block."""
@@ -453,7 +477,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
                 r = rep[cuts[k] : cuts[k + 1]]
                 if len(r):
                     text = raw[spans(seg.start[r], seg.size[r] + LENGTH - 1)]
-                    out.append(_row("segments", block, k, _pack(text), _pack(seg.size[r].astype(np.uint8)), _pack(seg.key[r]), _pack(np.append(least[cuts[k] : cuts[k + 1]], cuts[k]))))
+                    out.append(_row("segments", block, k, _pack(text), _pack(seg.size[r].astype(np.uint8)), _pack(part_of(seg.key[r], parts)), _pack(np.append(least[cuts[k] : cuts[k + 1]], cuts[k]))))
         tidy()
         return pa.Table.from_batches(out, schema=out[0].schema) if out else pa.Table.from_batches([_row("none", block, -1)]).slice(0, 0)
 
@@ -467,32 +491,21 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         t = t.sort_by("block").combine_chunks()
         texts = [_open(x, np.uint8) for x in t.column("a").to_pylist()]
         starts = [_open(x, np.uint8).astype(np.int64) for x in t.column("b").to_pylist()]
-        keys = [_open(x, U) for x in t.column("c").to_pylist()]
+        part = np.concatenate([_open(x, np.uint32) for x in t.column("c").to_pylist()])
         last = [_open(x, np.int64) for x in t.column("d").to_pylist()]
         least = np.concatenate([x[:-1] for x in last])
-        key_, n = np.concatenate(keys), np.concatenate(starts)
-        size = n + LENGTH - 1
+        cuts = np.cumsum([len(x) for x in starts])[:-1]
+        size = np.concatenate(starts) + LENGTH - 1
         data = np.concatenate(texts)
+        del texts, starts
         first = np.cumsum(size) - size
-        # equal contents of several blocks count once: sort by minimizer, then compare bytes by hash
-        digest = _digest(data, first, size)
-        order = np.lexsort((least, digest, key_))
-        k, d = key_[order], digest[order]
-        head = np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(head) - 1
-        rep = order[head]
-        smallest = least[rep]
-        new_key = np.append(True, key_[rep][1:] != key_[rep][:-1])
-        in_key = np.bincount(np.cumsum(new_key) - 1)
-        several = np.repeat(in_key > 1, in_key)
-        use = np.flatnonzero(several)
-        mask = np.zeros(len(rep), U)
-        r = rep[use]
-        s, o = repeated_windows((data[spans(first[r], size[r])], size[r]), smallest[use])
-        np.bitwise_or.at(mask, use[s], U(1) << o.astype(U))
-        result = np.where(smallest[group] < least, U(0xFFFFFFFFFFFFFFFF), mask[group])
-        cuts = np.cumsum([len(x) for x in keys])[:-1]
+        result = np.zeros(len(size), U)
+        for k in range(parts):
+            mine = np.flatnonzero(part == k)
+            if len(mine):
+                one = parts == 1
+                s, o = repeated_windows((data if one else data[spans(first[mine], size[mine])], size[mine]), least[mine])
+                np.add.at(result, mine[s], U(1) << o.astype(U))  # each window once
         tidy()
         return pa.table({"block": t.column("block"), "at": pa.array([int(x[-1]) for x in last], pa.int64()), "mask": pa.array([_pack(m) for m in np.split(result, cuts)], pa.binary()), **{x: pa.nulls(len(last), pa.binary()) for x in "bcd"}})
 
@@ -543,17 +556,6 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema), name
 
 
-def _digest(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of each range's bytes."""
-    w = _words(np.append(data, np.zeros(8, np.uint8)))
-    acc = size.astype(U) * U(0x9FB21C651E98DF25)
-    for o in range(0, int(size.max()) if len(size) else 0, 8):
-        go = size > o
-        back = np.minimum(o, size[go] - 8)  # the last word overlaps the one before
-        acc[go] = _mix((acc[go] ^ w[first[go] + back]) * U(0xC2B2AE3D27D4EB4F))
-    return acc
-
-
 def _valid(raw: np.ndarray, gone: np.ndarray) -> str:
     """What is left of a text, in whole characters: one stays if any of its bytes does."""
     lead = (raw & 0xC0) != 0x80

@@ -8,10 +8,12 @@ all children of a node are held against all children of another at once, and a p
 is dropped if its centers are farther apart than both radii and the threshold. What is left at
 the points is verified in double precision.
 
-At scale, equal vectors collapse first (copies cost one row). A tree over a bounded sample
-gives cells; each vector goes to its nearest cell, each cell is cut by hash into blocks of
-about BLOCK vectors, and cells whose covering balls are too far apart never meet. Each
-remaining pair of blocks is one task. A task emits per vector the number of its links and one
+At scale, equal vectors collapse first (copies cost one row). A tree over a sample that grows
+with the vectors gives cells, one for about BLOCK vectors; each vector goes to its nearest cell,
+and a cell that stays too large is cut by hash into blocks. A vector is sent to its own block,
+and to another only if its distance to that one's center is within its covering radius and the
+threshold: no partner of it can lie in a block that it does not reach. Each pair of blocks that
+some vector reaches is one task. A task emits per vector the number of its links and one
 edge to the smallest vector it is connected to there, so the output stays linear in the
 vectors however dense a group is.
 
@@ -37,8 +39,8 @@ COSINE = 0.9
 LEAF = 64
 FEW = 16
 BLOCK = 8192
-#: Vectors of the sample that cells are drawn from, and cells, at most.
-SAMPLE, MAX_CELLS = 4096, 1024
+#: Cells at most (their centers go to every executor), and vectors of the sample for each cell.
+MAX_CELLS, SAMPLE = 16_384, 4
 SLACK = 1e-9
 
 
@@ -271,7 +273,7 @@ def _join(distinct: DataFrame, size: int, n: int, cosine: float, block: int) ->
     """(uid, n, root) of every pair of blocks, for vectors of one length."""
     spark = distinct.sparkSession
     wanted = min(MAX_CELLS, -(-n // block))
-    sample = unit(distinct.orderBy("uid").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks(), size)
+    sample = unit(distinct.orderBy("uid").limit(max(4096, SAMPLE * wanted)).select("v").toArrow().column("v").combine_chunks(), size)
     centers = cells(sample, wanted)
     sent = spark.sparkContext.broadcast(centers)
 
@@ -288,22 +290,27 @@ def _join(distinct: DataFrame, size: int, n: int, cosine: float, block: int) ->
     for cell, far, count in placed.groupBy("cell").agg(F.max("far"), F.count("*")).collect():  # MAX_CELLS rows at most
         radius[cell], parts[cell] = far, -(-count // block)
     first = np.append(0, np.cumsum(parts))
-    near = distances(centers, centers) <= chord(cosine) + SLACK + radius[:, None] + radius[None, :]
-    np.fill_diagonal(near, True)
-    plan = spark.sparkContext.broadcast((first, near))
+    reach = radius + chord(cosine) + SLACK
+    plan = spark.sparkContext.broadcast((first, reach))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, near = plan.value
-        for b in batches:
-            cell = b.column(3).to_numpy()
-            own = first[cell] + np.fromiter((int(u[:8].rjust(8, "0").replace("-", "0"), 16) for u in b.column(0).to_pylist()), np.int64, len(cell)) % np.maximum(first[cell + 1] - first[cell], 1)
-            for k in np.unique(cell):
-                rows = np.flatnonzero(cell == k)
-                for c in np.flatnonzero(near[k]):
-                    for other in range(first[c], first[c + 1]):
-                        pair = np.minimum(own[rows], other) << 32 | np.maximum(own[rows], other)
-                        part = b.take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(own[rows]), part.column(0), part.column(1), part.column(2)], names=["pair", "block", "uid", "m", "v"])
+        first, reach = plan.value
+        parts = np.diff(first)
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                b = whole.slice(i, 1024)
+                cell = b.column(3).to_numpy()
+                number = np.fromiter((int(u[:8].rjust(8, "0").replace("-", "0"), 16) for u in b.column(0).to_pylist()), np.int64, len(cell))
+                own = first[cell] + number % np.maximum(parts[cell], 1)
+                near = distances(unit(b.column(2), size), sent.value) <= reach
+                near[np.arange(len(cell)), cell] = True
+                row, to = np.nonzero(near & (parts > 0))
+                n = parts[to]  # a cell's blocks share its ball
+                row = np.repeat(row, n)
+                other = np.repeat(first[to], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                pair = np.minimum(own[row], other) << 32 | np.maximum(own[row], other)
+                part = b.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(own[row]), part.column(0), part.column(1), part.column(2)], names=["pair", "block", "uid", "m", "v"])
 
     def work(key, t):
         t = t.sort_by("uid").combine_chunks()  # any order of arrival gives the same

@@ -115,14 +115,15 @@ def pooled(u: Units, words: np.ndarray, shapes: np.ndarray, index: np.ndarray) -
         first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
         mean[t[first]] += np.add.reduceat(words[b], first, axis=0)
         own[t[first]] += np.add.reduceat(index[b], first, axis=0)
-    k = len(u.kinds)
-    if len(text):
-        by = np.zeros((n, k))
-        np.add.at(by, (text, u.shape[u.index]), 1.0)
-    else:
-        by = np.zeros((n, k))
+    kind = np.zeros((n, SIZE))
+    if len(text):  # a row for each shape that a text holds: at most one for each word
+        pair, times = np.unique(text.astype(np.int64) << 32 | u.kinds[u.shape[u.index]], return_counts=True)
+        for i in range(0, len(pair), CHUNK):
+            t, k = pair[i : i + CHUNK] >> 32, pair[i : i + CHUNK] & 0xFFFFFFFF
+            first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            kind[t[first]] += np.add.reduceat(shapes[k] * times[i : i + CHUNK, None].astype(np.float32), first, axis=0)
     some = np.maximum(count, 1)[:, None]
-    mean, own, kind = mean / some, own / some, (by / some) @ shapes[u.kinds]
+    mean, own, kind = mean / some, own / some, kind / some
     size = np.log1p(count)[:, None]
     focus = np.linalg.norm(own, axis=1, keepdims=True)
     b = u.word[u.index] if len(text) else np.zeros(0, np.int64)

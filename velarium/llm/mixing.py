@@ -17,8 +17,10 @@ the ring as often as it holds it whole; its other blocks are consecutive from a
 Hence at most two documents of a shard are taken in part, and none more than `most` times.
 
 Null and empty texts have size 0 and are never taken. Repeated rows are separate documents.
-An empty table gives no rows. `mixed` carries each row as one struct, so other columns pass
-through whatever their names.
+Very long texts are one document of their size. An empty table gives no rows. `mixed` tells rows
+apart by a hash of all their columns, so rows that differ in any column stay apart and only rows
+equal in all of them share their copies; it carries each row as one struct, so other columns
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -38,10 +40,19 @@ SEED = 7
 MAX_BROADCAST_SOURCES = 50_000
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    """(id, source, size, key): key is a seeded hash of id and text."""
+def row_hash(docs: DataFrame, seed: int):
+    """Hash of all columns of a row; types that have no hash count as JSON."""
+    odd = ("map", "variant")
+    cols = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if any(t in f.dataType.simpleString() for t in odd) else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(F.lit(seed), *cols)
+
+
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, mark: bool = False) -> DataFrame:
+    """(id, source, size, key, mark): key is a seeded hash of id and text, mark one of the row if
+    asked for, else 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
+        (row_hash(docs, seed) if mark else F.lit(0).cast("bigint")).alias("mark"),
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("bigint").alias("size"),
@@ -90,9 +101,9 @@ def sainte_lague(units: DataFrame, keys: list[str], claim: str, seats: int) -> D
     return u.join(change, on, "left").select(*units.columns, (F.col("_base") + step).cast("bigint").alias("seats"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
-    """(id, source, size, key, source_size, target, taken) for each row of docs."""
-    sized = written(sizes(docs, id_col, text_col, source_col, seed))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, most: int = MOST, weights: tuple = WEIGHTS, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: int = SEED, mark: bool = False) -> DataFrame:
+    """(id, source, size, key, mark, source_size, target, taken) for each row of docs."""
+    sized = written(sizes(docs, id_col, text_col, source_col, seed, mark))
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, weights))
     n, total = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
     blocks = int(total / block + 0.5)
@@ -108,25 +119,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "words",
         F.expr(f"least(seats * {block}, words * {most}) div words").alias("rounds"), (words % F.col("words")).alias("rest"), start.alias("start"),
     )
-    ring = Window.partitionBy("source", "shard").orderBy("key", F.asc_nulls_last("id"), "size")
-    run = placed.select("id", "source", "size", "key", "source_size", "target", "shard").withColumn("at", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    ring = Window.partitionBy("source", "shard").orderBy("key", F.asc_nulls_last("id"), "size", "mark")
+    run = placed.select("id", "source", "size", "key", "mark", "source_size", "target", "shard").withColumn("at", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     j = run.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")), "left")
 
     def within(lo: str, hi: str) -> str:
         return f"greatest(0L, least(at + size, {hi}) - greatest(at, {lo}))"
 
     taken = F.expr(f"coalesce(rounds * size + {within('start', 'least(start + rest, words)')} + {within('0L', 'start + rest - words')}, 0L)")
-    return j.select("id", "source", "size", "key", "source_size", "target", taken.alias("taken"))
+    return j.select("id", "source", "size", "key", "mark", "source_size", "target", taken.alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **options) -> DataFrame:
     """docs as the mix takes them, in whole documents: each row as often as its taken words go
-    into its size, rounded. Rows equal in id and text count as one with their copies summed."""
-    m = mix(docs, id_col, text_col, source_col, seed=seed, **options)
-    copies = m.where("size > 0").groupBy("id", "key").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("n")).where("n > 0")
+    into its size, rounded. Rows equal in all columns count as one with their copies summed."""
+    m = mix(docs, id_col, text_col, source_col, seed=seed, mark=True, **options)
+    copies = m.where("size > 0").groupBy("id", "key", "mark").agg(F.sum(F.floor(F.col("taken") / F.col("size") + 0.5)).alias("n")).where("n > 0")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("_key"))
-    j = rows.join(copies, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["_key", "_id"])
+    rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("_key"), row_hash(docs, seed).alias("_mark"))
+    j = rows.join(copies, (F.col("_mark") == F.col("mark")) & (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["_mark", "_key", "_id"])
     return j.select("_row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_copy")).select("_row.*")
 
 

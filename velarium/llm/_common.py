@@ -57,7 +57,18 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velarium/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._velarium_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what `written` kept for df; nothing may read df, or what was made of it, later."""
+    path = df.__dict__.pop("_velarium_path", None)
+    if path:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -174,7 +185,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     was = sign(e)
     for _ in range(rounds):
-        e = written(star(star(e, True), False))
+        before, e = e, written(star(star(e, True), False))
+        discard(before)
         now = sign(e)
         if now == was:
             break

@@ -1,3 +1,3 @@
 """Named queries over the given tables."""
 
-from . import enrich, events, extras, identity, quality, records, regions  # noqa: F401
+from . import enrich, events, extras, identity, quality, records, regions, validation  # noqa: F401

@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,59 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def store(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def load(b: bytes) -> pa.Table:
+    return pa.ipc.open_stream(b).read_all()
+
+
+def pack(a: np.ndarray) -> bytes:
+    """A column of numbers; bytes of equal weight stand together, which compresses well."""
+    a = np.ascontiguousarray(a)
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(b: bytes, dtype) -> np.ndarray:
+    size = int.from_bytes(b[:8], "little")
+    if not size:
+        return np.zeros(0, dtype)
+    planes = np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def text_blocks(docs: DataFrame, text_col: str, block_bytes: int) -> DataFrame:
+    """(block, a): whole rows of docs in stored tables of about block_bytes of text each; a longer
+    text stands alone. Rows grow with the text alone."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def flush() -> pa.RecordBatch:
+            data = store(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["block", "a"])
+
+        for b in batches:
+            for i, j in slices(b.column(at), block_bytes):
+                held.append(b.slice(i, j - i))
+                size += int(bytes_of(held[-1].column(at))[1][-1])
+                if size >= block_bytes:
+                    yield flush()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield flush()
+        tidy()
+
+    return docs.mapInArrow(run, "block bigint, a binary")
+
+
 class Words:
     """Words of consecutive texts: `data` holds their bytes end to end, `offsets` bounds each
     word, `bounds` gives each text's range of words."""

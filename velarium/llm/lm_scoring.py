@@ -30,12 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, Words, bytes_of, crc_mod, per_text, ship, slices, table, tidy, written
+from ._common import LOWER, Words, bytes_of, crc_mod, load, pack, per_text, ship, slices, table, text_blocks, tidy, unpack, written
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 does not use
 DEPTH = 6
@@ -132,27 +131,12 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray] | None) -> tuple[np.
     return k[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Bytes of equal weight stand together, which compresses well."""
-    raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _open(b: bytes, dtype) -> np.ndarray:
-    size = int.from_bytes(b[:8], "little")
-    if not size:
-        return np.zeros(0, dtype)
-    item = np.dtype(dtype).itemsize
-    planes = np.frombuffer(pa.decompress(b[8:], size, codec="zstd", asbytes=True), np.uint8).reshape(item, -1)
-    return np.ascontiguousarray(planes.T).view(dtype).ravel()
-
-
 def _pack_keys(keys: np.ndarray) -> bytes:
-    return _pack(np.diff(keys, prepend=U(0)))
+    return pack(np.diff(keys, prepend=U(0)))
 
 
 def _open_keys(b: bytes) -> np.ndarray:
-    return np.cumsum(_open(b, U), dtype=U)
+    return np.cumsum(unpack(b, U), dtype=U)
 
 
 # ---------------------------------------------------------------- the tree
@@ -280,17 +264,6 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(_ROWS.names, (*r, *[None] * (6 - len(r))))) for r in rows], _ROWS)
 
 
-def _store(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as w:
-        w.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def _load(b: bytes) -> pa.Table:
-    return pa.ipc.open_stream(b).read_all()
-
-
 def _subtrees(keys: np.ndarray, counts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, Levels]]:
     """(from, to, levels from SPLIT down) of parts that hold whole subtrees, `most` keys or one each."""
     first = np.append(edges(keys >> U(8 * (DEPTH - SPLIT) + 8)), len(keys))
@@ -302,26 +275,6 @@ def _subtrees(keys: np.ndarray, counts: np.ndarray, most: int = 1 << 20) -> Iter
         i = j
 
 
-def blocks_of(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(block, a): texts with their ids and flags, end to end, as stored tables; docs has the
-    columns id, text, held_out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for b in batches:
-            for i, j in slices(b.column(1), block_bytes):
-                held.append(b.slice(i, j - i))
-                size += int(bytes_of(held[-1].column(1))[1][-1])
-                if size >= block_bytes:
-                    yield from _rows([("text", number, -1, _store(pa.Table.from_batches(held).combine_chunks()))]).to_batches()
-                    number, held, size = number + 1, [], 0
-        if held:
-            yield from _rows([("text", number, -1, _store(pa.Table.from_batches(held).combine_chunks()))]).to_batches()
-        tidy()
-
-    return docs.mapInArrow(run, _ROW)
-
-
 def _flags(t: pa.Table) -> np.ndarray:
     return t.column("held_out").fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
 
@@ -335,7 +288,7 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     kind = T.StructField("id", docs.select(F.col(id_col).alias("id")).schema[0].dataType)
     # columns are renamed one by one, so that clashing names cannot meet
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(held_out), F.lit(False)).alias("held_out"))
-    made = written(blocks_of(docs, block_bytes))
+    made = written(text_blocks(docs, "text", block_bytes))
     groups = min(MAX_GROUPS, 4 * made.count() + 4)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +301,7 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                t = _load(data)
+                t = load(data)
                 texts, train = t.column("text").combine_chunks(), ~_flags(t)
                 keys, counts = block_keys(texts, train)
                 to = group_of(keys, DEPTH, groups)
@@ -356,7 +309,7 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                 to, keys, counts = to[by], keys[by], counts[by]
                 first = edges(to)
                 ends = np.append(first[1:], len(to))
-                yield batch(len(first), what=pa.array(["keys"] * len(first)), block=pa.array([block] * len(first), pa.int64()), grp=pa.array(to[first].astype(np.int64)), a=pa.array([_pack_keys(keys[x:y]) for x, y in zip(first, ends)], pa.binary()), b=pa.array([_pack(counts[x:y].astype(np.int32)) for x, y in zip(first, ends)], pa.binary()))
+                yield batch(len(first), what=pa.array(["keys"] * len(first)), block=pa.array([block] * len(first), pa.int64()), grp=pa.array(to[first].astype(np.int64)), a=pa.array([_pack_keys(keys[x:y]) for x, y in zip(first, ends)], pa.binary()), b=pa.array([pack(counts[x:y].astype(np.int32)) for x, y in zip(first, ends)], pa.binary()))
                 del keys, counts, to, by
                 w = Words(texts, lower=True)
                 index, words = w.encoded()
@@ -374,8 +327,8 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 
     def weigh(key, t):
         """A group's counts as one, and what its subtrees weigh at SPLIT, by last byte."""
-        k, n = merged([_open_keys(x) for x in t.column("a").to_pylist()], [_open(x, np.int32).astype(np.int64) for x in t.column("b").to_pylist()])
-        out = [("state", -1, key[0].as_py(), _pack_keys(k), _pack(n))]
+        k, n = merged([_open_keys(x) for x in t.column("a").to_pylist()], [unpack(x, np.int32).astype(np.int64) for x in t.column("b").to_pylist()])
+        out = [("state", -1, key[0].as_py(), _pack_keys(k), pack(n))]
         for _, _, levels in _subtrees(k, n):
             w = sweep(levels)
             top = levels.keys[SPLIT]
@@ -384,7 +337,7 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
             for c in np.unique(last).tolist():
                 a, b = np.searchsorted(last, [c, c + 1])
                 cut = [w[bit][slice(*np.searchsorted(first[bit], [a, b]))] for bit in range(8)]
-                out.append(("up", c, key[0].as_py(), _pack_keys(top[a:b]), _pack(levels.counts[SPLIT][a:b]), _pack(np.concatenate(cut))))
+                out.append(("up", c, key[0].as_py(), _pack_keys(top[a:b]), pack(levels.counts[SPLIT][a:b]), pack(np.concatenate(cut))))
         tidy()
         return _rows(out)
 
@@ -396,22 +349,22 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         parts = []
         for a, c in zip(t.column("a").to_pylist(), t.column("c").to_pylist()):
             k = _open_keys(a)
-            parts.append((k, _cut_runs(k, _open(c, np.float64))))
+            parts.append((k, _cut_runs(k, unpack(c, np.float64))))
         order, keys, below = _join_runs(parts)
-        counts = np.concatenate([_open(x, np.int64) for x in t.column("b").to_pylist()])[order]
+        counts = np.concatenate([unpack(x, np.int64) for x in t.column("b").to_pylist()])[order]
         return keys, Levels(keys, counts, SPLIT, 1), below
 
     def rise(key, t):
         _, levels, below = top_levels(t)
         w = sweep(levels, below)
-        return _rows([("one", key[0].as_py(), -1, _pack_keys(levels.keys[1]), _pack(levels.counts[1]), _pack(np.concatenate(w)))])
+        return _rows([("one", key[0].as_py(), -1, _pack_keys(levels.keys[1]), pack(levels.counts[1]), pack(np.concatenate(w)))])
 
     ones = ups.groupBy("block").applyInArrow(rise, _ROW).toArrow().sort_by("block")  # one row for each byte: 256 at most
     above: dict[int, list] = {}
     if ones.num_rows:
-        parts = [(k := _open_keys(a), _cut_runs(k, _open(c, np.float64))) for a, c in zip(ones.column("a").to_pylist(), ones.column("c").to_pylist())]
+        parts = [(k := _open_keys(a), _cut_runs(k, unpack(c, np.float64))) for a, c in zip(ones.column("a").to_pylist(), ones.column("c").to_pylist())]
         _, keys, below = _join_runs(parts)  # already in order
-        levels = Levels(keys, np.concatenate([_open(x, np.int64) for x in ones.column("b").to_pylist()]), 1, 0)
+        levels = Levels(keys, np.concatenate([unpack(x, np.int64) for x in ones.column("b").to_pylist()]), 1, 0)
         start = [(np.zeros(m), np.ones(m), np.full(m, 0.5)) for m in (len(runs(levels.keys[0], bit)[0]) for bit in range(8))]
         found = sweep(levels, below, start, leaves=False)
         last = (keys >> U(8)).astype(np.int64)
@@ -432,7 +385,7 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
             mine = np.flatnonzero(to == g)
             k = keys[mine]
             flat = [np.concatenate([each[bit][x][mine][runs(k, bit)[0]] for bit in range(8)]) for x in range(3)]
-            out.append(("down", key[0].as_py(), g, _pack_keys(k), _pack(np.concatenate(flat))))
+            out.append(("down", key[0].as_py(), g, _pack_keys(k), pack(np.concatenate(flat))))
         return _rows(out)
 
     downs = ups.groupBy("block").applyInArrow(fall, _ROW)
@@ -442,11 +395,11 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         what = t.column("what").to_pylist()
         a, b = t.column("a").to_pylist(), t.column("b").to_pylist()
         i = what.index("state")
-        keys, counts = _open_keys(a[i]), _open(b[i], np.int64)
+        keys, counts = _open_keys(a[i]), unpack(b[i], np.int64)
         parts = []
         for i in sorted((i for i, w in enumerate(what) if w == "down"), key=lambda i: t.column("block")[i].as_py()):
             k = _open_keys(a[i])
-            parts.append((k, [_cut_runs(k, x) for x in np.split(_open(b[i], np.float64), 3)]))
+            parts.append((k, [_cut_runs(k, x) for x in np.split(unpack(b[i], np.float64), 3)]))
         top = np.concatenate([p[0] for p in parts])
         each = [[np.concatenate([p[1][x][bit] for p in parts]) for x in range(3)] for bit in range(8)]
         value = np.empty(len(keys), np.float32)
@@ -459,7 +412,7 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         for i, w in enumerate(what):
             if w == "keys":
                 mine = value[np.searchsorted(keys, _open_keys(a[i]))]
-                out.append(("value", t.column("block")[i].as_py(), key[0].as_py(), _pack(mine)))
+                out.append(("value", t.column("block")[i].as_py(), key[0].as_py(), pack(mine)))
         tidy()
         return _rows(out)
 
@@ -475,13 +428,13 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
     def finish(key, left, right):
         what = left.column("what").to_pylist()
         a, grp = left.column("a").to_pylist(), left.column("grp").to_pylist()
-        t = _load(a[what.index("text")])
+        t = load(a[what.index("text")])
         texts, out = t.column("text").combine_chunks(), _flags(t)
         keys, _ = block_keys(texts, None)
         to = group_of(keys, DEPTH, groups)
         by = np.argsort(to, kind="stable")
         value = np.empty(len(keys), np.float32)
-        value[by] = np.concatenate([_open(a[i], np.float32) for i in sorted((i for i, w in enumerate(what) if w == "value"), key=grp.__getitem__)])
+        value[by] = np.concatenate([unpack(a[i], np.float32) for i in sorted((i for i, w in enumerate(what) if w == "value"), key=grp.__getitem__)])
         del by, to
         score = np.zeros(len(texts))
         for i, s in local_keys(texts, None):
@@ -512,7 +465,8 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 
     long, double = T.LongType(), T.DoubleType()
     schema = T.StructType([kind, field("held_out", T.BooleanType()), field("n_tokens", long), field("n_known", long), field("train_tokens", long), field("base_score", double), field("score", double), field("n_bytes", long), field("bits_per_byte", double)])
-    both = made.select(*_ROWS.names).unionByName(replies)
+    blank = F.lit(None).cast("binary")
+    both = made.select(F.lit("text").alias("what"), "block", F.lit(-1).cast("bigint").alias("grp"), "a", blank.alias("b"), blank.alias("c")).unionByName(replies)
     done = both.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, schema)
     return done.withColumnRenamed("id", id_col)
 

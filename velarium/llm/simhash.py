@@ -21,9 +21,14 @@ Components come from distributed min-label stars. Null ids are kept; a component
 smallest id that is not null. An empty table gives no rows; other columns are not touched.
 
 The pipeline's stage (keep_one) links documents whose sets of five-word shingles have a Jaccard
-similarity of at least 0.8. Such texts differ in ten of 64 bits on average, and in any number at
-worst, so no radius holds them all: the stage does not use fingerprints. Candidates come from
-the prefix filter instead, which misses no such pair, and each is verified on the whole sets.
+similarity of at least 0.8. Fingerprints of these shingles find the first links, by the same
+multi-index hashing, each verified on the sets. Such texts differ in ten of 64 bits on average
+and in any number at worst, so no radius holds them all; what fingerprints miss is completed by
+a prefix filter, which misses no pair: shingles stand in order of the number of sets that hold
+them, counted over the whole corpus by groups of shingles, and two similar sets must share one
+among their rarest fifth. Shingles of one set only need not be sent at all. Candidates already in
+one component make no pair; all others are verified on the whole sets. Texts without words are
+copies of each other.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, components, ship, slices, table, tidy, written
+from ._common import Words, components, discard, load, pack, ship, slices, table, text_blocks, tidy, unpack, written
 
 SEED = 42
 WORDS_PER_SHINGLE = 3
@@ -48,8 +53,8 @@ MAX_BROADCAST_VALUES = 200_000
 #: The pipeline's stage: words of a shingle, and the least Jaccard similarity as a fraction.
 STAGE_WORDS = 5
 SIMILAR = (4, 5)
-#: Groups of shingles that are counted to sort rare ones first; the order changes no result.
-SKETCH, SKETCH_ROWS = 1 << 20, 64
+#: Bytes of text in a block, and groups of shingles at most; a block sends each one row.
+BLOCK_BYTES, MAX_GROUPS = 8 << 20, 4096
 #: Turns in which crowded lists try one pair a set before all pairs are tried.
 ROUNDS = 4
 
@@ -146,69 +151,163 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def shingle_sets(docs: DataFrame, text_col: str, k: int) -> DataFrame:
-    """(node, set): the distinct shingle hashes in order, 8 bytes each, and their hash."""
-    ship(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+U = np.uint64
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(31))) * U(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> U(32))
+
+
+class Shingles:
+    """Distinct shingles of k words of each of some texts, as 64-bit hashes put together from the
+    words' hashes (fewer words: the whole sequence). `tokens` are the distinct hashes of all in
+    order; `text` and `which` name, text by text, the tokens that it holds, in order."""
+
+    def __init__(self, texts: pa.Array, k: int):
+        w = Words(texts, lower=True)
+        index, words = w.encoded()
+        own = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words.to_pylist()), U, len(words))[index] if len(index) else np.zeros(0, U)
+        begin, end = w.bounds[:-1], w.bounds[1:]
+        count = np.where(end > begin, np.maximum(end - begin - k + 1, 1), 0)
+        text = np.repeat(np.arange(len(count)), count)
+        at = np.repeat(begin, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        size = np.minimum(end[text] - at, k)
+        h = size.astype(U)
+        padded = np.append(own, np.zeros(k, U))
+        for j in range(k):
+            h = _mix(h ^ np.where(j < size, padded[at + j], U(0)))
+        self.n, self.k = len(count), k
+        self.hashes, self.of = h, text  # repeats included
+        self.tokens, inverse = np.unique(h, return_inverse=True)
+        s = np.sort(text.astype(U) << U(32) | inverse.astype(U))
+        s = s[np.append(True, s[1:] != s[:-1])] if len(s) else s
+        self.text, self.which = (s >> U(32)).astype(np.int64), (s & U(0xFFFFFFFF)).astype(np.int64)
+        self.sizes = np.bincount(self.text, minlength=self.n)
+
+    def held(self) -> np.ndarray:
+        """Number of texts that hold each token."""
+        return np.bincount(self.which, minlength=len(self.tokens))
+
+    def nodes(self) -> np.ndarray:
+        """Hash of each text's set."""
+        total = np.zeros(self.n, U)
+        first = np.flatnonzero(np.append(True, self.text[1:] != self.text[:-1])) if len(self.text) else np.zeros(0, np.int64)
+        if len(first):
+            total[self.text[first]] = np.add.reduceat(_mix(self.tokens[self.which]), first)
+        return _mix(total ^ _mix(self.sizes.astype(U) + U(1)))
+
+    def fingerprints(self) -> np.ndarray:
+        """SimHash of each text: a bit is 1 if set in over half its shingles' hashes."""
+        votes = np.zeros((self.n, 64), np.int64)
+        for a in range(0, len(self.hashes), 1 << 16):
+            of = self.of[a : a + (1 << 16)]
+            bits = np.unpackbits(self.hashes[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            votes[of[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        total = np.bincount(self.of, minlength=self.n)[:, None]
+        return np.packbits(votes * 2 > total, axis=1, bitorder="little").view(U).ravel()
+
+    def prefixes(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place, token) of the rarest of each text's tokens, so many that two sets as
+        similar as SIMILAR share one; those of rarity 0, which one set holds, are left out."""
+        s = np.sort(self.text.astype(U) << U(40) | rarity[self.which].astype(U) << U(32) | self.which.astype(U))
+        text, which = (s >> U(40)).astype(np.int64), (s & U(0xFFFFFFFF)).astype(np.int64)
+        first = np.cumsum(self.sizes) - self.sizes
+        place = np.arange(len(s)) - first[text]
+        take = self.sizes + (-self.sizes * SIMILAR[0] // SIMILAR[1]) + 1
+        use = (place < take[text]) & (rarity[which] > 0)
+        return text[use], place[use], self.tokens[which[use]]
+
+
+def token_group(tokens: np.ndarray, groups: int) -> np.ndarray:
+    return ((tokens >> U(33)) % U(groups)).astype(np.uint16)
+
+
+def marks(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the texts, and for each text (id, at, node, size, fp, places, tokens): where it
+    stands, its set's hash and size, its fingerprint, and its prefix. How many sets hold a token
+    is counted by groups, to which blocks send the low half of each distinct token once; tokens
+    that share it in a group count together, which changes the order for all alike."""
+    kind = T.StructField("id", docs.select(F.col(id_col).alias("id")).schema[0].dataType)
+    blocks = written(text_blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", block_bytes))
+    groups = min(MAX_GROUPS, 4 * blocks.count() + 4)
+
+    def texts_of(data: bytes) -> pa.Array:
+        return load(data).column("text").combine_chunks()
+
+    def by_group(tokens: np.ndarray):
+        to = token_group(tokens, groups)
+        by = np.argsort(to, kind="stable")
+        first = np.flatnonzero(np.append(True, to[by][1:] != to[by][:-1])) if len(by) else np.zeros(0, np.int64)
+        return by, to[by[first]], first, np.append(first[1:], len(by))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(b.column(0)):
-                sets = [np.unique(h).tobytes() for h in shingles_of(b.column(0).slice(i, j - i), k)]
-                node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "set"])
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sh = Shingles(texts_of(data), k)
+                by, group, first, last = by_group(sh.tokens)
+                low, n = (sh.tokens[by] & U(0xFFFFFFFF)).astype(np.uint32), sh.held()[by].astype(np.uint32)
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(first), pa.int64()), pa.array(group.astype(np.int64)), pa.array([pack(low[x:y]) for x, y in zip(first, last)], pa.binary()), pa.array([pack(n[x:y]) for x, y in zip(first, last)], pa.binary())], names=["block", "grp", "a", "b"])
         tidy()
 
-    return docs.select(text_col).mapInArrow(run, "node bigint, set binary")
-
-
-def commonness(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """Octave of the number of sets that hold each of SKETCH groups of shingles."""
-    ship(docs.sparkSession)
-    step = SKETCH // SKETCH_ROWS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for b in batches:
-            for i, j in slices(b.column(0)):
-                for x in shingles_of(b.column(0).slice(i, j - i), k):
-                    np.add.at(total, (np.unique(x) % np.uint64(SKETCH)).astype(np.int64), 1)
+    def answer(key, t):
+        low = [unpack(x, np.uint32) for x in t.column("a").to_pylist()]
+        n = np.concatenate([unpack(x, np.uint32) for x in t.column("b").to_pylist()])
+        s = np.sort(np.concatenate(low).astype(U) << U(32) | np.arange(len(n), dtype=U))
+        value, at = (s >> U(32)).astype(np.uint32), (s & U(0xFFFFFFFF)).astype(np.int64)
+        first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        total = np.repeat(np.add.reduceat(n[at].astype(np.int64), first), np.diff(np.append(first, len(at))))
+        rarity = np.empty(len(at), np.uint8)
+        rarity[at] = np.ceil(np.log2(total)).astype(np.uint8)  # 0 for one set only, then octaves
+        cuts = np.cumsum([len(x) for x in low])[:-1]
         tidy()
-        yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int64()), pa.array([total[i : i + step].tobytes() for i in range(0, SKETCH, step)], pa.binary())], names=["part", "n"])
-
-    def add(key, t):
-        n = np.zeros(step, np.int64)
-        for x in t.column("n").to_pylist():
-            n += np.frombuffer(x, np.int64)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
+        return pa.table({"block": t.column("block"), "grp": t.column("grp"), "a": pa.array([pack(x) for x in np.split(rarity, cuts)], pa.binary())})
+
+    sent = blocks.mapInArrow(send, "block bigint, grp bigint, a binary, b binary")
+    replies = sent.groupBy("grp").applyInArrow(answer, "block bigint, grp bigint, a binary")
+
+    def finish(key, left, right):
+        t = load(left.column("a")[0].as_py())
+        sh = Shingles(t.column("text").combine_chunks(), k)
+        by, group, _, _ = by_group(sh.tokens)
+        rarity = np.zeros(len(by), np.uint8)
+        got = dict(zip(right.column("grp").to_pylist(), right.column("a").to_pylist()))
+        if len(by):
+            rarity[by] = np.concatenate([unpack(got[g], np.uint8) for g in group.tolist()])
+        text, place, token = sh.prefixes(rarity)
+        cuts = pa.array(np.searchsorted(text, np.arange(sh.n + 1)).astype(np.int32))
+        at = (key[0].as_py() << 24) + np.arange(sh.n)
+        tidy()
+        return pa.table({
+            "id": t.column("id"), "at": pa.array(at, pa.int64()), "node": pa.array(sh.nodes().view(np.int64)), "size": pa.array(sh.sizes, pa.int64()), "fp": pa.array(sh.fingerprints().view(np.int64)),
+            "places": pa.ListArray.from_arrays(cuts, pa.array(place, pa.int64())), "tokens": pa.ListArray.from_arrays(cuts, pa.array(token.view(np.int64))),
+        })
 
-    out = np.zeros(SKETCH, np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "part bigint, n binary").groupBy("part").applyInArrow(add, "part bigint, n binary").collect():  # SKETCH_ROWS
-        out[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["n"], np.int64)
-    return np.ceil(np.log2(out + 1)).astype(np.uint8)
+    long = T.LongType()
+    schema = T.StructType([kind, *(T.StructField(c, long) for c in ("at", "node", "size", "fp")), *(T.StructField(c, T.ArrayType(long)) for c in ("places", "tokens"))])
+    return blocks, blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, node, size, prefix): the hash and number of a text's distinct shingles and the rarest
-    of them, so many that two sets as similar as SIMILAR share one, whatever the common order."""
-    rank = docs.sparkSession.sparkContext.broadcast(commonness(docs, text_col, k))
-    kind = docs.select(id_col).schema[0]
+def shingle_sets(blocks: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, set) for the texts that wanted (node, at) names: their distinct tokens in order, 8
+    bytes each. Only those texts are read again."""
+    rows = wanted.select((F.shiftright("at", 24)).alias("block"), F.struct((F.col("at") % (1 << 24)).alias("row"), "node").alias("r")).groupBy("block").agg(F.collect_list("r").alias("rows"))  # a block's texts at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(b.column(1)):
-                node, size, first = [], [], []
-                for h in map(np.unique, shingles_of(b.column(1).slice(i, j - i), k)):
-                    n = len(h)
-                    take = n + (-n * SIMILAR[0] // SIMILAR[1]) + 1 if n else 0
-                    by = np.argsort(rank.value[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")[:take]
-                    node.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
-                    size.append(n)
-                    first.append(h[by].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64()))], names=[id_col, "node", "size", "prefix"])
+            for data, some in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                texts = load(data).column("text").combine_chunks().take(pa.array([r["row"] for r in some]))
+                for i, j in slices(texts):
+                    sh = Shingles(texts.slice(i, j - i), k)
+                    data_ = sh.tokens[sh.which]
+                    cuts = np.append(0, np.cumsum(sh.sizes))
+                    yield pa.RecordBatch.from_arrays([pa.array([r["node"] for r in some[i:j]], pa.int64()), pa.array([data_[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])], pa.binary())], names=["node", "set"])
         tidy()
 
-    long = T.LongType()
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([kind, T.StructField("node", long), T.StructField("size", long), T.StructField("prefix", T.ArrayType(long))]))
+    return blocks.join(rows, "block").select("a", "rows").mapInArrow(run, "node bigint, set binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -227,16 +326,30 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def similar_links(marked: DataFrame, sets: DataFrame) -> DataFrame:
+def fingerprint_stars(nodes: DataFrame) -> DataFrame:
+    """(a, b): one pair of sets for each fingerprint that several sets share, and for each link of
+    the multi-index hashing, from (node, fp)."""
+    one = written(nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    equal = nodes.join(one.where("n > 1"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    pairs = near_pairs(one.select("fp")).select(F.col("a").alias("x"), F.col("b").alias("y"))
+    near = pairs.join(one.select(F.col("fp").alias("x"), F.col("head").alias("a")), "x").join(one.select(F.col("fp").alias("y"), F.col("head").alias("b")), "y").select("a", "b")
+    return equal.unionByName(near)
+
+
+def similar_links(marked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """(a, b): links between distinct sets that connect exactly those with a Jaccard similarity of
-    at least SIMILAR. Candidates share a prefix shingle, may reach the overlap by their sizes and
-    places, and are verified. Where more than BUCKET sets share one, each set is tried first with
-    one other of a list that it shares; what remains in one component then makes no more pairs."""
-    post = marked.select("node", "size", F.posexplode("prefix").alias("pos", "token"))
+    at least SIMILAR. The first come from fingerprints. Then candidates that are not connected
+    yet share a prefix token, may reach the overlap by their sizes and places, and are verified.
+    Where more than BUCKET components share a token, each set is tried first with one other of
+    a list that it shares; what remains in one component then makes no more pairs."""
+    nodes = written(marked.groupBy("node").agg(F.min_by(F.struct("at", "size", "fp", "places", "tokens"), "at").alias("m")).select("node", "m.*"))
+    post = nodes.select("node", "size", F.inline(F.arrays_zip(F.col("places").alias("pos"), F.col("tokens").alias("token"))))
     lists = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    live = written(post.join(lists, "token").dropDuplicates(["token", "node"]))
-    crowds = written(live.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("token"))
-    # from the first common shingle on: the overlap must reach SIMILAR / (1 + SIMILAR) of both sizes
+    live = written(post.join(lists, "token"))
+    stars = written(fingerprint_stars(nodes.where("size > 0").select("node", "fp")))
+    wanted = live.select("node").unionByName(stars.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = written(shingle_sets(blocks, nodes.select("node", "at").join(wanted, "node", "left_semi"), k))
+    # from the first common token on: the overlap must reach SIMILAR / (1 + SIMILAR) of both sizes
     may = f"least(sa - pa, sb - pb) * {sum(SIMILAR)} >= {SIMILAR[0]} * (sa + sb)"
 
     def side(df: DataFrame, x: str) -> DataFrame:
@@ -245,33 +358,29 @@ def similar_links(marked: DataFrame, sets: DataFrame) -> DataFrame:
     def pairs(df: DataFrame) -> DataFrame:
         return side(df, "a").join(side(df, "b"), "token").where(f"a < b AND ca <> cb AND {may}").select("a", "b").distinct()
 
-    calm = written(pairs(live.join(crowds, "token", "left_anti").withColumn("c", F.col("node"))))
-    crowded = written(live.join(crowds, "token", "left_semi"))
-    nodes = written(calm.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowded.select("node")).distinct())
-    mark = F.broadcast if nodes.count() <= MAX_BROADCAST_VALUES else (lambda x: x)
-    own = written(sets.join(mark(nodes), "node", "left_semi").dropDuplicates(["node"]))
-    links = written(verified(calm, own))
-    if crowds.isEmpty():
-        return links
+    links = written(verified(stars, sets))
     for turn in range(ROUNDS + 1):
-        cur = written(crowded.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")))
-        mixed = cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1")
+        cur = written(live.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")))
+        mixed = written(cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1"))
         if turn == ROUNDS or mixed.where(F.col("n") > BUCKET).isEmpty():
-            return links.unionByName(verified(pairs(cur), own))
+            return links.unionByName(verified(pairs(cur.join(mixed.select("token"), "token", "left_semi")), sets))
         tried = side(cur, "a").join(side(mixed.select("token", "p.*"), "b"), "token").where(f"ca <> cb AND {may}")
         some = tried.groupBy("a").agg(F.min_by("b", F.xxhash64("token", F.lit(turn))).alias("b"))
-        links = written(links.unionByName(verified(some, own)))
+        before, links = links, written(links.unionByName(verified(some, sets)))
+        for old in (before, cur, mixed):
+            discard(old)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = STAGE_WORDS) -> DataFrame:
     """(id, component_id) for each row of docs: documents whose sets of k-word shingles have a
     Jaccard similarity of at least SIMILAR are linked."""
-    marked = written(prefixes(docs, id_col, text_col, k))
-    comp = written(components(similar_links(marked, shingle_sets(docs, text_col, k))))
-    distinct = marked.groupBy("node").agg(F.min(id_col).alias("least"))
+    blocks, found = marks(docs, id_col, text_col, k)
+    marked = written(found)
+    comp = written(components(similar_links(marked, blocks, k)))
+    distinct = marked.groupBy("node").agg(F.min("id").alias("least"))
     by_node = written(distinct.join(comp, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")))
     classes = by_node.groupBy("c").agg(F.min("least").alias("component_id"))
-    return marked.select(id_col, "node").join(by_node.join(classes, "c").select("node", "component_id"), "node").select(id_col, "component_id")
+    return marked.select(F.col("id").alias(id_col), "node").join(by_node.join(classes, "c").select("node", "component_id"), "node").select(id_col, "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ and a segment can only repeat where its minimizer does. Blocks of documents send
 minimizers (a few bytes each) to groups, which answer which occur twice or more; only those
 segments travel on, equal ones of a block once, with the smallest id. A block sends one row to
 a group at most and there are MAX_GROUPS at most, so rows grow with the blocks alone; a group
-beyond BUCKET_BYTES works through its minimizers in parts. A minimizer with more than `hot`
+works through its minimizers in parts of about PART_BYTES. A minimizer with more than `hot`
 different segments travels as single windows by their own hash, so no part grows with one
 common passage's surroundings; these windows are merged like all others.
 
@@ -47,8 +47,9 @@ from ._common import bytes_of, ship, slices, table, tidy, written
 
 LENGTH = 50
 GRAM = 24
-#: Bytes of text in a block, in a part of a group (before selection), and in a shard.
-BLOCK_BYTES, BUCKET_BYTES, SHARD_BYTES = 8 << 20, 6 << 20, 1 << 20
+#: Bytes of text in a block, in a group, in a part of it that is merged at once (both before
+#: selection), and in a shard. What is merged at once fits a processor's cache.
+BLOCK_BYTES, BUCKET_BYTES, PART_BYTES, SHARD_BYTES = 8 << 20, 6 << 20, 3 << 18, 1 << 16
 #: Groups at most; a block sends each of them one row.
 MAX_GROUPS = 1024
 #: Different segments of a minimizer from which on they travel as single windows.
@@ -306,7 +307,7 @@ def repeated_windows(segments: list[bytes] | tuple[np.ndarray, np.ndarray], leas
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     where = order[at]
-    mine = np.searchsorted(first, where, side="right") - 1
+    mine = np.repeat(np.arange(n, dtype=np.int32), full)[where]
     starts = np.flatnonzero(np.append(True, interval[1:] != interval[:-1]))
     smallest = np.repeat(np.minimum.reduceat(least[mine], starts), np.diff(np.append(starts, len(at))))
     hit = smallest < least[mine]
@@ -365,7 +366,7 @@ def _row(what: str, block: int, bucket: int, *data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(cols, names=_ROW.names)
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot: int = HOT, max_groups: int = MAX_GROUPS, texts: bool = True) -> tuple[DataFrame, str]:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, part_bytes: int = PART_BYTES, hot: int = HOT, max_groups: int = MAX_GROUPS, texts: bool = True) -> tuple[DataFrame, str]:
     """docs with a struct column (its name is returned: one that docs does not use) of n_bytes,
     n_removed, n_spans, kept_sha256, and if `texts`, kept_text: null where nothing is removed, else
     the characters of which any byte is kept, as a text must be valid."""
@@ -417,9 +418,9 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 
     made = written(docs.mapInArrow(make_blocks, _ROW))
     blocks = made.select("block", "a")
-    wanted = max(1, -(-made.count() * block_bytes // bucket_bytes))
-    buckets = min(wanted, max_groups)
-    parts = -(-wanted // buckets)
+    total = made.count() * block_bytes
+    buckets = min(max(1, -(-total // bucket_bytes)), max_groups)
+    parts = max(1, -(-total // (buckets * part_bytes)))
 
     def answer(key, t):
         """Which minimizers of a bucket are repeated, and which are hot, for each block."""

@@ -84,6 +84,16 @@ def test_near_vectors_of_nothing(spark):
     assert rows(cover_tree.near_vectors(nulls).select("n_links", "component_id")) == [(2, 3)] * 3
 
 
+def test_vectors_go_to_few_blocks(spark):
+    """Clusters far apart: each vector is sent about once, however many blocks there are."""
+    rng = np.random.default_rng(5)
+    centers = np.eye(32)[:16]
+    x = np.repeat(centers, 100, axis=0) + 0.01 * rng.normal(size=(1600, 32))
+    df = spark.createDataFrame([(i, v.tolist(), "k", 1) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, uid string, v int")
+    got = cover_tree.near_vectors(df, block=100)
+    assert {(r["n_links"], r["component_id"]) for r in got.collect()} == {(99, 100 * i) for i in range(16)}
+
+
 # ------------------------------------------------------------------ 2, 5 classifiers
 def corpus(spark, bad, n=600):
     rng = random.Random(4)
@@ -130,6 +140,36 @@ def test_one_label_only(spark):
             assert ((p >= 0) & (p <= 1)).all()
 
 
+@pytest.mark.parametrize("module", [toxicity, quality_model])
+def test_classifiers_on_odd_rows(spark, odd, none, module):
+    sample = corpus(spark, lambda rng, w: " ".join(x.upper() + "!!" for x in w))
+    model = module.fit(sample)
+    score = toxicity.toxicity_scores if module is toxicity else quality_model.quality_scores
+    got = score(odd, model).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in got) == sorted((r["doc_id"] is None, r["doc_id"]) for r in odd.select("doc_id").collect())
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] == 2}) == 1  # repeated rows score alike
+    assert len({r["score"] for r in got if r["doc_id"] in (3, 4)}) == 1  # null is empty
+    assert score(none, model).count() == 0
+
+
+def test_quality_of_many_shapes_needs_little_memory():
+    import tracemalloc
+
+    rng = random.Random(31)
+    texts = pa.array([" ".join("".join(rng.choice("aA0.,!|%") for _ in range(rng.randint(4, 12))) for _ in range(12)) for _ in range(10_000)])
+    index = quality_model.index_vectors()
+    units = quality_model.Units(texts)
+    assert len(units.kinds) > 20_000
+    tracemalloc.start()
+    got = quality_model.pooled(units, index, index, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    one = quality_model.pooled(quality_model.Units(texts.slice(77, 1)), index, index, index)
+    assert got[77] == pytest.approx(one[0], abs=1e-5)
+
+
 # ------------------------------------------------------------------ 3 simhash
 def fingerprint(text):
     w = WORD.findall(lower(text))
@@ -300,27 +340,114 @@ def test_mix_on_odd_rows(odd, none):
     assert mixing.mixed(none).count() == 0
 
 
+def test_mixed_tells_rows_apart(spark):
+    """Equal in id and text, different in source: both stay what they are, and reruns agree."""
+    text = " ".join(["w"] * 300)
+    data = [(1, text, "a", "en"), (1, text, "b", "de"), (2, text, "a", "en"), (2, text, "a", "en"), (None, text, "a", "en"), (3, None, "a", "en")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string, lang string").withColumn("extra", F.create_map(F.lit("k"), F.col("lang")))
+    got = rows(mixing.mixed(df).drop("extra"))
+    assert {r for r in got} <= {r for r in data}
+    assert {(1, text, "a", "en"), (1, text, "b", "de")} <= {r for r in got}
+    assert got == rows(mixing.mixed(df.repartition(5)).drop("extra"))
+
+
 # ------------------------------------------------------------------ 8 language model
-def test_decisions_of_one_context_are_kt():
-    t = lm_scoring._totals(np.eye(256)[[97]] * 3 + np.eye(256)[[98]])
-    assert t[0, 1] == 4
-    log = lm_scoring._block_log(np.eye(256)[[97]] * 3 + np.eye(256)[[98]])[0]
-    node = 1
-    for bit in range(8):
-        zero, one = t[0, 2 * node], t[0, 2 * node + 1]
-        want = math.lgamma(zero + 0.5) + math.lgamma(one + 0.5) - math.lgamma(zero + one + 1) - math.log(math.pi)
-        assert log[node] == pytest.approx(want)
-        node = 2 * node + (97 >> (7 - bit) & 1)
-
-
-def test_model_is_a_distribution_and_learns(spark):
-    docs = spark.createDataFrame([(i, "the cat sat on the mat. " * 5) for i in range(20)], "doc_id bigint, text string")
-    m = lm_scoring.Model(lm_scoring.train(docs).value)
-    assert np.allclose((10.0 ** m.table.reshape(-1, 256)).sum(axis=1), 1, atol=1e-3)
-    known, other = m.score(pa.array(["the cat sat on the mat. ", "xq zvk wjp qqz xxv kkj. "]))
-    assert known > other + 20
-    small = lm_scoring.Model(lm_scoring.train(docs, max_contexts=10).value)
-    assert np.allclose((10.0 ** small.table.reshape(-1, 256)).sum(axis=1), 1, atol=1e-3)
+def tree_scores(train, texts, depth=lm_scoring.DEPTH):
+    """Log10 probabilities by the definition, one dictionary entry for each node."""
+    count, below = Counter(), {}
+
+    def decisions(text):
+        data = bytes([lm_scoring.PAD] * depth) + lower(text).encode() + bytes([lm_scoring.END])
+        for i in range(depth, len(data)):
+            node = 1
+            for k in range(8):
+                bit = data[i] >> (7 - k) & 1
+                yield data[i - depth : i][::-1], node, bit
+                node = 2 * node + bit
+
+    for text in train:
+        for context, node, bit in decisions(text):
+            for d in range(depth + 1):
+                count[context[:d], node, bit] += 1
+                if d < depth:
+                    below.setdefault((context[:d], node), set()).add(context[: d + 1])
+
+    def own(c, node):
+        a, b = count[c, node, 0], count[c, node, 1]
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    weighted = {}
+
+    def log_weighted(c, node):
+        if (c, node) not in weighted:
+            x = own(c, node)
+            if len(c) < depth:
+                y = sum(log_weighted(k, node) for k in below.get((c, node), ()))
+                x = max(x, y) + math.log1p(math.exp(-abs(x - y))) + math.log(0.5)
+            weighted[c, node] = x
+        return weighted[c, node]
+
+    out = []
+    for text in texts:
+        total = 0.0
+        for context, node, bit in decisions(text):
+            mixed, left, one = 0.0, 1.0, 0.5
+            for d in range(depth + 1):
+                c = context[:d]
+                n = count[c, node, 0] + count[c, node, 1]
+                if not n:
+                    break
+                estimate = (count[c, node, 1] + 0.5) / (n + 1)
+                one = mixed + left * estimate
+                if d < depth:
+                    w = math.exp(own(c, node) + math.log(0.5) - log_weighted(c, node))
+                    mixed, left = mixed + left * w * estimate, left * (1 - w)
+            total += math.log10(one if bit else 1 - one)
+        out.append(total)
+    return out
+
+
+def lm_texts():
+    rng = random.Random(3)
+    words = "the cat sat on mat and a dog ran éà".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 40))), i % 4 == 1) for i in range(60)]
+    return [*rows, (60, None, False), (61, "", True), (62, "ZZZ top", True)]
+
+
+@pytest.mark.parametrize("block", [700, 8 << 20])
+def test_scores_equal_the_definition(spark, block):
+    docs = lm_texts()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, h boolean").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(df, "h", block_bytes=block).collect()}
+    want = tree_scores([t for _, t, h in docs if not h], [t for _, t, _ in docs])
+    assert got == {i: pytest.approx(w, rel=1e-4) for (i, _, _), w in zip(docs, want)}
+
+
+def test_parts_of_a_group_give_the_same(spark, monkeypatch):
+    """One group, and subtrees one by one."""
+    docs = lm_texts()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, h boolean")
+    want = {r["doc_id"]: r["score"] for r in lm_scoring.scored(df, "h").collect()}
+    whole = lm_scoring._subtrees
+    monkeypatch.setattr(lm_scoring, "MAX_GROUPS", 1)
+    monkeypatch.setattr(lm_scoring, "_subtrees", lambda k, n: whole(k, n, 1))
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.scored(df, "h").collect()}
+    assert got == {i: pytest.approx(x, rel=1e-4) for i, x in want.items()}
+
+
+def test_scores_of_other_texts(spark):
+    corpus = spark.createDataFrame([(i, "the cat sat on the mat. " * 5, 1) for i in range(20)], "doc_id bigint, text string, n int")
+    docs = spark.createDataFrame([(1, "the cat sat on the mat. "), (None, "xq zvk wjp qqz xxv kkj. "), (3, None)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.lm_scores(docs, corpus).collect()}
+    assert got[1]["score"] > got[None]["score"] + 20
+    assert got[3]["n_bytes"] == 1
+    assert got[1]["bits_per_byte"] == pytest.approx(-got[1]["score"] / math.log10(2) / 25)
+
+
+def test_kt_of_large_counts():
+    a, b = np.array([0, 5, 20_000, 3_000_000]), np.array([0, 1, 7, 40_000])
+    want = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a.tolist(), b.tolist())]
+    assert lm_scoring.log_kt(a, b) == pytest.approx(want, rel=1e-9)
 
 
 def check_base(docs, got, held):
@@ -367,8 +494,9 @@ def passages(docs):
     return out
 
 
-@pytest.mark.parametrize("hot", [1, 4096])
-def test_passages_equal_definition(spark, hot):
+@pytest.mark.parametrize(("hot", "groups"), [(1, 1024), (4096, 1024), (4096, 2)])
+def test_passages_equal_definition(spark, hot, groups):
+    """With hot minimizers, with many groups, and with few groups of several parts."""
     rng = random.Random(12)
     shared = ["".join(rng.choice("abcd é") for _ in range(rng.randint(40, 300))) for _ in range(6)]
     docs = []
@@ -381,7 +509,7 @@ def test_passages_equal_definition(spark, hot):
         docs.append((i, "".join(parts)))
     docs += [(60, docs[3][1]), (61, None), (62, ""), (63, "ab" * 400), (64, "ab" * 300)]
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
-    out, name = suffix_dedup.judged(df, block_bytes=3000, bucket_bytes=2000, hot=hot)
+    out, name = suffix_dedup.judged(df, block_bytes=3000, bucket_bytes=2000, part_bytes=1000, hot=hot, max_groups=groups)
     got = {r["doc_id"]: tuple(r[name])[:4] for r in out.collect()}
     assert got == passages(docs)
 
@@ -481,6 +609,18 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
 
 
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    for df in (odd, none):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = _common.written(stage(spark, docs, str(tmp_path)))
+            assert docs.columns == df.columns, name
+        last = _common.written(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))
+        assert (last.count() > 0) == (docs.count() > 0)
+
+
 @needs
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_equivalents(spark, name):

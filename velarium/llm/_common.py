@@ -57,7 +57,7 @@ def written(df: DataFrame) -> DataFrame:
     """df computed once, kept as Parquet in the shared folder; cuts the lineage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/velarium/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._velarium_path = path
     return out

@@ -15,8 +15,8 @@ by last byte, the root on the driver (256 rows). The weights come back the same
 answer each block with the log probabilities of its keys, and blocks sum them over their texts.
 
 Beside it stands a unigram base over words and one end token per text with add-one smoothing.
-Its vocabulary is never collected: blocks give one row per distinct word, counts are summed by
-word and joined back, and each block gets the counts of its own words.
+Its vocabulary is never collected: blocks send their distinct words with the same rows, to
+groups by hash, and get the counts of their own words back.
 
 A null text is empty; an empty text has only its end. Null ids hash as empty text. Repeated
 rows are scored alike and all counted. A null flag counts as training. An empty table gives no
@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER, Words, bytes_of, crc_mod, load, pack, per_text, ship, slices, table, text_blocks, tidy, unpack, written
+from ._common import LOWER, Words, bytes_of, crc_mod, load, pack, per_text, ship, slices, store, table, text_blocks, tidy, unpack, written
 
 PAD, END = 0xFE, 0xFF  # bytes that UTF-8 does not use
 DEPTH = 6
 #: Bytes of context that choose a key's group; deeper subtrees lie whole in one group.
 SPLIT = 3
 #: Bytes of text in a block, and of a part of it whose keys are sorted at once.
-BLOCK_BYTES, SLICE = 12 << 20, 2 << 20
+BLOCK_BYTES, SLICE = 8 << 20, 2 << 20
 #: Groups at most; a block sends one row to each at most, so rows grow with the blocks only.
 MAX_GROUPS = 4096
 #: No word: stands for the end of a text.
@@ -256,12 +256,34 @@ def _cut_runs(keys: np.ndarray, flat: np.ndarray) -> list[np.ndarray]:
 
 
 # ---------------------------------------------------------------- the job
-_ROW = T.StructType([T.StructField("what", T.StringType()), T.StructField("block", T.LongType()), T.StructField("grp", T.LongType()), *(T.StructField(c, T.BinaryType()) for c in "abc")])
-_ROWS = pa.schema([("what", pa.string()), ("block", pa.int64()), ("grp", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_FIELDS = [("what", T.StringType(), pa.string()), ("block", T.LongType(), pa.int64()), ("grp", T.LongType(), pa.int64()), *((c, T.BinaryType(), pa.binary()) for c in "abcd")]
+_ROW = T.StructType([T.StructField(n, t) for n, t, _ in _FIELDS])
+_ROWS = pa.schema([(n, t) for n, _, t in _FIELDS])
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_pylist([dict(zip(_ROWS.names, (*r, *[None] * (6 - len(r))))) for r in rows], _ROWS)
+    return pa.Table.from_pylist([dict(zip(_ROWS.names, r)) for r in rows], _ROWS)
+
+
+def word_groups(words: pa.Array, groups: int) -> np.ndarray:
+    """Group of each word, by a hash of its bytes."""
+    data, offsets = bytes_of(words)
+    size = np.diff(offsets)
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    power = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, U))[place % 64] ^ (place // 64).astype(U)
+    h = size.astype(U)
+    some = size > 0
+    if len(data):
+        h[some] += np.add.reduceat((data.astype(U) + U(1)) * power, offsets[:-1][some])
+    h = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9)
+    return ((h >> U(32)) % U(groups)).astype(np.uint16)
+
+
+def block_words(texts: pa.Array) -> tuple[Words, np.ndarray, pa.Array]:
+    """(words, index of each, distinct words and, last, the end token)."""
+    w = Words(texts, lower=True)
+    index, words = w.encoded()
+    return w, index, pa.concat_arrays([words, pa.array([END_TOKEN], pa.binary())])
 
 
 def _subtrees(keys: np.ndarray, counts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, Levels]]:
@@ -293,12 +315,6 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each block: its keys for every group, and its words."""
-        names = [*_ROWS.names, "word", "n", "idx"]
-        types = [*_ROWS.types, pa.binary(), pa.int64(), pa.int32()]
-
-        def batch(count: int, **given) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([given[name] if name in given else pa.nulls(count, t) for name, t in zip(names, types)], names=names)
-
         for b in batches:
             for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 t = load(data)
@@ -306,27 +322,29 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                 keys, counts = block_keys(texts, train)
                 to = group_of(keys, DEPTH, groups)
                 by = np.argsort(to, kind="stable")
-                to, keys, counts = to[by], keys[by], counts[by]
-                first = edges(to)
-                ends = np.append(first[1:], len(to))
-                yield batch(len(first), what=pa.array(["keys"] * len(first)), block=pa.array([block] * len(first), pa.int64()), grp=pa.array(to[first].astype(np.int64)), a=pa.array([_pack_keys(keys[x:y]) for x, y in zip(first, ends)], pa.binary()), b=pa.array([pack(counts[x:y].astype(np.int32)) for x, y in zip(first, ends)], pa.binary()))
-                del keys, counts, to, by
-                w = Words(texts, lower=True)
-                index, words = w.encoded()
-                n = np.bincount(index, weights=np.repeat(train, np.diff(w.bounds)), minlength=len(words)).astype(np.int64)
-                words, n = pa.concat_arrays([words, pa.array([END_TOKEN], pa.binary())]), np.append(n, train.sum())
-                for i in range(0, len(words), 1 << 17):
-                    m = min(1 << 17, len(words) - i)
-                    yield batch(m, what=pa.array(["word"] * m), block=pa.array([block] * m, pa.int64()), word=words.slice(i, m), n=pa.array(n[i : i + m]), idx=pa.array(np.arange(i, i + m, dtype=np.int32)))
-                del w, index, words, n
+                to, keys, counts = to[by], keys[by], counts[by].astype(np.int32)
+                cut = np.searchsorted(to, np.arange(groups + 1))
+                w, index, words = block_words(texts)
+                n = np.bincount(index, weights=np.repeat(train, np.diff(w.bounds)), minlength=len(words)).astype(np.int32)
+                n[-1] = train.sum()
+                to = word_groups(words, groups)
+                by = np.argsort(to, kind="stable")
+                words, n = words.take(pa.array(by)), n[by]
+                own = np.searchsorted(to[by], np.arange(groups + 1))
+                del by, to, index, w, texts, t
+                for g in range(groups):
+                    a, b_, x, y = cut[g], cut[g + 1], own[g], own[g + 1]
+                    if b_ > a or y > x:
+                        yield from _rows([("sent", block, g, _pack_keys(keys[a:b_]), pack(counts[a:b_]), store(pa.table({"w": words.slice(x, y - x)})), pack(n[x:y]))]).to_batches()
+                del keys, counts, words, n
                 tidy()
 
     field = T.StructField
-    sent = written(made.select("block", "a").mapInArrow(send, T.StructType([*_ROW.fields, field("word", T.BinaryType()), field("n", T.LongType()), field("idx", T.IntegerType())])))
-    messages = sent.where("what = 'keys'").select(*_ROWS.names)
+    sent = written(made.select("block", "a").mapInArrow(send, _ROW))
 
     def weigh(key, t):
-        """A group's counts as one, and what its subtrees weigh at SPLIT, by last byte."""
+        """A group's counts as one, what its subtrees weigh at SPLIT, by last byte, and for each
+        block the counts of the words that it sent."""
         k, n = merged([_open_keys(x) for x in t.column("a").to_pylist()], [unpack(x, np.int32).astype(np.int64) for x in t.column("b").to_pylist()])
         out = [("state", -1, key[0].as_py(), _pack_keys(k), pack(n))]
         for _, _, levels in _subtrees(k, n):
@@ -338,10 +356,21 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
                 a, b = np.searchsorted(last, [c, c + 1])
                 cut = [w[bit][slice(*np.searchsorted(first[bit], [a, b]))] for bit in range(8)]
                 out.append(("up", c, key[0].as_py(), _pack_keys(top[a:b]), pack(levels.counts[SPLIT][a:b]), pack(np.concatenate(cut))))
+        words = [load(x).column("w").combine_chunks() for x in t.column("c").to_pylist()]
+        d = pa.concat_arrays(words).dictionary_encode()
+        index = d.indices.to_numpy()
+        count = np.zeros(len(d.dictionary), np.int64)
+        np.add.at(count, index, np.concatenate([unpack(x, np.int32) for x in t.column("d").to_pylist()]))
+        for block, c in zip(t.column("block").to_pylist(), np.split(count[index], np.cumsum([len(x) for x in words])[:-1])):
+            out.append(("count", block, key[0].as_py(), pack(c)))
+        out.append(("tokens", -1, key[0].as_py(), pack(np.array([count.sum(), (count > 0).sum()], np.int64))))
         tidy()
         return _rows(out)
 
-    weighed = written(messages.groupBy("grp").applyInArrow(weigh, _ROW))
+    weighed = written(sent.groupBy("grp").applyInArrow(weigh, _ROW))
+    totals = [unpack(r["a"], np.int64) for r in weighed.where("what = 'tokens'").select("a").collect()]  # MAX_GROUPS at most
+    tokens, distinct = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
+    log_all = float(np.log10(tokens + distinct + 1))
     ups = weighed.where("what = 'up'").select("block", "grp", "a", "b", "c")
 
     def top_levels(t: pa.Table) -> tuple[np.ndarray, Levels, list[np.ndarray]]:
@@ -400,8 +429,9 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         for i in sorted((i for i, w in enumerate(what) if w == "down"), key=lambda i: t.column("block")[i].as_py()):
             k = _open_keys(a[i])
             parts.append((k, [_cut_runs(k, x) for x in np.split(unpack(b[i], np.float64), 3)]))
-        top = np.concatenate([p[0] for p in parts])
-        each = [[np.concatenate([p[1][x][bit] for p in parts]) for x in range(3)] for bit in range(8)]
+        if parts:  # a group may hold words alone
+            top = np.concatenate([p[0] for p in parts])
+            each = [[np.concatenate([p[1][x][bit] for p in parts]) for x in range(3)] for bit in range(8)]
         value = np.empty(len(keys), np.float32)
         for x, y, levels in _subtrees(keys, counts):
             lo, hi = np.searchsorted(top, [levels.keys[SPLIT][0], levels.keys[SPLIT][-1] + U(1)])
@@ -416,18 +446,14 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
         tidy()
         return _rows(out)
 
-    states = weighed.where("what = 'state'").select(*_ROWS.names)
+    states = weighed.where("what = 'state'")
+    blank = F.lit(None).cast("binary")
+    messages = sent.select(F.lit("keys").alias("what"), "block", "grp", "a", blank.alias("b"), blank.alias("c"), blank.alias("d"))
     replies = messages.unionByName(states).unionByName(downs).groupBy("grp").applyInArrow(answer, _ROW)
 
-    words = sent.where("what = 'word'").select("block", "word", "n", "idx")
-    counted = written(words.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")))
-    tokens, distinct = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = words.join(counted, "word").select("block", "idx", "c")
-    log_all = float(np.log10(tokens + distinct + 1))
-
-    def finish(key, left, right):
-        what = left.column("what").to_pylist()
-        a, grp = left.column("a").to_pylist(), left.column("grp").to_pylist()
+    def finish(key, t):
+        what = t.column("what").to_pylist()
+        a, grp = t.column("a").to_pylist(), t.column("grp").to_pylist()
         t = load(a[what.index("text")])
         texts, out = t.column("text").combine_chunks(), _flags(t)
         keys, _ = block_keys(texts, None)
@@ -444,10 +470,11 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
             part = np.bincount((s & U(255)).astype(np.int64), weights=each)
             score[i : i + len(part)] = part
         del keys, value
-        w = Words(texts, lower=True)
-        index, words = w.encoded()
-        c = np.zeros(len(words) + 1, np.int64)
-        c[right.column("idx").to_numpy()] = right.column("c").to_numpy()
+        w, index, words = block_words(texts)
+        to = word_groups(words, groups)
+        c = np.empty(len(words), np.int64)
+        c[np.argsort(to, kind="stable")] = np.concatenate([unpack(a[i], np.int64) for i in sorted((i for i, x in enumerate(what) if x == "count"), key=grp.__getitem__)])
+        del to
         gain = np.log10(c + 1.0) - log_all
         size = np.diff(bytes_of(texts)[1]) + 1
         m = len(texts)
@@ -465,9 +492,8 @@ def scored(docs: DataFrame, held_out: str, id_col: str = "doc_id", text_col: str
 
     long, double = T.LongType(), T.DoubleType()
     schema = T.StructType([kind, field("held_out", T.BooleanType()), field("n_tokens", long), field("n_known", long), field("train_tokens", long), field("base_score", double), field("score", double), field("n_bytes", long), field("bits_per_byte", double)])
-    blank = F.lit(None).cast("binary")
-    both = made.select(F.lit("text").alias("what"), "block", F.lit(-1).cast("bigint").alias("grp"), "a", blank.alias("b"), blank.alias("c")).unionByName(replies)
-    done = both.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(finish, schema)
+    both = made.select(F.lit("text").alias("what"), "block", F.lit(-1).cast("bigint").alias("grp"), "a").unionByName(weighed.where("what = 'count'").select("what", "block", "grp", "a")).unionByName(replies.select("what", "block", "grp", "a"))
+    done = both.groupBy("block").applyInArrow(finish, schema)
     return done.withColumnRenamed("id", id_col)
 
 

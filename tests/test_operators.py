@@ -126,7 +126,7 @@ def test_enrichment_keeps_every_row(spark):
     assert got[1]["birth_text"] == "1700s"
 
 
-def test_components_whole_equals_union_find(spark, tmp_path):
+def test_components_equal_union_find(spark, tmp_path):
     from velarium.plans.registry import QUERIES
 
     rows = [(p, 10 + p % 3 if p < 900 else 900 + p, 1 + p % 7) for p in range(0, 1200, 7)] + [(1000, 5000, 2), (2000, 5000, 3), (1, 1, 4)]
@@ -141,11 +141,11 @@ def test_components_whole_equals_union_find(spark, tmp_path):
     for p, s, _ in rows:
         x, y = find(p), find(-1 - s)
         parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["component"] for r in QUERIES["components_whole"](spark, str(tmp_path)).collect()}
+    got = {r["node"]: r["component"] for r in QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == {n: find(n) for n in list(parent)}
 
 
-def test_lineage_frontier_whole_equals_brute_force(spark, tmp_path):
+def test_lineage_frontier_equals_brute_force(spark, tmp_path):
     from velarium.plans.registry import QUERIES
 
     keys = range(1, 400)
@@ -162,6 +162,6 @@ def test_lineage_frontier_whole_equals_brute_force(spark, tmp_path):
             last = {a for n in last for a in up.get(n, ())} - seen
             seen |= last
             want |= {(root, n, d) for n in last}
-    got = {(r["root"], r["node"], r["depth"]) for r in QUERIES["lineage_frontier_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["root"], r["node"], r["depth"]) for r in QUERIES["lineage_frontier"](spark, str(tmp_path)).collect()}
     assert got == want
     assert {r for r, _, _ in got if r % 50}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Members of a short form that are listed.
-FORM_CAP = 64
+#: Members of a short form that are listed, and parts in which a form's members are first cut.
+FORM_CAP, FORM_PARTS = 64, 64
 
 
 def collision_groups(df: DataFrame, key: str, year: str, gid: str) -> DataFrame:
@@ -37,25 +37,32 @@ def severity(n):
 
 
 def mask_birth_years(df: DataFrame, region: str, year: str, least: int = 5) -> DataFrame:
-    """Years of cohorts (region, decade) under `least` become their decade's label."""
-    decade = F.floor(F.col(year) / 10) * 10
-    w = Window.partitionBy(region, "_decade")
-    d = df.withColumn("_decade", decade)
-    n = F.count(year).over(w)
+    """Years of cohorts (region, decade) under `least` become their decade's label. Cohorts are
+    counted by partial aggregation and joined back, so a cohort of any size stays spread out."""
+    d = df.withColumn("_decade", F.floor(F.col(year) / 10) * 10)
+    sizes = d.groupBy(F.col(region).alias("_r"), F.col("_decade").alias("_d")).agg(F.count(year).alias("_n"))
+    d = d.join(sizes, F.col(region).eqNullSafe(F.col("_r")) & F.col("_decade").eqNullSafe(F.col("_d")), "left")
+    n = F.col("_n")
     masked = F.when(F.col(year).isNull(), F.lit(None).cast("string")).when(n < least, F.concat(F.col("_decade").cast("int").cast("string"), F.lit("s"))).otherwise(F.col(year).cast("string"))
-    return d.withColumn("birth_text", masked).drop("_decade")
+    return d.withColumn("birth_text", masked).drop("_decade", "_r", "_d", "_n")
 
 
-def short_forms(df: DataFrame, family: str, given: str, gid: str) -> DataFrame:
+def short_forms(df: DataFrame, family: str, given: str, gid: str, cap: int | None = FORM_CAP) -> DataFrame:
     """(form, members, ids): initials, "A. Last" and "Last" forms that two ids or more share;
-    the list holds the first FORM_CAP ids in order, the count all of them."""
+    the list holds the first `cap` ids in order (None: all of them, which is as long as the form is
+    common), the count all of them. Lists are cut by parts first, so a common form's ids do not
+    meet in one task."""
     initial = F.upper(F.substr(given, F.lit(1), F.lit(1)))
     forms = F.array(F.concat(initial, F.lit("."), F.upper(F.substr(family, F.lit(1), F.lit(1))), F.lit(".")), F.concat(initial, F.lit(". "), F.col(family)), F.col(family))
     pairs = df.select(F.explode(forms).alias("form"), gid).distinct()
-    w = Window.partitionBy("form").orderBy(gid)
-    ranked = pairs.withColumn("r", F.row_number().over(w))
-    g = ranked.groupBy("form").agg(F.count("*").alias("members"), F.array_sort(F.collect_list(F.when(F.col("r") <= FORM_CAP, F.col(gid)))).alias("ids"))
-    return g.where("members >= 2")
+    sizes = pairs.groupBy("form").agg(F.count("*").alias("members")).where("members >= 2")
+    kept = pairs
+    if cap is not None:
+        by_part = Window.partitionBy("form", F.pmod(F.xxhash64(gid), F.lit(FORM_PARTS))).orderBy(gid)
+        kept = pairs.withColumn("r", F.row_number().over(by_part)).where(F.col("r") <= cap)
+        kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("form").orderBy(gid))).where(F.col("r") <= cap)
+    lists = kept.groupBy("form").agg(F.array_sort(F.collect_list(gid)).alias("ids"))
+    return sizes.join(lists, "form").select("form", "members", "ids")
 
 
 def beta_confidence(sources, weights: dict[str, float], other: float = 0.5):

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoints
+
 #: Nodes up to which betweenness starts from every node; beyond, from PIVOTS of them.
 EXACT_NODES, PIVOTS = 10_000, 256
 
@@ -20,26 +22,31 @@ def clean_edges(edges: DataFrame) -> DataFrame:
 
 def walks(edges: DataFrame, up: bool, depth: int, root: int | None = None) -> DataFrame:
     """(root, node, depth): all nodes within `depth` steps of each root, or of one, at their least
-    depth. One recursive query; paths stop where they would meet themselves."""
-    spark = edges.sparkSession
-    start = "" if root is None else f"WHERE a = {int(root)}"
+    depth."""
+    start = edges.select(F.col("student" if up else "advisor").alias("node")).distinct()
+    return frontier(edges, start if root is None else start.where(F.col("node") == root), up, depth)
+
+
+def paths(edges: DataFrame, root: int, up: bool, depth: int) -> DataFrame:
+    """(path, length): every path of at most `depth` steps from one node, in which no node repeats,
+    as an array. One recursive query; their number can grow with the power of the depth."""
     a, b = ("student", "advisor") if up else ("advisor", "student")
-    edges.select(F.col(a).alias("a"), F.col(b).alias("b")).createOrReplaceTempView("_walk_edges")
-    return spark.sql(f"""
-      WITH RECURSIVE w(root, node, depth, path) MAX RECURSION LEVEL {depth + 2} AS (
-        SELECT a, b, 1, array(a, b) FROM _walk_edges {start}
+    edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().createOrReplaceTempView("_path_edges")
+    return edges.sparkSession.sql(f"""
+      WITH RECURSIVE w(node, length, path) MAX RECURSION LEVEL {depth + 2} AS (
+        SELECT b, 1, array(a, b) FROM _path_edges WHERE a = {int(root)} AND a <> b
         UNION ALL
-        SELECT w.root, e.b, w.depth + 1, concat(w.path, array(e.b))
-        FROM w JOIN _walk_edges e ON w.node = e.a
-        WHERE w.depth < {depth} AND NOT array_contains(w.path, e.b))
-      SELECT root, node, min(depth) AS depth FROM w WHERE root <> node GROUP BY root, node""")
+        SELECT e.b, w.length + 1, concat(w.path, array(e.b)) FROM w JOIN _path_edges e ON w.node = e.a
+        WHERE w.length < {depth} AND NOT array_contains(w.path, e.b))
+      SELECT path, length FROM w""")
 
 
 def frontier(edges: DataFrame, roots: DataFrame, up: bool, depth: int) -> DataFrame:
     """The same from given roots only, by joins of the frontier with the edges; for wide graphs.
     Each step's new pairs are checkpointed, so the plan stays short."""
+    checkpoints(edges.sparkSession)
     a, b = ("student", "advisor") if up else ("advisor", "student")
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).checkpoint()
     seen = roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"))
     last = seen
     for d in range(1, depth + 1):
@@ -47,7 +54,7 @@ def frontier(edges: DataFrame, roots: DataFrame, up: bool, depth: int) -> DataFr
         last = new.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
         if last.isEmpty():
             break
-        seen = seen.unionByName(last).checkpoint()
+        seen = seen.unionByName(last)  # steps already written
     return seen.where("depth > 0")
 
 
@@ -66,6 +73,7 @@ def cycle_pairs(edges: DataFrame, most: int) -> DataFrame:
 def peel(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """Edges left after nodes without outgoing ones are taken away again and again: empty exactly
     if the graph has no cycle."""
+    checkpoints(edges.sparkSession)
     e = edges.select("student", "advisor").distinct().checkpoint()
     for _ in range(rounds):
         out = e.select(F.col("student").alias("s")).distinct()
@@ -87,6 +95,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame:
     """(node, component): least node reachable. Labels take the least of their neighbours' and
     then of their label's label, so long paths halve each round."""
+    checkpoints(edges.sparkSession)
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionAll(edges.select(F.col(b), F.col(a))).distinct().checkpoint()
     label = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("l")).checkpoint()
     for _ in range(rounds):
@@ -100,9 +109,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame
     raise RuntimeError("components did not settle")
 
 
-def betweenness(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
-    """(node, score): shortest-path betweenness, undirected, from every node or from PIVOTS
-    chosen by hash. Pivots are dealt over tasks; the edges go to each, so their number is checked."""
+def betweenness(edges: DataFrame, most_edges: int = 5_000_000, exact_nodes: int | None = EXACT_NODES) -> DataFrame:
+    """(node, score, exact): shortest-path betweenness, undirected, from every node up to
+    exact_nodes of them (None: always), else scaled from PIVOTS chosen by hash; `exact` says which.
+    Starts are dealt over tasks; the edges go to each, so their number is checked."""
     spark = edges.sparkSession
     e = edges.select("student", "advisor").distinct()
     if e.count() > most_edges:
@@ -111,8 +121,9 @@ def betweenness(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
     pairs = spark.sparkContext.broadcast((table["student"].to_numpy(), table["advisor"].to_numpy()))
     nodes = e.select(F.explode(F.array("student", "advisor")).alias("node")).distinct()
     n = nodes.count()
-    pivots = nodes if n <= EXACT_NODES else nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS)
-    scale = n / min(n, PIVOTS) if n > EXACT_NODES else 1.0
+    exact = exact_nodes is None or n <= exact_nodes
+    pivots = nodes if exact else nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS)
+    scale = 1.0 if exact else n / min(n, PIVOTS)
 
     def work(batches):
         near: dict[int, list[int]] = {}
@@ -140,7 +151,7 @@ def betweenness(edges: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
         yield pd.DataFrame({"node": list(total), "part": list(total.values())})
 
     parts = pivots.repartition("node").mapInPandas(work, "node bigint, part double")
-    return parts.groupBy("node").agg(F.round(F.sum("part") * scale / 2, 6).alias("score"))
+    return parts.groupBy("node").agg(F.round(F.sum("part") * scale / 2, 6).alias("score")).withColumn("exact", F.lit(exact))
 
 
 def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,9 +169,11 @@ def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
-    w = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    r = df.select(value, F.row_number().over(Window.orderBy(value)).alias("i"), F.sum(value).over(w).alias("c"))
-    return r.agg(F.round((F.count("*") + 1 - 2 * F.sum("c") / F.max("c")) / F.count("*"), 9).alias("gini"))
+    """Equal values are counted first, so the ordered pass sees one row for each distinct value."""
+    g = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum(F.col("v") * F.col("n")).over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = g.select("v", "n", (F.col("n") * before + F.col("v") * F.col("n") * (F.col("n") + 1) / 2).alias("c"))
+    return r.agg(F.round((F.sum("n") + 1 - 2 * F.sum("c") / F.sum(F.col("v") * F.col("n"))) / F.sum("n"), 9).alias("gini"))
 
 
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -10,25 +10,50 @@ from pyspark.sql import functions as F
 ORDER = ("ts", "event_id")
 
 
-def _w(frame: int, by: str = "metric"):
-    return Window.partitionBy(by).orderBy(*ORDER).rowsBetween(1 - frame, 0)
+#: Rows of a metric that one task works on, and seconds whose rows are numbered at once.
+CHUNK, STRETCH = 50_000, 86_400
 
 
-def anomalies(df: DataFrame, frame: int = 100, least: int = 10, limit: float = 3.0) -> DataFrame:
+def numbered(df: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """df with `i`, the place of each row in its metric from 1 on: rows are counted by stretch of
+    time, the counts (one row each) added up, and rows numbered inside their stretch."""
+    d = df.withColumn("_s", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / stretch))
+    counts = d.groupBy("metric", "_s").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("metric").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    heads = counts.select(F.col("metric").alias("_m"), F.col("_s").alias("_k"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_head"))
+    j = d.join(heads, F.col("metric").eqNullSafe(F.col("_m")) & (F.col("_s") == F.col("_k")))
+    return j.withColumn("i", F.col("_head") + F.row_number().over(Window.partitionBy("metric", "_s").orderBy(*ORDER))).drop("_s", "_m", "_k", "_head")
+
+
+def chunked(df: DataFrame, frame: int, chunk: int = CHUNK) -> DataFrame:
+    """Numbered rows in chunks of each metric (`_chunk`), with the last frame - 1 rows of the chunk
+    before repeated in front (`_halo`), so that a frame never leaves its chunk."""
+    d = numbered(df).withColumn("_own", F.floor((F.col("i") - 1) / chunk))
+    late = (F.col("i") - 1) % chunk >= chunk - (frame - 1)
+    both = F.when(late, F.array("_own", F.col("_own") + 1)).otherwise(F.array("_own"))
+    return d.withColumn("_chunk", F.explode(both)).withColumn("_halo", F.col("_chunk") > F.col("_own")).drop("_own")
+
+
+def _w(frame: int):
+    return Window.partitionBy("metric", "_chunk").orderBy("i").rowsBetween(1 - frame, 0)
+
+
+def anomalies(df: DataFrame, frame: int = 100, least: int = 10, limit: float = 3.0, chunk: int = CHUNK) -> DataFrame:
     """Points more than `limit` sample deviations from the mean of their last `frame`, themselves
     included, from `least` points on."""
     w = _w(frame)
-    d = df.withColumn("n", F.count("*").over(w)).withColumn("mean", F.avg("value").over(w)).withColumn("sd", F.stddev_samp("value").over(w))
+    d = chunked(df, frame, chunk).withColumn("n", F.count("*").over(w)).withColumn("mean", F.avg("value").over(w)).withColumn("sd", F.stddev_samp("value").over(w))
     z = F.abs(F.col("value") - F.col("mean")) / F.col("sd")
-    return d.withColumn("z", z).where((F.col("n") >= least) & (F.col("sd") > 0) & (F.col("z") > limit))
+    return d.withColumn("z", z).where(~F.col("_halo") & (F.col("n") >= least) & (F.col("sd") > 0) & (F.col("z") > limit)).drop("_chunk", "_halo", "i")
 
 
-def features(df: DataFrame, frame: int = 10) -> DataFrame:
+def features(df: DataFrame, frame: int = 10, chunk: int = CHUNK) -> DataFrame:
     """Hour, weekday (Monday 0), mean and slope of the last `frame` points."""
     w = _w(frame)
-    i = F.row_number().over(Window.partitionBy("metric").orderBy(*ORDER))
-    d = df.withColumn("i", i.cast("double"))
-    return d.select("metric", "event_id", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), F.round(F.avg("value").over(w), 6).alias("mean"), F.round(F.regr_slope("value", "i").over(w), 6).alias("slope"))
+    d = chunked(df, frame, chunk).withColumn("i", F.col("i").cast("double"))
+    mean, slope = F.round(F.avg("value").over(w), 6), F.round(F.regr_slope("value", "i").over(w), 6)
+    d = d.withColumn("mean", mean).withColumn("slope", slope).where("NOT _halo")
+    return d.select("metric", "event_id", F.hour("ts").alias("hour"), F.weekday("ts").alias("weekday"), "mean", "slope")
 
 
 def latest(df: DataFrame, n: int) -> DataFrame:
@@ -69,8 +94,8 @@ def summary(df: DataFrame) -> DataFrame:
     newest = F.struct("ts", "event_id")
     return df.groupBy("metric").agg(
         F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"),
-        F.min_by("value", newest).alias("first_value"), F.max_by("value", newest).alias("last_value"), F.approx_count_distinct("client").alias("_c"),
-    ).drop("_c")
+        F.min_by("value", newest).alias("first_value"), F.max_by("value", newest).alias("last_value"),
+    )
 
 
 def alerts(df: DataFrame, rules: DataFrame) -> DataFrame:

@@ -123,4 +123,4 @@ def median_alerts(recent: DataFrame, baseline: DataFrame, key: str, value: str,
 
 def fold_of(key: Column, k: int) -> Column:
     """Fold of a row, by its hash."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(k)).cast("int")
+    return (F.conv(F.substr(F.md5(key.cast("string")), F.lit(1), F.lit(8)), 16, 10).cast("bigint") % k).cast("int")

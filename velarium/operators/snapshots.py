@@ -84,5 +84,17 @@ def retain(runs: DataFrame, keep: int, days: int, today) -> DataFrame:
 def evict(cache: DataFrame, needed: int) -> DataFrame:
     """Cache rows to drop, oldest and least hit first, until `needed` bytes are free."""
     score = F.unix_seconds("ts") + F.col("hits") * 3600
-    w = Window.orderBy(score, "id").rowsBetween(Window.unboundedPreceding, -1)
-    return cache.withColumn("_before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("_before") < needed).drop("_before")
+    return running(cache.withColumn("_score", score), "_score", ["id"], "size", 3600).where(F.col("_before") < needed).drop("_before", "_score")
+
+
+def running(df: DataFrame, by: str, ties: list[str], value: str, step: int) -> DataFrame:
+    """df with `_before`: the sum of value over all rows that stand earlier by (by, ties). Sums of
+    stretches of `step` are added up first (one row each), then rows within their stretch, so no
+    task sees more than a stretch."""
+    d = df.withColumn("_stretch", F.floor(F.col(by) / step))
+    sums = d.groupBy("_stretch").agg(F.sum(value).alias("_s"))
+    w = Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select(F.col("_stretch").alias("_k"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_head"))
+    inside = Window.partitionBy("_stretch").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    j = d.join(heads, F.col("_stretch") == F.col("_k")).withColumn("_before", F.col("_head") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return j.drop("_stretch", "_k", "_head")

@@ -14,10 +14,10 @@ BACK = "l AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts DESC,
 
 @query(
     "metric_anomaly",
-    f"WITH {V.METRICS_SQL}, w AS (SELECT *, count(*) OVER f AS n, avg(value) OVER f AS m, stddev_samp(value) OVER f AS s FROM metrics WINDOW f AS (PARTITION BY metric ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT metric, event_id, round(abs(value - m) / s, 6) AS z FROM w WHERE n >= 10 AND s > 0 AND abs(value - m) / s > 2.5",
+    f"WITH {V.METRICS_SQL}, w AS (SELECT *, count(*) OVER f AS n, avg(value) OVER f AS m, stddev_samp(value) OVER f AS s FROM metrics WINDOW f AS (PARTITION BY metric ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT metric, event_id, round(abs(value - m) / s, 6) AS z FROM w WHERE n >= 10 AND s > 0 AND abs(value - m) / s > 3",
 )
 def metric_anomaly(spark, sf):
-    return metrics.anomalies(V.metrics(spark, sf), limit=2.5).select("metric", "event_id", F.round("z", 6).alias("z"))
+    return metrics.anomalies(V.metrics(spark, sf)).select("metric", "event_id", F.round("z", 6).alias("z"))
 
 
 @query(

@@ -11,12 +11,12 @@ from .identity import MINTED
 from .registry import query
 
 PAIRS = f"""WITH {V.ENTRIES_SQL}, d AS (SELECT min(ord) AS ord, native, source FROM entries GROUP BY native, source),
-pairs AS (SELECT a.ord AS ord_a, b.ord AS ord_b, a.native AS a, b.native AS b FROM d a JOIN d b ON a.source = b.source AND a.ord < b.ord)"""
+pairs AS (SELECT a.ord AS ord_a, b.ord AS ord_b, a.native AS a, b.native AS b FROM d a JOIN d b ON a.source = b.source AND substr(a.native, 1, 1) = substr(b.native, 1, 1) AND a.ord < b.ord)"""
 
 
 def part_pairs(spark, sf):
     d = V.entries(spark, sf).groupBy("native", "source").agg(F.min("ord").alias("ord"))
-    return matching.blocked_pairs(d, "ord", ["source"], ["native"]).select("ord_a", "ord_b", F.col("native_a").alias("a"), F.col("native_b").alias("b"))
+    return matching.blocked_pairs(d, "ord", ["source", F.substr("native", F.lit(1), F.lit(1))], ["native"]).select("ord_a", "ord_b", F.col("native_a").alias("a"), F.col("native_b").alias("b"))
 
 
 _BI = "list_distinct(list_transform(range(1, length({x})), lambda i: substr(lower({x}), CAST(i AS INTEGER), 2)))"
@@ -296,7 +296,7 @@ def regression_alerts(spark, sf):
     return quality.median_alerts(m.where("event_id % 2 = 1"), m.where("event_id % 2 = 0"), "metric", "value", 0.02)
 
 
-@query("kfold_brier")
+@query("kfold_brier", f"WITH {V.PREDICTIONS_SQL} SELECT CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::UBIGINT % 5 AS INTEGER) AS fold, count(*) AS n, round(avg((conf - y) ** 2), 9) AS brier FROM predictions GROUP BY 1")
 def kfold_brier(spark, sf):
     p = V.predictions(spark, sf).withColumn("fold", quality.fold_of(F.col("doc_id"), 5))
     return p.groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg((F.col("conf") - F.col("y")) ** 2), 9).alias("brier"))

@@ -117,14 +117,28 @@ def _walk_sql(a: str, b: str, depth: int) -> str:
     SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE root <> node GROUP BY 1, 2"""
 
 
+def _lineage(spark, sf, up: bool, depth: int):
+    e = lineage.clean_edges(V.advisor_edges(spark, sf))
+    return lineage.frontier(e, e.select(F.col("student" if up else "advisor").alias("node")).distinct(), up, depth)
+
+
 @query("lineage_ancestors", _walk_sql("student", "advisor", 6))
 def lineage_ancestors(spark, sf):
-    return lineage.walks(lineage.clean_edges(V.advisor_edges(spark, sf)), True, 6)
+    return _lineage(spark, sf, True, 6)
 
 
 @query("lineage_descendants", _walk_sql("advisor", "student", 4))
 def lineage_descendants(spark, sf):
-    return lineage.walks(lineage.clean_edges(V.advisor_edges(spark, sf)), False, 4)
+    return _lineage(spark, sf, False, 4)
+
+
+@query("lineage_paths", f"""WITH RECURSIVE {CLEAN}, w AS (SELECT student AS a, advisor AS node, 1 AS length, [student, advisor] AS path FROM clean WHERE student = (SELECT max(student) FROM clean)
+  UNION ALL SELECT w.a, c.advisor, w.length + 1, list_append(w.path, c.advisor) FROM w JOIN clean c ON w.node = c.student WHERE w.length < 12 AND NOT list_contains(w.path, c.advisor)) SELECT array_to_string(path, '>') AS path, length FROM w""")
+def lineage_paths(spark, sf):
+    """From the node with the largest number."""
+    e = lineage.clean_edges(V.advisor_edges(spark, sf))
+    last = e.agg(F.max("student")).first()[0]
+    return lineage.paths(e, last, True, 12).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "length")
 
 
 @query("cycle_pairs", f"WITH RECURSIVE {V.EDGES_SQL}, e AS (SELECT DISTINCT * FROM edges), w AS (SELECT student AS root, advisor AS node, 1 AS depth FROM e UNION ALL SELECT w.root, e.advisor, w.depth + 1 FROM w JOIN e ON w.node = e.student WHERE w.depth < 3 AND w.node <> w.root) SELECT root AS node, CAST(min(depth) AS INTEGER) AS length FROM w WHERE root = node GROUP BY 1")
@@ -148,51 +162,21 @@ def gini_degrees(spark, sf):
     return lineage.gini(d.select((F.col("n_out") + F.col("n_in")).alias("d")), "d")
 
 
-def _checkpoints(spark):
-    """The checkpoint folder is the session's; one is set only where there is none."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="velarium-"))
-
-
-@query("components", "WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS p, 1000000 + (l_suppkey * 7 + l_partkey % 400 // 20) % 97 AS s FROM lineitem WHERE l_linenumber = 1), b AS (SELECT p AS x, s AS y FROM e UNION SELECT s, p FROM e), w AS (SELECT x AS node, x AS l FROM b UNION SELECT b.y, w.l FROM w JOIN b ON w.node = b.x) SELECT node, min(l) AS component FROM w GROUP BY 1")
+@query("components")
 def components(spark, sf):
-    _checkpoints(spark)
-    e = V.read(spark, sf, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 400).alias("p"), (1000000 + (F.col("l_suppkey") * 7 + F.floor(F.col("l_partkey") % 400 / 20)) % 97).cast("bigint").alias("s")).distinct()
-    return lineage.components(e, "p", "s")
-
-
-@query("components_whole")
-def components_whole(spark, sf):
     """Over every part and supplier of lineitem; suppliers get negative numbers."""
-    _checkpoints(spark)
     e = V.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("p"), (-1 - F.col("l_suppkey")).alias("s")).distinct()
     return lineage.components(e, "p", "s")
 
 
 @query("acyclic_rest", f"WITH RECURSIVE {V.EDGES_SQL}, e AS (SELECT DISTINCT * FROM edges), w AS (SELECT student AS root, advisor AS node FROM e UNION SELECT w.root, e.advisor FROM w JOIN e ON w.node = e.student), c AS (SELECT DISTINCT root FROM w WHERE root = node), k AS (SELECT DISTINCT w.root FROM w JOIN c ON w.node = c.root UNION SELECT root FROM c) SELECT student, advisor FROM e WHERE advisor IN (SELECT root FROM k)")
 def acyclic_rest(spark, sf):
-    _checkpoints(spark)
     return lineage.peel(V.advisor_edges(spark, sf))
 
 
-@query("lineage_frontier", f"WITH RECURSIVE {CLEAN}, w AS (SELECT student AS root, advisor AS node, 1 AS depth FROM clean WHERE student % 50 = 0 UNION ALL SELECT w.root, c.advisor, w.depth + 1 FROM w JOIN clean c ON w.node = c.student WHERE w.depth < 12) SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM w WHERE root <> node GROUP BY 1, 2")
+@query("lineage_frontier", _walk_sql("student", "advisor", 12))
 def lineage_frontier(spark, sf):
-    _checkpoints(spark)
-    e = lineage.clean_edges(V.advisor_edges(spark, sf))
-    roots = V.read(spark, sf, "part").where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("node"))
-    return lineage.frontier(e, roots, True, 12)
-
-
-@query("lineage_frontier_whole")
-def lineage_frontier_whole(spark, sf):
-    """From every node that has an advisor."""
-    _checkpoints(spark)
-    e = lineage.clean_edges(V.advisor_edges(spark, sf))
-    return lineage.frontier(e, e.select(F.col("student").alias("node")).distinct(), True, 12)
+    return _lineage(spark, sf, True, 12)
 
 
 @query("betweenness")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -23,3 +25,12 @@ def session(app: str = "velarium", master: str | None = None, **settings: str) -
     for k, v in {**SETTINGS, **{k.replace("_", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """The checkpoint folder is the session's; one is set only where there is none, and only for a
+    local master."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="velarium-"))

@@ -28,6 +28,9 @@ CLEAN: dict[str, Rule] = {
     "arabic_prefix": _sub(r"^(Ibn|Abu|Um|Umm) ", ""),
     "sharp_s": _sub("ẞ", "SS"),
     "azerbaijani_schwa": _sub("[əƏ]", "a"),
+    "baltic_titles": _sub(r"(?i)(^|[ ,]+)(prof|dr|habil|doc|mgr|ing)\.(?=[ ,]|$)", ""),
+    "tight_marks": lambda c: squeeze(F.regexp_replace(F.regexp_replace(c, r"\s*,\s*", ", "), r"\s*-\s*", "-")),
+    "devanagari_dot": _sub("[.]$", ""),
 }
 #: Rules that give a variant of a name; null where they do not apply.
 VARIANT: dict[str, Rule] = {
@@ -46,10 +49,17 @@ VARIANT: dict[str, Rule] = {
     "macron": lambda c: F.when(c.rlike("[āēīōūĀĒĪŌŪ]"), F.translate(c, "āēīōūĀĒĪŌŪ", "aeiouAEIOU")),
     "vietnamese_plain": lambda c: F.when(c.rlike("[đĐ]"), F.translate(c, "đĐ", "dD")),
     "maternal_middle": lambda c: F.when(given(c).rlike(r"^[^ ]+ [A-Z]\.$"), F.regexp_replace(c, r" [A-Z]\.$", "")),
+    "ascii": lambda c: F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, MARKED, BARE)),
+    "armenian_ending": lambda c: F.when(family(c).rlike("[yi]an$"), F.concat(F.regexp_replace(family(c), "[yi]an$", ""), F.when(family(c).endswith("yan"), "ian").otherwise("yan"), F.substr(c, F.length(family(c)) + 1))),
+    "order_swap": lambda c: F.when(c.rlike(r"^[^ ,]+ [^ ,]+$"), F.concat(F.split_part(c, F.lit(" "), F.lit(2)), F.lit(", "), F.split_part(c, F.lit(" "), F.lit(1)))),
+    "georgian_stem": lambda c: F.when(family(c).rlike("(shvili|dze)$"), F.regexp_replace(family(c), "(shvili|dze)$", "")),
+    "nordic_particle": lambda c: F.when(c.rlike("^(af|av|von|de la) "), F.regexp_replace(c, "^(af|av|von|de la) ", "")),
     "kazakh_latin": lambda c: F.when(c.rlike("[қғұүәі]"), F.translate(c, "қғұүәі", "qğūüäı")),
 }
+#: Letters with marks of the northern languages, and without.
+MARKED, BARE = "ąčęėįšųūžāēģīķļņōŗõäöüåøéáíóúýÅÄÖØÕÜĄČĘĖĮŠŲŪŽĀĒĢĪĶĻŅ", "aceeisuuzaegiklnoroaouaoeaiouyAAOOOUACEEISUUZAEGIKLN"
 #: Kind of a name by its form.
-KIND = (("patronymic", r"(son|sson|dóttir|dottir|sen)(,|$)"), ("mononym", r"^[^ ,]+$"), ("dual", r"^[^ ,]+ [^ ,]+, "))
+KIND = (("patronymic", r"(son|sson|dóttir|dottir|sen|shvili|dze|[yi]an)(,|$)"), ("mononym", r"^[^ ,]+$"), ("dual", r"^[^ ,]+ [^ ,]+, "))
 
 
 def sort_plain(c: Column) -> Column:
@@ -69,12 +79,44 @@ def sort_given_first(c: Column) -> Column:
     return F.lower(squeeze(F.concat(given(c), F.lit(" "), family(c))))
 
 
+def sort_shouted(c: Column) -> Column:
+    """Family and given name in capitals, signs left out."""
+    return F.upper(squeeze(F.regexp_replace(F.concat(family(c), F.lit(" "), given(c)), r"[^\p{L}\p{N}_\s]", "")))
+
+
+def sort_family(c: Column) -> Column:
+    """The family name (the last word where no comma tells) without common marks."""
+    own = F.when(F.contains(c, F.lit(", ")), family(c)).otherwise(F.element_at(F.split(c, " "), -1))
+    return F.translate(F.lower(own), MARKED, BARE)
+
+
+def sort_nordic(c: Column) -> Column:
+    """Patronymics by the given name, others by the surname without its particle; capitals."""
+    main = F.regexp_replace(family(c), "^(af|av|von|de la) ", "")
+    key = F.when(family(c).rlike("(son|dóttir|dottir)$"), F.concat(given(c), F.lit(" "), family(c))).otherwise(F.concat(main, F.lit(", "), given(c)))
+    return F.upper(squeeze(F.translate(key, MARKED, BARE)))
+
+
+def sort_as_is(c: Column) -> Column:
+    return c
+
+
+def sort_upper(c: Column) -> Column:
+    return F.upper(c)
+
+
+def sort_quarantine(c: Column) -> Column:
+    return F.concat(F.lit("QUARANTINE_"), c)
+
+
+#: Characters that a name may have, where a region sets a bound.
+MOST_CHARS = {"C6": 150, "E1": 150, "H1": 150, "R0": 150, "Z0": 100}
 LATIN, ANY = r"^[\p{IsLatin}\p{M}\s,.'’\-0-9]+$", r"^\P{C}+$"
 #: Region: script of its Latin column, cleaning rules, variant rules, order key.
 REGIONS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], Rule]] = {
     "A1": (LATIN, ("middle_initial",), (), sort_plain),
     "A2": (LATIN, ("german_particle", "iberian_honorific", "sharp_s"), ("iberian_first_surname",), sort_particle),
-    "A3": (LATIN, (), (), sort_plain),
+    "A3": (LATIN, ("tight_marks",), ("ascii", "nordic_particle"), sort_nordic),
     "A4": (LATIN, (), ("macron",), sort_plain),
     "A5": (LATIN, ("middle_initial",), ("iberian_first_surname",), sort_plain),
     "B1": (ANY, ("slavic_patronymic",), (), sort_plain),
@@ -85,17 +127,18 @@ REGIONS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], Rule]] = {
     "C3": (ANY, ("arabic_prefix",), ("arabic_article", "sun_letter", "ibn_patronymic"), sort_article),
     "C4": (ANY, ("arabic_prefix",), ("arabic_article", "ibn_patronymic"), sort_article),
     "C5": (ANY, ("arabic_prefix",), ("arabic_article",), sort_article),
-    "C6": (ANY, (), (), sort_plain),
-    "C7": (ANY, (), (), sort_plain),
-    "C8": (ANY, (), (), sort_plain),
-    "C9": (LATIN, ("azerbaijani_schwa",), ("turkic_oglu",), sort_plain),
-    "D1": (ANY, (), (), sort_plain),
+    "C6": (ANY, (), (), sort_as_is),
+    "C7": (ANY, (), ("armenian_ending", "order_swap"), sort_family),
+    "C8": (ANY, (), ("georgian_stem", "order_swap"), sort_family),
+    "C9": (LATIN, ("baltic_titles", "tight_marks"), ("ascii",), sort_family),
+    "C9-ALT": (LATIN, ("azerbaijani_schwa",), ("turkic_oglu",), sort_plain),
+    "D1": (ANY, ("devanagari_dot",), (), sort_shouted),
     "D2": (ANY, (), (), sort_given_first),
-    "D3": (ANY, (), (), sort_plain),
+    "D3": (ANY, ("devanagari_dot",), (), sort_shouted),
     "D4": (ANY, ("arabic_prefix",), ("ibn_patronymic",), sort_article),
-    "D5": (ANY, (), (), sort_plain),
-    "E1": (ANY, (), (), sort_plain),
-    "E2": (ANY, (), (), sort_plain),
+    "D5": (ANY, (), (), sort_shouted),
+    "E1": (ANY, (), ("order_swap",), sort_shouted),
+    "E2": (ANY, (), ("order_swap",), sort_shouted),
     "E3": (ANY, (), ("japanese_order",), sort_plain),
     "E4": (ANY, (), ("korean_hyphen",), sort_plain),
     "E5": (ANY, (), ("vietnamese_plain",), sort_plain),
@@ -106,9 +149,9 @@ REGIONS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...], Rule]] = {
     "F3": (ANY, (), (), sort_given_first),
     "F4": (LATIN, ("iberian_honorific",), ("iberian_first_surname",), sort_particle),
     "G1": (LATIN, ("iberian_honorific",), ("iberian_first_surname",), sort_particle),
-    "H1": (ANY, (), (), sort_plain),
-    "R0": (LATIN, (), (), sort_plain),
-    "Z0": (ANY, (), (), sort_plain),
+    "H1": (ANY, (), (), sort_as_is),
+    "R0": (LATIN, (), (), sort_upper),
+    "Z0": (ANY, (), (), sort_quarantine),
 }
 
 
@@ -132,7 +175,8 @@ def process(df: DataFrame, region: str = "region", name: str = "name") -> DataFr
     none = F.array().cast("array<string>")
     variants = dispatch(lambda r: F.array_distinct(F.array_compact(F.array(*(VARIANT[k](F.col("cleaned")) for k in REGIONS[r][2])))) if REGIONS[r][2] else None, none)
     key = dispatch(lambda r: REGIONS[r][3](F.col("cleaned")) if REGIONS[r][3] is not sort_plain else None, sort_plain(F.col("cleaned")))
-    valid = dispatch(lambda r: F.col("cleaned").rlike(REGIONS[r][0]) if REGIONS[r][0] != ANY else None, F.col("cleaned").rlike(ANY))
+    short = F.length("cleaned") <= F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in MOST_CHARS.items() for x in kv)), F.col("_region")), F.lit(1 << 30))
+    valid = dispatch(lambda r: F.col("cleaned").rlike(REGIONS[r][0]) if REGIONS[r][0] != ANY else None, F.col("cleaned").rlike(ANY)) & short
     kind = F.when(F.lit(False), F.lit(None).cast("string"))
     for k, p in KIND:
         kind = kind.when(F.col("cleaned").rlike(p), k)

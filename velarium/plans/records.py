@@ -11,8 +11,9 @@ from .registry import query
 NAMES = [
     ("A1", "Knuth, Donald E."), ("A2", "von Neumann, John"), ("A2", "García Márquez, Gabriel"), ("A3", "Jónsdóttir, Anna"), ("A4", "Māhina, Ōkusitino"),
     ("B1", "Chebyshev, Pafnuty Lvovich"), ("B2", "Erdős, Pál"), ("B3", "Chatzidakis, Nikolaos"), ("C1", "Yıldız, Ibrahim"), ("C1", "Hasanoğlu, Ali"),
-    ("C2", "Lotfi-zadeh, Ali"), ("C3", "Al-Rashid, Harun"), ("C3", "Abu Kamil, Shuja"), ("C4", "Ahmad bin Ali"), ("C9", "Məmmədov, Əli"), ("D2", "Ramanujan, Srinivasa"),
+    ("C2", "Lotfi-zadeh, Ali"), ("C3", "Al-Rashid, Harun"), ("C3", "Abu Kamil, Shuja"), ("C4", "Ahmad bin Ali"), ("C9-ALT", "Məmmədov, Əli"), ("D2", "Ramanujan, Srinivasa"),
     ("E3", "Takagi, Teiji"), ("E4", "Kim, Min-jun"), ("E5", "Đặng, Thái"), ("E7", "Cruz, Juan M."), ("G1", "Don López Pérez, Juan"), ("XX", "Euclid"),
+    ("A3", "af Klint, Åsa"), ("C6", "Levy, Dan"), ("C7", "Petrosyan, Ani"), ("C8", "Gelashvili, Nino"), ("C9", "Prof. Petrauskas , Jonas"), ("D1", "Sharma, Asha"), ("D3", "Bose, S."), ("D5", "Perera, Amal"), ("E1", "Wang Wei"), ("E2", "Chan, Ming"), ("H1", "Erasmus"), ("Z0", "x"),
 ]
 _N = "n(region, name) AS (VALUES " + ", ".join(f"('{r}', '{x}')" for r, x in NAMES) + ")"
 
@@ -20,10 +21,13 @@ _N = "n(region, name) AS (VALUES " + ", ".join(f"('{r}', '{x}')" for r, x in NAM
 @query(
     "region_rules",
     f"""WITH {_N}, c AS (SELECT region, name, CASE region WHEN 'A1' THEN regexp_replace(name, '^([^,]+, [^ ]+) [A-Z]\\.$', '\\1') WHEN 'A2' THEN regexp_replace(name, '^(von der|von dem|von|zu|vom|zum) ', '')
-      WHEN 'B1' THEN regexp_replace(name, ' [^ ,]+(ovich|evich|ovna|evna|ich)$', '') WHEN 'C3' THEN regexp_replace(name, '^(Ibn|Abu|Um|Umm) ', '') WHEN 'C9' THEN regexp_replace(name, '[əƏ]', 'a', 'g')
-      WHEN 'G1' THEN regexp_replace(name, '^(Don|Doña|Dr\\.|Prof\\.|D\\.) ', '') ELSE name END AS cleaned FROM n)
-    SELECT region, name, cleaned, CASE region WHEN 'C3' THEN lower(regexp_replace(cleaned, '^[Aa]l-', '')) WHEN 'D2' THEN lower(split_part(cleaned, ', ', 2) || ' ' || split_part(cleaned, ', ', 1)) ELSE lower(cleaned) END AS order_key,
-      CASE WHEN regexp_matches(cleaned, '(son|sson|dóttir|dottir|sen)(,|$)') THEN 'patronymic' WHEN regexp_matches(cleaned, '^[^ ,]+$') THEN 'mononym' WHEN regexp_matches(cleaned, '^[^ ,]+ [^ ,]+, ') THEN 'dual' ELSE 'plain' END AS kind FROM c""",
+      WHEN 'B1' THEN regexp_replace(name, ' [^ ,]+(ovich|evich|ovna|evna|ich)$', '') WHEN 'C3' THEN regexp_replace(name, '^(Ibn|Abu|Um|Umm) ', '') WHEN 'C9-ALT' THEN regexp_replace(name, '[əƏ]', 'a', 'g')
+      WHEN 'G1' THEN regexp_replace(name, '^(Don|Doña|Dr\\.|Prof\\.|D\\.) ', '') WHEN 'D1' THEN regexp_replace(name, '[.]$', '') WHEN 'D3' THEN regexp_replace(name, '[.]$', '') WHEN 'C9' THEN trim(regexp_replace(regexp_replace(name, '^Prof[.]', ''), ' , ', ', ')) ELSE name END AS cleaned FROM n),
+    k AS (SELECT *, split_part(cleaned, ', ', 1) AS f, split_part(cleaned, ', ', 2) AS g FROM c)
+    SELECT region, name, cleaned, CASE WHEN region = 'C3' THEN lower(regexp_replace(cleaned, '^[Aa]l-', '')) WHEN region = 'D2' THEN lower(g || ' ' || f) WHEN region IN ('C6', 'H1') THEN cleaned WHEN region = 'Z0' THEN 'QUARANTINE_' || cleaned WHEN region IN ('C7', 'C8', 'C9') THEN lower(f)
+      WHEN region IN ('D1', 'D3', 'D5', 'E1', 'E2') THEN trim(upper(f || ' ' || g)) WHEN region = 'XX' THEN upper(cleaned) WHEN region = 'A3' AND regexp_matches(f, '(son|dóttir|dottir)$') THEN upper(strip_accents(g || ' ' || f))
+      WHEN region = 'A3' THEN upper(strip_accents(regexp_replace(f, '^(af|av|von|de la) ', '') || ', ' || g)) ELSE lower(cleaned) END AS order_key,
+      CASE WHEN regexp_matches(cleaned, '(son|sson|dóttir|dottir|sen|shvili|dze|[yi]an)(,|$)') THEN 'patronymic' WHEN regexp_matches(cleaned, '^[^ ,]+$') THEN 'mononym' WHEN regexp_matches(cleaned, '^[^ ,]+ [^ ,]+, ') THEN 'dual' ELSE 'plain' END AS kind FROM k""",
 )
 def region_rules(spark, sf):
     return cleaning.process(spark.createDataFrame(NAMES, "region string, name string")).select("region", "name", "cleaned", "order_key", "kind")
@@ -34,12 +38,21 @@ def region_variants(spark, sf):
     return cleaning.process(spark.createDataFrame(NAMES, "region string, name string")).select("region", "name", "variants", "valid")
 
 
-@query("region_batch", f"WITH {V.ENTRIES_SQL} SELECT ord, trim(latin) AS cleaned, lower(latin) AS order_key, 'plain' AS kind FROM entries")
+_F, _G = "split_part(latin, ', ', 1)", "split_part(latin, ', ', 2)"
+#: The SQL of each order key on names of one word, a comma and one word.
+_KEY_SQL = {
+    "sort_plain": "lower(latin)", "sort_particle": "lower(latin)", "sort_article": "lower(latin)", "sort_given_first": f"lower({_G} || ' ' || {_F})", "sort_shouted": f"upper({_F} || ' ' || {_G})",
+    "sort_family": f"lower({_F})", "sort_nordic": f"upper({_F} || ', ' || {_G})", "sort_as_is": "latin", "sort_upper": "upper(latin)", "sort_quarantine": "'QUARANTINE_' || latin",
+}
+_CODES = list(cleaning.REGIONS)
+_KEYS = "CASE code " + " ".join(f"WHEN '{r}' THEN {_KEY_SQL[x[3].__name__]}" for r, x in cleaning.REGIONS.items()) + " END"
+
+
+@query("region_batch", f"WITH {V.ENTRIES_SQL}, c AS (SELECT ord, latin, [{', '.join(repr(r) for r in _CODES)}][CAST(ord % {len(_CODES)} + 1 AS INTEGER)] AS code FROM entries) SELECT ord, code, latin AS cleaned, {_KEYS} AS order_key, 'plain' AS kind, true AS valid FROM c")
 def region_batch(spark, sf):
-    codes = list(cleaning.REGIONS)
-    plain = [r for r in codes if cleaning.REGIONS[r][3] is cleaning.sort_plain and not cleaning.REGIONS[r][1]]
-    e = V.entries(spark, sf).withColumn("code", F.element_at(F.array(*map(F.lit, plain)), (F.col("ord") % len(plain) + 1).cast("int")))
-    return cleaning.process(e, "code", "latin").select("ord", "cleaned", "order_key", "kind")
+    """Every region's rules over the whole table."""
+    e = V.entries(spark, sf).withColumn("code", F.element_at(F.array(*map(F.lit, _CODES)), (F.col("ord") % len(_CODES) + 1).cast("int")))
+    return cleaning.process(e, "code", "latin").select("ord", "code", "cleaned", "order_key", "kind", "valid")
 
 
 TIERS = list(records.LICENCE)

@@ -565,6 +565,44 @@ def test_pieces_round_trip(odd, none):
     assert packing.pack_documents(none, **args).count() == 0
 
 
+@needs
+def test_small_partitions_are_packed_together(spark):
+    """The sequences are as full from many small partitions as from one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def fill(df):
+        total, sequences = df.selectExpr("sum(length)", "count(distinct sequence_id)").first()
+        return total / 1024 / sequences
+
+    args = packing.public_byte_bpe()
+    many = fill(packing.pack_documents(docs.repartition(40), **args))
+    assert fill(packing.pack_documents(docs, **args)) > 0.95
+    assert many > 0.95
+
+
+def test_dot_product_is_the_heuristic():
+    """Against a plain loop that fills one bin after another."""
+    rng = np.random.default_rng(17)
+    sizes = np.stack([rng.integers(1, 60, 80), np.ones(80, int), rng.integers(0, 40, 80)], axis=1)
+    cap = np.array([100, 4, 70])
+    demand = sizes.sum(axis=0) / cap / len(sizes)
+    left, want, b = list(range(80)), {}, 0
+    while left:
+        room = np.ones(3)
+        while True:
+            fits = [i for i in left if (sizes[i] / cap <= room + 1e-12).all()]
+            if not fits:
+                break
+            best = max(fits, key=lambda i: (round(float((sizes[i] / cap * demand) @ room), 12), *(-x for x in sizes[i]), -i))
+            want[best] = b
+            room = room - sizes[best] / cap
+            left.remove(best)
+        b += 1
+    where, _ = packing.dot_product_pack(sizes, cap)
+    used = lambda w: sorted(tuple(sorted(map(tuple, sizes[[i for i in range(80) if w[i] == k]].tolist()))) for k in set(w))
+    assert used([want[i] for i in range(80)]) == used(where.tolist())
+
+
 def test_dot_product_keeps_all_limits():
     rng = np.random.default_rng(13)
     tokens = rng.integers(1, 800, 500)

@@ -165,3 +165,37 @@ def test_lineage_frontier_equals_brute_force(spark, tmp_path):
     got = {(r["root"], r["node"], r["depth"]) for r in QUERIES["lineage_frontier"](spark, str(tmp_path)).collect()}
     assert got == want
     assert {r for r, _, _ in got if r % 50}
+
+
+def test_token_bucket_denies_and_cools_down(spark):
+    from datetime import datetime, timedelta
+
+    from velarium.operators import batches
+
+    start = datetime(2024, 1, 1)
+    times = [0, 1, 2, 5, 40, 41, 200, 3000]
+    df = spark.createDataFrame([(7, i, start + timedelta(seconds=t)) for i, t in enumerate(times)], "client bigint, event_id bigint, ts timestamp")
+    got = {r["event_id"]: r["reason"] for r in batches.token_bucket(df, "client", 2, 100, 4, 30).collect()}
+    # two tokens; the third request is denied and cools down for 30 s; one token is back after 30 s
+    assert got == {0: None, 1: None, 2: "burst", 3: "cooldown", 4: None, 5: "burst", 6: None, 7: "hour"}
+
+
+def test_chunked_windows_equal_whole_ones(spark):
+    from velarium.operators import metrics
+
+    rows = [("m" if i % 3 else "k", i // 2 * 3600, i, float((i * 37) % 11)) for i in range(400)]
+    df = spark.createDataFrame(rows, "metric string, s bigint, event_id bigint, value double").selectExpr("metric", "timestamp_seconds(s) AS ts", "event_id", "value")
+    for f in (lambda c: metrics.features(df, 10, c), lambda c: metrics.anomalies(df, 20, 5, 1.2, c).select("metric", "event_id", "z")):
+        assert sorted(map(tuple, f(25).collect()), key=repr) == sorted(map(tuple, f(10**6).collect()), key=repr)
+
+
+def test_running_sums_equal_plain_ones(spark):
+    from velarium.operators import snapshots
+
+    rows = [(i, (i * 7919) % 5000, i % 13) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, t int, n int")
+    want, total = {}, 0
+    for i, _, n in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = total
+        total += n
+    assert {r["id"]: r["_before"] for r in snapshots.running(df, "t", ["id"], "n", 100).collect()} == want

@@ -12,9 +12,13 @@ from pyspark.sql.types import StringType
 #: Surname particles moved behind the given name in look-up keys.
 PARTICLES = ("von", "van", "de", "der", "den", "di", "da", "del", "della", "la", "le", "du", "dos", "das", "el", "al", "bin", "ibn", "zu")
 #: Ligatures and letters folded to plain ones.
-FOLDS = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ß": "ss", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ĳ": "ij", "Ĳ": "IJ"}
-#: Zero-width, direction and other invisible characters.
-INVISIBLE = "".join(map(chr, [0x00AD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF]))
+FOLDS = {"æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "Oe", "ß": "ss", "ẞ": "SS", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ"}
+#: The folds of a region's own cleaning, which write one in capitals and know one more.
+REGIONAL_FOLDS = {**FOLDS, "Œ": "OE", "ﬅ": "st"}
+#: Quotes, dashes and spaces that are written plainly.
+PLAIN = {"'": "‘’‚", '"': "“”„", "-": "–—‐‑", " ": "\u00a0\u2002\u2003\u2009\u202f\u3000"}
+#: Control, zero-width and direction characters that names must not hold.
+INVISIBLE = "".join(map(chr, [*range(0x00, 0x10), 0x1F, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2066, 0x206A), 0xFEFF]))
 #: Title suffixes of a generation.
 GENERATIONS = r"(?i)(^|[\s,])(jr|sr|ii|iii|iv|v)\.?$"
 
@@ -55,6 +59,20 @@ def clean(c: Column) -> Column:
     return normalized("NFC")(fold_letters(normalized("NFKD")(normalized("NFC")(strip_invisible(c)))))
 
 
+def fold_exceptions(c: Column) -> Column:
+    """Ligatures spelled out; quotes, dashes and spaces in their plain forms."""
+    out = F.translate(c, "".join(PLAIN.values()), "".join(k * len(v) for k, v in PLAIN.items()))
+    for k, v in REGIONAL_FOLDS.items():
+        out = F.replace(out, F.lit(k), F.lit(v))
+    return out
+
+
+@F.pandas_udf(StringType())
+def latinise(s: pd.Series) -> pd.Series:
+    """NFKD without combining characters."""
+    return s.map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)), na_action="ignore")
+
+
 def variants(c: Column) -> Column:
     """The text and one variant for each ligature it holds, distinct, in order."""
     each = [F.when(F.contains(c, F.lit(k)), F.replace(c, F.lit(k), F.lit(v))) for k, v in FOLDS.items()]

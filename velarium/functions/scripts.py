@@ -76,3 +76,54 @@ def latin_of_hangul(s: pd.Series) -> pd.Series:
         return lead[n // 588] + vowel[n % 588 // 28] + tail[n % 28] if 0 <= n < 11172 else c
 
     return s.map(lambda x: "".join(map(one, x)), na_action="ignore")
+
+
+#: Letters of the Ethiopic syllabary in the order of its block, eight syllables each; empty where
+#: the block has other signs.
+ETHIOPIC = "h l h m s r s sh q q q  b v t ch h n ny ' k k kh  w ' z zh y d d j g gg  t ch p ts ts f p".split(" ")
+ETHIOPIC_VOWELS = ["e", "u", "i", "a", "ie", "", "o", "wa"]
+
+
+def latin_of_ethiopic(c: Column) -> Column:
+    """Syllables by their place in the block: the letter by eights, the vowel within; other
+    characters stay."""
+    letters = F.array(*map(F.lit, ETHIOPIC))
+    vowels = F.array(*map(F.lit, ETHIOPIC_VOWELS))
+
+    def one(ch: Column) -> Column:
+        at = F.ascii(ch) - 0x1200
+        inside = (at >= 0) & (at < 8 * len(ETHIOPIC))
+        return F.when(inside, F.concat(F.get(letters, F.floor(at / 8).cast("int")), F.get(vowels, (at % 8).cast("int")))).otherwise(ch)
+
+    return F.array_join(F.transform(F.split(c, ""), one), "")
+
+
+#: Common characters of names and how they are read, from general knowledge.
+HAN = {
+    "zh": dict(zip("王李张刘陈杨黄赵吴周徐孙马朱胡林郭何高罗明华伟强文武", "Wang Li Zhang Liu Chen Yang Huang Zhao Wu Zhou Xu Sun Ma Zhu Hu Lin Guo He Gao Luo Ming Hua Wei Qiang Wen Wu".split())),
+    "ja": dict(zip("佐鈴高田中渡伊山本村木小藤井", "Sa Suzu Taka Ta Naka Wata I Yama Moto Mura Ki Ko Fuji I".split())),
+    "ko": dict(zip("김이박최정강조윤장임민준서연", "Kim Lee Park Choi Jung Kang Cho Yoon Jang Lim Min Jun Seo Yeon".split())),
+}
+
+
+def romanised(c: Column, script: str) -> Column:
+    """Known characters read one by one, joined by spaces; others stay."""
+    m = F.create_map(*(F.lit(x) for kv in HAN[script].items() for x in kv))
+    return F.trim(F.array_join(F.transform(F.split(c, ""), lambda ch: F.coalesce(F.try_element_at(m, ch), ch)), " "))
+
+
+def back_converted(c: Column, script: str) -> Column:
+    """The first character that is read so, for each word; others stay."""
+    back: dict[str, str] = {}
+    for ch, x in HAN[script].items():
+        back.setdefault(x, ch)
+    m = F.create_map(*(F.lit(x) for kv in back.items() for x in kv))
+    return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(m, w), w)), "")
+
+
+def second_share(c: Column) -> Column:
+    """Share of the second most frequent script among the letters; a name is mixed from a tenth
+    on."""
+    counts = F.array_sort(F.map_values(shares(c)))
+    total = F.aggregate(counts, F.lit(0), lambda a, x: a + x)
+    return F.round(F.coalesce(F.try_element_at(counts, F.lit(-2)), F.lit(0)) / F.greatest(total, F.lit(1)), 6)

@@ -3,6 +3,7 @@ kept apart in `_corrupt_record`."""
 
 from __future__ import annotations
 
+import html
 import json
 
 import pandas as pd
@@ -34,7 +35,52 @@ def read_json(spark: SparkSession, path: str, lines: bool = True, schema: T.Stru
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    """Rows that do not fit the schema stay, with their text in `_corrupt_record`."""
+    s = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    if "_corrupt_record" not in s.fieldNames():
+        s = T.StructType([*s.fields, T.StructField("_corrupt_record", T.StringType())])
+    return spark.read.schema(s).option("header", True).option("mode", "PERMISSIVE").csv(path)
+
+
+def read_chunks(spark: SparkSession, path: str, keys: list[str], schema: T.StructType = ENTRY) -> DataFrame:
+    """Chunk files of one batch, plain or compressed, as one ordered frame."""
+    return read_json(spark, path, schema=schema).orderBy(*keys)
+
+
+def read_signals(spark: SparkSession, path: str) -> DataFrame:
+    """Lexical signals, one JSON object a line; those without a value or a region are left out."""
+    s = "region string, field string, kind string, value string, weight double, regex boolean"
+    d = spark.read.schema(s).json(path).where("coalesce(value, '') <> '' AND coalesce(region, '') <> ''")
+    return d.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("kind", F.when(F.col("regex"), F.lit("regex")).otherwise(F.col("kind")))
+
+
+def oai_pages(df: DataFrame, xml: str) -> DataFrame:
+    """One row for each record of harvested list pages, with the page's resumption token: null on
+    the last page, as an empty token ends a list."""
+    token = F.nullif(F.trim(F.regexp_extract(xml, "(?s)<resumptionToken[^>]*>(.*?)</resumptionToken>", 1)), F.lit(""))
+    records = F.regexp_extract_all(xml, F.lit("(?s)<record>(.*?)</record>"), F.lit(1))
+    r = df.select("*", token.alias("token"), F.posexplode(records).alias("pos", "record"))
+    key = F.regexp_extract("record", "(?s)<identifier>(.*?)</identifier>", 1)
+    return r.withColumn("oai_id", F.trim(key)).withColumn("deleted", F.contains("record", F.lit('status="deleted"')))
+
+
+def sparql_rows(df: DataFrame, body: str, variables: list[str]) -> DataFrame:
+    """One row for each binding of a landed query result in JSON, a column for each variable."""
+    kind = "results struct<bindings: array<map<string, struct<type: string, value: string>>>>"
+    b = df.select("*", F.explode(F.from_json(body, kind)["results"]["bindings"]).alias("_b"))
+
+    def plain(name: str):
+        v = F.try_element_at(F.col("_b"), F.lit(name))["value"]
+        return F.when(v.startswith("http://www.wikidata.org/entity/"), F.element_at(F.split(v, "/"), -1)).otherwise(v)
+
+    return b.select(*df.columns, *(plain(v).alias(v) for v in variables))
+
+
+def rest_items(df: DataFrame, body: str, items: str, fields: dict[str, str]) -> DataFrame:
+    """One row for each item of a landed JSON page: `items` names the array, `fields` gives each
+    column's path inside an item."""
+    each = df.select("*", F.posexplode(F.from_json(F.get_json_object(body, f"$.{items}"), "array<string>")).alias("pos", "_item"))
+    return each.select(*df.columns, "pos", *(F.get_json_object("_item", f"$.{p}").alias(c) for c, p in fields.items()))
 
 
 def read_yaml(spark: SparkSession, path: str, schema: str = "GlobalID string, CanonicalLatin string, BirthYear int") -> DataFrame:
@@ -94,6 +140,30 @@ def write_json(df: DataFrame, path: str, keys: list[str]) -> None:
     df.select(*sorted(df.columns)).repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("compression", "gzip").mode("overwrite").json(path)
 
 
+def write_graph(nodes: DataFrame, edges: DataFrame, root: str) -> None:
+    """Nodes and edges as two tables, the edges by confidence class."""
+    nodes.dropDuplicates(["gid"]).write.mode("overwrite").parquet(f"{root}/nodes")
+    low = F.when(F.col("confidence") < 0.8, "low").otherwise("high")
+    edges.withColumn("class", low).write.mode("overwrite").partitionBy("class").parquet(f"{root}/edges")
+
+
+def difference_page(rows: DataFrame, path: str, key: str = "gid", most: int = 5000) -> int:
+    """An HTML table of old and new values, `most` rows in order of key with a note of what is left
+    out; the number of rows shown. The limit is the page's feature: the table itself is a frame."""
+    shown = rows.orderBy(key).limit(most + 1).collect()
+    more, shown = len(shown) > most, shown[:most]
+
+    def line(r) -> str:
+        kind = "same" if r["old"] == r["new"] else "diff"
+        return f'<tr class="{kind}">' + "".join(f"<td>{html.escape('' if x is None else str(x))}</td>" for x in r) + "</tr>"
+
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in rows.columns)
+    note = f"<p>Only the first {most} rows are shown.</p>" if more else ""
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"<!doctype html><meta charset=utf-8><table><tr>{head}</tr>{''.join(map(line, shown))}</table>{note}")
+    return len(shown)
+
+
 def write_edges(df: DataFrame, path: str) -> None:
     df.select(F.col("student").alias("from"), F.col("advisor").alias("to")).write.option("header", True).mode("overwrite").csv(path)
 

@@ -75,10 +75,10 @@ def test_chain_breaks_when_a_row_changes(spark):
 
 
 def test_nearest_prefers_the_closest(spark):
-    left = spark.createDataFrame([(1, "anna smith")], "ord int, name string")
-    right = spark.createDataFrame([(5, "anne smith"), (6, "anna smyth"), (7, "bob")], "ord int, name string")
-    got = matching.nearest(left, right, F.lit("x"), "name", 0.8).collect()
-    assert [(r["a"], r["b"]) for r in got] == [(1, 5)]
+    left = spark.createDataFrame([(1, "anna smith", None)], "ord int, name string, birth int")
+    right = spark.createDataFrame([(5, "anne smith", None), (6, "anna smyth", None), (7, "bob", None)], "ord int, name string, birth int")
+    got = matching.nearest(left, right, "name", "birth", 0.8).collect()
+    assert [(r["ord"], r["found"]) for r in got] == [(1, 5)]
 
 
 def test_empty_inputs(spark):
@@ -199,3 +199,59 @@ def test_running_sums_equal_plain_ones(spark):
         want[i] = total
         total += n
     assert {r["id"]: r["_before"] for r in snapshots.running(df, "t", ["id"], "n", 100).collect()} == want
+
+
+def test_nearest_and_similar_equal_brute_force(spark):
+    import difflib
+    import random
+    import unicodedata
+
+    from velarium.functions import similarity
+    from velarium.operators import matching
+
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdeiou") for _ in range(rng.randint(4, 14))) for _ in range(25)]
+
+    def spoil(x):
+        x = list(x)
+        for _ in range(rng.randint(0, 2)):
+            x[rng.randrange(len(x))] = rng.choice(["é", "z", "", "Q", "aa"])
+        return "".join(x) or "x"
+
+    known = [(i, spoil(rng.choice(base)), rng.choice([None, 1900, 1901, 1950])) for i in range(80)]
+    asked = [(i, spoil(rng.choice(base)), rng.choice([None, 1900, 1902])) for i in range(80)]
+
+    def plain(x):
+        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
+
+    want = {}
+    for i, n, y in asked:
+        same = [k for k, m, z in known if m.lower() == n.lower() and (y is None or z == y)]
+        if same:
+            want[i] = (min(same), 1.0)
+            continue
+        best = (0.0, 0, None)
+        for k, m, z in known:
+            score = difflib.SequenceMatcher(None, plain(m), plain(n)).ratio()
+            if score >= 0.85:
+                gap = 0 if y is None or z is None else abs(y - z)
+                best = max(best, (score * (1.0 if gap == 0 else 0.9 if gap <= 2 else 0.6), -k, k))
+        if best[0] >= 0.85:
+            want[i] = (best[2], round(best[0], 9))
+    schema = "ord int, native string, birth int"
+    got = {r["ord"]: (r["found"], r["score"]) for r in matching.nearest(spark.createDataFrame(asked, schema), spark.createDataFrame(known, schema), "native", "birth").collect()}
+    assert got == want
+
+    distinct = sorted({n for _, n, _ in known})
+    s = {}
+    for a in distinct:
+        for b in distinct:
+            if a < b:
+                edit = spark._jvm.org.apache.spark.unsafe.types.UTF8String.fromString(a).levenshteinDistance(spark._jvm.org.apache.spark.unsafe.types.UTF8String.fromString(b))
+                s[a, b] = round(0.4 * difflib.SequenceMatcher(None, a, b).ratio() + 0.4 * similarity._jaro_winkler(a, b) + 0.2 * (1 - edit / max(len(a), len(b))), 9)
+    rank = {}
+    for a in distinct:
+        near = sorted(((-s[min(a, b), max(a, b)], b) for b in distinct if b != a and s[min(a, b), max(a, b)] >= 0.7))[:10]
+        rank |= {(a, b): k + 1 for k, (_, b) in enumerate(near)}
+    got = {(r["name"], r["other"]): r["rank"] for r in matching.similar(spark.createDataFrame(known, schema), "native").collect()}
+    assert got == rank

@@ -27,8 +27,9 @@ and in any number at worst, so no radius holds them all; what fingerprints miss
 a prefix filter, which misses no pair: shingles stand in order of the number of sets that hold
 them, counted over the whole corpus by groups of shingles, and two similar sets must share one
 among their rarest fifth. Shingles of one set only need not be sent at all. Candidates already in
-one component make no pair; all others are verified on the whole sets. Texts without words are
-copies of each other.
+one component make no pair, nor do those whose parity bitmaps differ in more bits than similar
+sets can differ in tokens (each token flips one bit of its set's bitmap); all others are verified
+on the whole sets. Texts without words are copies of each other.
 """
 
 from __future__ import annotations
@@ -55,6 +56,8 @@ STAGE_WORDS = 5
 SIMILAR = (4, 5)
 #: Bytes of text in a block, and groups of shingles at most; a block sends each one row.
 BLOCK_BYTES, MAX_GROUPS = 8 << 20, 4096
+#: Words of 64 bits of a set's parity bitmap.
+BITMAP = 8
 #: Turns in which crowded lists try one pair a set before all pairs are tried.
 ROUNDS = 4
 
@@ -209,6 +212,13 @@ class Shingles:
         total = np.bincount(self.of, minlength=self.n)[:, None]
         return np.packbits(votes * 2 > total, axis=1, bitorder="little").view(U).ravel()
 
+    def bitmaps(self) -> np.ndarray:
+        """Parity bitmap of each text's set: its bits that differ from another's are no more than
+        the tokens that only one of the two sets holds."""
+        bit = ((self.tokens >> U(7)) % U(64 * BITMAP)).astype(np.int64)[self.which]
+        odd = np.bincount(self.text * (64 * BITMAP) + bit, minlength=self.n * 64 * BITMAP) & 1
+        return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(self.n, BITMAP)
+
     def prefixes(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place, token) of the rarest of each text's tokens, so many that two sets as
         similar as SIMILAR share one; those of rarity 0, which one set holds, are left out."""
@@ -226,8 +236,8 @@ def token_group(tokens: np.ndarray, groups: int) -> np.ndarray:
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """Blocks of the texts, and for each text (id, at, node, size, fp, places, tokens): where it
-    stands, its set's hash and size, its fingerprint, and its prefix. How many sets hold a token
+    """Blocks of the texts, and for each text (id, at, node, size, fp, bits, places, tokens): where
+    it stands, its set's hash and size, its fingerprint and bitmap, and its prefix. How many sets hold a token
     is counted by groups, to which blocks send the low half of each distinct token once; tokens
     that share it in a group count together, which changes the order for all alike."""
     kind = T.StructField("id", docs.select(F.col(id_col).alias("id")).schema[0].dataType)
@@ -283,11 +293,11 @@ def marks(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes: int
         tidy()
         return pa.table({
             "id": t.column("id"), "at": pa.array(at, pa.int64()), "node": pa.array(sh.nodes().view(np.int64)), "size": pa.array(sh.sizes, pa.int64()), "fp": pa.array(sh.fingerprints().view(np.int64)),
-            "places": pa.ListArray.from_arrays(cuts, pa.array(place, pa.int64())), "tokens": pa.ListArray.from_arrays(cuts, pa.array(token.view(np.int64))),
+            "bits": pa.FixedSizeListArray.from_arrays(pa.array(sh.bitmaps().ravel()), BITMAP).cast(pa.list_(pa.int64())), "places": pa.ListArray.from_arrays(cuts, pa.array(place, pa.int64())), "tokens": pa.ListArray.from_arrays(cuts, pa.array(token.view(np.int64))),
         })
 
     long = T.LongType()
-    schema = T.StructType([kind, *(T.StructField(c, long) for c in ("at", "node", "size", "fp")), *(T.StructField(c, T.ArrayType(long)) for c in ("places", "tokens"))])
+    schema = T.StructType([kind, *(T.StructField(c, long) for c in ("at", "node", "size", "fp")), *(T.StructField(c, T.ArrayType(long)) for c in ("bits", "places", "tokens"))])
     return blocks, blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, schema)
 
 
@@ -342,7 +352,7 @@ def similar_links(marked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     yet share a prefix token, may reach the overlap by their sizes and places, and are verified.
     Where more than BUCKET components share a token, each set is tried first with one other of
     a list that it shares; what remains in one component then makes no more pairs."""
-    nodes = written(marked.groupBy("node").agg(F.min_by(F.struct("at", "size", "fp", "places", "tokens"), "at").alias("m")).select("node", "m.*"))
+    nodes = written(marked.groupBy("node").agg(F.min_by(F.struct("at", "size", "fp", "bits", "places", "tokens"), "at").alias("m")).select("node", "m.*"))
     post = nodes.select("node", "size", F.inline(F.arrays_zip(F.col("places").alias("pos"), F.col("tokens").alias("token"))))
     lists = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     live = written(post.join(lists, "token"))
@@ -352,22 +362,28 @@ def similar_links(marked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     # from the first common token on: the overlap must reach SIMILAR / (1 + SIMILAR) of both sizes
     may = f"least(sa - pa, sb - pb) * {sum(SIMILAR)} >= {SIMILAR[0]} * (sa + sb)"
 
-    def side(df: DataFrame, x: str) -> DataFrame:
-        return df.select("token", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}"))
+    differ = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(BITMAP))
+    close = f"({differ}) * {sum(SIMILAR)} <= {SIMILAR[1] - SIMILAR[0]} * (sa + sb)"
+
+    def side(df: DataFrame, x: str, *more) -> DataFrame:
+        return df.select("token", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}"), *(F.col(m).alias(f"x{x}") for m in more))
 
     def pairs(df: DataFrame) -> DataFrame:
-        return side(df, "a").join(side(df, "b"), "token").where(f"a < b AND ca <> cb AND {may}").select("a", "b").distinct()
+        d = written(df.join(nodes.select("node", "bits"), "node"))
+        return side(d, "a", "bits").join(side(d, "b", "bits"), "token").where(f"a < b AND ca <> cb AND {may} AND {close}").select("a", "b").distinct()
 
-    links = written(verified(stars, sets))
+    links, settled = written(verified(stars, sets)), False
     for turn in range(ROUNDS + 1):
         cur = written(live.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")))
         mixed = written(cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1"))
-        if turn == ROUNDS or mixed.where(F.col("n") > BUCKET).isEmpty():
+        if settled or turn == ROUNDS or mixed.where(F.col("n") > BUCKET).isEmpty():
             return links.unionByName(verified(pairs(cur.join(mixed.select("token"), "token", "left_semi")), sets))
         tried = side(cur, "a").join(side(mixed.select("token", "p.*"), "b"), "token").where(f"ca <> cb AND {may}")
         some = tried.groupBy("a").agg(F.min_by("b", F.xxhash64("token", F.lit(turn))).alias("b"))
-        before, links = links, written(links.unionByName(verified(some, sets)))
-        for old in (before, cur, mixed):
+        new = written(verified(some, sets))
+        settled = new.isEmpty()  # tries that link nothing any more end the turns
+        before, links = links, written(links.unionByName(new))
+        for old in (before, cur, mixed, new):
             discard(old)
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import similarity as S
 
 
@@ -50,13 +51,66 @@ def cascade(queries: DataFrame, levels: list[tuple[str, str, DataFrame]], key: s
     return queries.select(key).join(best, key, "left").select(key, "m.gid", "m.level")
 
 
-def nearest(left: DataFrame, right: DataFrame, block: Column, name: str, least: float, key: str = "ord") -> DataFrame:
-    """For each left row the right row of its block with the highest sequence ratio, if that is
-    at least `least`; ties go to the smaller key."""
-    a = left.select(F.col(key).alias("a"), F.col(name).alias("na"), block.alias("_b"))
-    b = right.select(F.col(key).alias("b"), F.col(name).alias("nb"), block.alias("_b")).dropDuplicates(["nb", "_b"])
-    j = a.join(b, "_b").withColumn("ratio", S.sequence_ratio(F.col("na"), F.col("nb"))).where(F.col("ratio") >= least)
-    return j.groupBy("a").agg(F.max_by(F.struct("b", "nb", "ratio"), F.struct("ratio", -F.col("b"))).alias("m")).select("a", "m.b", "m.nb", "m.ratio")
+def grams(c: Column) -> Column:
+    """Bigrams of a text, each with its number among its equals, so that repeats count."""
+    n = F.length(c) - 1
+    plain = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(c, i, F.lit(2)))).otherwise(F.array(c))
+    return F.transform(plain, lambda g, i: F.concat(g, F.size(F.filter(F.slice(plain, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
+
+
+def close_names(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
+    """(l, r): all pairs of distinct texts of left.l and right.r whose sequence ratio may reach
+    `ratio`, and a few others. Texts of n and m letters with that ratio differ in (1 - ratio)(n + m)
+    insertions and deletions at most, and each costs two bigrams, so a text of n letters shares
+    (4 ratio - 3) n - 1 of its bigrams with any partner: one of the others and the rarest is enough
+    to list. Rarity is counted over the right side."""
+    keep = 4 * ratio - 3
+
+    def listed(df: DataFrame, c: str) -> DataFrame:
+        n = F.length(c)
+        must = F.greatest(F.lit(1), F.ceil(keep * n - 1))
+        g = df.select(c, F.explode(grams(F.col(c))).alias("g")).join(rare, "g", "left")
+        by = g.groupBy(c).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g"))).alias("gs"))  # a text's own bigrams
+        return by.select(c, F.explode(F.slice("gs", F.lit(1), F.greatest(F.lit(1), F.size("gs") - must + 1).cast("int"))).alias("x")).select(c, "x.g")
+
+    rare = right.select(F.explode(grams(F.col("r"))).alias("g")).groupBy("g").agg(F.count("*").alias("df"))
+    return listed(left, "l").join(listed(right, "r"), "g").select("l", "r").distinct()
+
+
+def nearest(left: DataFrame, right: DataFrame, name: str, year: str, least: float = 0.85, key: str = "ord") -> DataFrame:
+    """(key, found, score) for each left row: the right row of the same name in any case, if its
+    year agrees or the left one has none (score 1, smallest key); else the one with the highest
+    sequence ratio times 1, 0.9 or 0.6 for years equal, at most two apart, or farther (1 if either
+    is null), if that reaches `least`; ties go to the smaller key. Equal names and years are
+    compared once."""
+    plain = F.lower(names.squeeze(names.latinise(F.col(name))))
+    q = left.select(F.col(key).alias("key"), F.lower(name).alias("low"), plain.alias("l"), F.col(year).alias("y"))
+    k = right.groupBy(F.lower(name).alias("k_low"), plain.alias("r"), F.col(year).alias("k_y")).agg(F.min(key).alias("id"))
+    d = q.select("low", "l", "y").distinct()
+    exact = d.join(k, (F.col("low") == F.col("k_low")) & (F.col("y").isNull() | (F.col("y") == F.col("k_y")))).groupBy("low", "l", "y").agg(F.min("id").alias("exact"))
+    rest = d.join(exact.select(F.col("low").alias("_a"), F.col("y").alias("_y")), (F.col("low") == F.col("_a")) & F.col("y").eqNullSafe(F.col("_y")), "left_anti")
+    pairs = close_names(rest.select("l").distinct(), k.select("r").distinct(), least)
+    pairs = pairs.withColumn("ratio", S.sequence_ratio(F.col("r"), F.col("l"))).where(F.col("ratio") >= least)
+    gap = F.abs(F.col("y") - F.col("k_y"))
+    factor = F.when(gap.isNull() | (gap == 0), 1.0).when(gap <= 2, 0.9).otherwise(0.6)
+    scored = rest.join(pairs, "l").join(k, "r").withColumn("score", F.col("ratio") * factor).where(F.col("score") >= least)
+    fuzzy = scored.groupBy("low", "l", "y").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("id"))).alias("m"))
+    found = exact.select("low", "l", "y", F.col("exact").alias("found"), F.lit(1.0).alias("score")).unionByName(fuzzy.select("low", "l", "y", F.col("m.id").alias("found"), F.round("m.score", 9).alias("score")))
+    f = found.select(F.col("low").alias("_a"), F.col("l").alias("_l"), F.col("y").alias("_y"), "found", "score")
+    return q.join(f, (F.col("low") == F.col("_a")) & (F.col("l") == F.col("_l")) & F.col("y").eqNullSafe(F.col("_y"))).select(F.col("key").alias(key), "found", "score")
+
+
+def similar(df: DataFrame, name: str, least: float = 0.7, top: int = 10) -> DataFrame:
+    """(name, other, score, rank): of each distinct name the most similar others by the mixed
+    score, in both directions. Candidates share a bigram; of names without one, the sequence part
+    is near zero and the score cannot reach 0.7."""
+    d = df.select(F.col(name).alias("name")).distinct()
+    g = d.select("name", F.explode(F.array_distinct(F.transform(grams(F.lower("name")), lambda x: F.substr(x, F.lit(1), F.lit(2))))).alias("g"))
+    half = g.alias("a").join(g.alias("b"), "g").where("a.name < b.name").select(F.col("a.name").alias("x"), F.col("b.name").alias("y")).distinct()
+    s = half.withColumn("score", F.round(S.composite(F.col("x"), F.col("y")), 9)).where(F.col("score") >= least)
+    both = s.select(F.col("x").alias("name"), F.col("y").alias("other"), "score").unionAll(s.select("y", "x", "score"))
+    w = Window.partitionBy("name").orderBy(F.desc("score"), "other")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
 
 
 def duplicate_score(pairs: DataFrame) -> DataFrame:

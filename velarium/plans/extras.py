@@ -52,12 +52,13 @@ def coherence_buckets(spark, sf):
     return lineage.coherence(d.select(F.least(F.lit(1.0), (F.col("n_out") + F.col("n_in")) / 4).alias("score")))
 
 
-@query("name_year_join", f"WITH {V.ENTRIES_SQL}, a AS (SELECT ord, native, CASE WHEN ord % 4 = 0 THEN NULL ELSE birth END AS y FROM entries WHERE ord % 2 = 0), b AS (SELECT ord, native, CASE WHEN ord % 5 = 0 THEN NULL ELSE birth END AS y FROM entries WHERE ord % 2 = 1) SELECT a.ord AS ord_a, b.ord AS ord_b FROM a JOIN b ON a.native = b.native AND a.y IS NOT DISTINCT FROM b.y")
+@query("name_year_join", f"WITH {V.ENTRIES_SQL}, a AS (SELECT ord, native, CASE WHEN ord % 4 = 0 THEN NULL ELSE birth END AS y FROM entries), b AS (SELECT native, CASE WHEN ord % 5 = 0 THEN NULL ELSE birth END AS y, min(ord) AS first, count(*) AS n FROM entries GROUP BY 1, 2) SELECT a.ord, b.first, b.n FROM a JOIN b ON a.native = b.native AND a.y IS NOT DISTINCT FROM b.y")
 def name_year_join(spark, sf):
+    """Every entry against the index of names and years: one row of the index for each."""
     e, o = V.entries(spark, sf), F.col("ord")
-    a = e.where(o % 2 == 0).select(o.alias("ord_a"), F.col("native").alias("na"), F.when(o % 4 != 0, F.col("birth")).alias("ya"))
-    b = e.where(o % 2 == 1).select(o.alias("ord_b"), F.col("native").alias("nb"), F.when(o % 5 != 0, F.col("birth")).alias("yb"))
-    return a.join(b, (F.col("na") == F.col("nb")) & F.col("ya").eqNullSafe(F.col("yb"))).select("ord_a", "ord_b")
+    a = e.select("ord", F.col("native").alias("na"), F.when(o % 4 != 0, F.col("birth")).alias("ya"))
+    b = e.groupBy(F.col("native").alias("nb"), F.when(o % 5 != 0, F.col("birth")).alias("yb")).agg(F.min("ord").alias("first"), F.count("*").alias("n"))
+    return a.join(b, (F.col("na") == F.col("nb")) & F.col("ya").eqNullSafe(F.col("yb"))).select("ord", "first", "n")
 
 
 _TAILS = ["", "<script>", "; drop table x", "Ж", "../etc"]

@@ -126,14 +126,16 @@ _PART = "|".join(names.PARTICLES)
 
 @query(
     "particle_fold",
-    f"""WITH n(name) AS (VALUES ('von neumann, john'), ('de la cruz, ana'), ('euler, leonhard'), ('van der waals, johannes d'), ('von, x'), ('al'), ('della porta, g b')),
-    l AS (SELECT name, regexp_extract(split_part(name, ', ', 1), '^((?:(?:{_PART}) )+)', 1) AS lead FROM n)
+    f"""WITH {V.ENTRIES_SQL}, n(name) AS (SELECT * FROM (VALUES ('von neumann, john'), ('de la cruz, ana'), ('euler, leonhard'), ('van der waals, johannes d'), ('von, x'), ('al'), ('della porta, g b'))
+      UNION SELECT lower(['', 'von ', 'de la ', 'al '][CAST(ord % 4 AS INTEGER) + 1] || latin) FROM entries), l AS (SELECT name, regexp_extract(split_part(name, ', ', 1), '^((?:(?:{_PART}) )+)', 1) AS lead FROM n)
     SELECT name, CASE WHEN length(lead) > 0 AND length(split_part(name, ', ', 1)) > length(lead)
       THEN substr(split_part(name, ', ', 1), length(lead) + 1) || ', ' || trim(split_part(name, ', ', 2) || ' ' || trim(lead)) ELSE name END AS folded FROM l""",
 )
 def particle_fold(spark, sf):
     rows = ["von neumann, john", "de la cruz, ana", "euler, leonhard", "van der waals, johannes d", "von, x", "al", "della porta, g b"]
-    return spark.createDataFrame([(x,) for x in rows], "name string").select("name", names.fold_particles(F.col("name")).alias("folded"))
+    lead = F.element_at(F.array(*map(F.lit, ("", "von ", "de la ", "al "))), (F.col("ord") % 4 + 1).cast("int"))
+    n = spark.createDataFrame([(x,) for x in rows], "name string").union(V.entries(spark, sf).select(F.lower(F.concat(lead, "latin")))).distinct()
+    return n.select("name", names.fold_particles(F.col("name")).alias("folded"))
 
 
 @query("whitespace_normalise", "SELECT doc_id, md5(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS digest FROM documents")
@@ -156,15 +158,17 @@ def fingerprint(spark, sf):
 
 @query(
     "initials_tags",
-    """WITH n(name) AS (VALUES ('A.B.'), ('Smith, J.'), ('King, Martin Jr.'), ('Euler, Leonhard'), ('Bach, J. S.'), ('Louis, XIV'), ('Ford, Henry II'))
-    SELECT name, array_to_string(list_filter([
+    f"""WITH {V.ENTRIES_SQL}, n(name) AS (SELECT * FROM (VALUES ('A.B.'), ('Smith, J.'), ('King, Martin Jr.'), ('Euler, Leonhard'), ('Bach, J. S.'), ('Louis, XIV'), ('Ford, Henry II'))
+      UNION SELECT latin || ['', ' Jr.', ' A.', ' III'][CAST(ord % 4 AS INTEGER) + 1] FROM entries) SELECT name, array_to_string(list_filter([
       CASE WHEN regexp_matches(name, '^([A-Z]\\.[ ]?)+([A-Z]\\.?)?$') OR regexp_matches(CASE WHEN contains(name, ', ') THEN substr(name, strpos(name, ', ') + 2) ELSE '' END, '^([A-Z]\\.[ \\-]?)+$') THEN 'initials_only' END,
       CASE WHEN regexp_matches(name, '(?i)(^|[\\s,])(jr|sr|ii|iii|iv|v)\\.?$') THEN 'generational_suffix' END,
       CASE WHEN regexp_matches(name, '(^|[ ,])[A-Z]\\.') THEN 'has_abbreviations' END], lambda x: x IS NOT NULL), ',') AS tags FROM n""",
 )
 def initials_tags(spark, sf):
     rows = ["A.B.", "Smith, J.", "King, Martin Jr.", "Euler, Leonhard", "Bach, J. S.", "Louis, XIV", "Ford, Henry II"]
-    return spark.createDataFrame([(x,) for x in rows], "name string").select("name", F.array_join(names.short_form_tags(F.col("name")), ",").alias("tags"))
+    tail = F.element_at(F.array(*map(F.lit, ("", " Jr.", " A.", " III"))), (F.col("ord") % 4 + 1).cast("int"))
+    n = spark.createDataFrame([(x,) for x in rows], "name string").union(V.entries(spark, sf).select(F.concat("latin", tail))).distinct()
+    return n.select("name", F.array_join(names.short_form_tags(F.col("name")), ",").alias("tags"))
 
 
 @query(

@@ -51,19 +51,17 @@ def jaro_winkler(spark, sf):
 
 @query("similar_names")
 def similar_names(spark, sf):
-    """The ten most similar names of each, above a threshold, within a block."""
-    from pyspark.sql import Window
-
-    p = part_pairs(spark, sf).withColumn("s", F.round(similarity.composite(F.col("a"), F.col("b")), 9)).where("s >= 0.5")
-    w = Window.partitionBy("ord_a").orderBy(F.desc("s"), "ord_b")
-    return p.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("ord_a", "ord_b", "s", "rank")
+    """The ten most similar names of each, whatever their sources."""
+    return matching.similar(V.entries(spark, sf), "native")
 
 
 @query("nearest_name")
 def nearest_name(spark, sf):
-    e = V.entries(spark, sf)
-    left = e.where("ord % 2 = 0").select("ord", F.concat("native", F.lit(" jr")).alias("native"), "source")
-    return matching.nearest(left, e.where("ord % 2 = 1"), F.concat("source", F.substr("native", F.lit(1), F.lit(2))), "native", 0.85)
+    """Every entry, its name misspelt for two of three, against all entries."""
+    e = V.entries(spark, sf).select("ord", "native", "birth")
+    told = F.when(F.col("ord") % 3 == 0, F.upper("native")).when(F.col("ord") % 3 == 1, F.concat("native", F.lit("x"))).otherwise(F.regexp_replace("native", "a", "á"))
+    left = e.select("ord", told.alias("native"), F.when(F.col("ord") % 5 != 0, F.col("birth") + F.col("ord") % 2).cast("int").alias("birth"))
+    return matching.nearest(left, e, "native", "birth")
 
 
 @query(
@@ -81,14 +79,16 @@ def enrich_fill_only(spark, sf):
 
 @query(
     "token_set_match",
-    """WITH q(k, s, t) AS (VALUES ('euler, l', 'euler', ['leonhard']), ('gauss, carl', 'gauss', ['carl']), ('noether, e', 'noether', ['emmy', 'amalie'])),
-    n(gid, s, t) AS (VALUES ('G1', 'euler', ['leonhard', 'paul']), ('G2', 'gauss', ['carl', 'friedrich']), ('G3', 'gauss', ['carl']), ('G4', 'noether', ['amalie']))
+    f"""WITH {V.ENTRIES_SQL}, q AS (SELECT 'q' || ord AS k, split_part(native, ' ', 2) || '|' || source || '|' || birth AS s, list_distinct([split_part(native, ' ', 1), CASE WHEN ord % 3 = 0 THEN country ELSE split_part(native, ' ', 1) END]) AS t FROM entries),
+    n AS (SELECT ord AS gid, split_part(native, ' ', 2) || '|' || source || '|' || birth AS s, [split_part(native, ' ', 1), country] AS t FROM entries)
     SELECT k AS query, min(gid) AS gid FROM q JOIN n ON q.s = n.s AND (list_has_all(n.t, q.t) OR list_has_all(q.t, n.t)) GROUP BY k HAVING count(DISTINCT gid) = 1""",
 )
 def token_set_match(spark, sf):
-    q = spark.createDataFrame([("euler, l", "euler", ["leonhard"]), ("gauss, carl", "gauss", ["carl"]), ("noether, e", "noether", ["emmy", "amalie"])], "key string, surname string, tokens array<string>")
-    n = spark.createDataFrame([("G1", "euler", ["leonhard", "paul"]), ("G2", "gauss", ["carl", "friedrich"]), ("G3", "gauss", ["carl"]), ("G4", "noether", ["amalie"])], "gid string, surname string, tokens array<string>")
-    return matching.token_set_match(q, n)
+    """Every entry against all, surnames told apart by source and year."""
+    e = V.entries(spark, sf)
+    surname, first = F.concat_ws("|", F.split_part("native", F.lit(" "), F.lit(2)), "source", "birth"), F.split_part("native", F.lit(" "), F.lit(1))
+    q = e.select(F.concat(F.lit("q"), F.col("ord").cast("string")).alias("key"), surname.alias("surname"), F.array_distinct(F.array(first, F.when(F.col("ord") % 3 == 0, F.col("country")).otherwise(first))).alias("tokens"))
+    return matching.token_set_match(q, e.select(F.col("ord").alias("gid"), surname.alias("surname"), F.array(first, "country").alias("tokens")))
 
 
 @query(

@@ -122,7 +122,7 @@ def test_enrichment_keeps_every_row(spark):
     assert sorted(got) == [1, 2, 3, 4, 5]
     assert got[2]["gid"] == got[1]["gid"] + "--1"
     assert got[1]["collides"]
-    assert (got[1]["detected"], got[4]["detected"], got[5]["detected"]) == ("B1", "R0", "E1")
+    assert (got[1]["detected"], got[4]["detected"], got[5]["detected"]) == ("A2", "R0", "A1")  # Germany, nowhere, the United States
     assert got[1]["birth_text"] == "1700s"
 
 

@@ -10,7 +10,9 @@ how far it is concentrated on few words, how often a word follows itself). A tan
 numpy; the temperature is fitted on a part of the sample that the weights did not see.
 
 Fitted on at most MAX_LABELLED labelled texts. Whole texts are scored. Null and empty texts
-score as the empty pool. Repeated rows score alike; an empty table gives no rows.
+score as the empty pool. Repeated rows score alike, ties and all; null ids are kept. A very long
+text is a slice of its own and is pooled piece by piece. Only the id and text columns are read,
+so other columns may have any name. An empty table gives no rows.
 """
 
 from __future__ import annotations

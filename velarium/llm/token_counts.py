@@ -9,7 +9,8 @@ that start a word, all others continue one; every single byte is a piece, so no
 unknown. A word is read as one space followed by its bytes.
 
 Null and empty texts have no words and count 0. Repeated rows are counted each; any other
-columns pass through unless they are asked away; clashing output names are replaced.
+columns pass through unless they are asked away; clashing output names are replaced. Null
+ids are kept; a very long text is a slice of its own, whole. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ one weight per subsequence and scoring costs one pass over each distinct word.
 
 A text scores by its strongest words: a logistic fit on the greatest margin, the number of
 words with a margin above zero, and the text's size. Whole texts are scored. Null and empty
-texts score as texts without words. Repeated rows score alike; an empty table gives no rows.
+texts score as texts without words. Repeated rows score alike, ties and all; null ids are kept. A very
+long text is a slice of its own. Only the id and text columns are read, so other columns may
+have any name. An empty table gives no rows; a sample of one label gives its share as score.
 """
 
 from __future__ import annotations

@@ -120,6 +120,48 @@ def test_toxicity_finds_gapped_insults(spark):
     assert ((p >= 0) & (p <= 1)).all()
 
 
+def test_toxicity_learns_sentences_of_several_words(spark):
+    """No word of the insult is bad alone: clean texts hold each of them, in different sentences."""
+    parts = ["garbage", "person", "nobody"]
+
+    def sentence(rng, some):
+        w = [rng.choice(["the", "on", "restan", "oring", "stanre", "anon"]) for _ in range(6)]
+        for x in some:
+            w.insert(rng.randrange(len(w)), x)
+        return " ".join(w) + "."
+
+    rng = random.Random(8)
+    rows = []
+    for i in range(700):
+        y = i % 3 == 0
+        texts = [sentence(rng, parts if y and k == 2 else [rng.choice(parts)] if rng.random() < 0.5 else []) for k in range(5)]
+        rows.append((i, " ".join(texts), int(y)))
+    df = spark.createDataFrame(rows, "id bigint, text string, y int")
+    model = toxicity.fit(df.where("id < 500"))
+    held = rows[500:]
+    p = model.score(pa.array([r[1] for r in held]))
+    pos, neg = p[[bool(r[2]) for r in held]], p[[not r[2] for r in held]]
+    assert np.mean(pos[:, None] > neg[None, :]) > 0.9
+
+
+def test_sentences_end_with_their_sign_or_text():
+    texts = pa.array(["a b. c", None, "", "d! e", "f"])
+    w = toxicity.Words(texts, lower=True)
+    assert toxicity.sentences_of(w, texts).tolist() == [0, 0, 1, 2, 3, 4]
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    from velarium.llm._labels import labelled_sample
+
+    docs = spark.createDataFrame([(i, "x" * (10 if i % 2 else 1000)) for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    whole = labelled_sample(docs, labels, "toxic", F.lit(False))
+    assert whole.count() == 40
+    some = labelled_sample(docs, labels, "toxic", F.lit(False), most_bytes=5000)
+    assert 0 < some.agg(F.sum(F.length("text"))).first()[0] <= 5000
+    assert labelled_sample(docs.limit(0), labels, "toxic", F.lit(False)).count() == 0
+
+
 def test_quality_separates_junk(spark):
     def bad(rng, w):
         return rng.choice([lambda: " ".join(x + "%%%" for x in w), lambda: " ".join(x.upper() + "!!" for x in w), lambda: " ".join([w[0]] * len(w))])()

@@ -8,14 +8,19 @@ thus cost weight but not the match. Kernels are scaled by the occurrences' root
 squares.
 
 Landmarks are training words: those most bound to toxic texts, and frequent others. Nyström
-features K(word, landmarks) K(landmarks, landmarks)^-1/2 go into a linear machine with hinge
-loss. Labels stand on texts; a text's sentences inherit them, and rounds of the machine choose
-the witnesses: the words of a toxic text that score highest, against the words of clean texts,
-hardest first. The machine is linear in the landmarks' subsequence features, so it folds into
-one weight per subsequence and scoring costs one pass over each distinct word.
-
-A text scores by its strongest words: a logistic fit on the greatest margin, the number of
-words with a margin above zero, and the text's size. Whole texts are scored. Null and empty
+features K(word, landmarks) K(landmarks, landmarks)^-1/2 go into linear machines with hinge
+loss, in two stages. Labels stand on texts. The first machine finds single words: rounds choose
+the witnesses, the words of a toxic text that score highest, against the words of clean texts,
+hardest first. The second is trained on sentences, which inherit their text's label: of each
+labelled text the SENTENCES that the first machine finds strongest, each the sum of its words'
+features over the root of their number, so that several words speak together; rounds move a
+toxic text's label to its strongest sentence. Both machines are linear in the landmarks'
+subsequence features, so each folds into one weight per subsequence and scoring costs one pass
+over each distinct word.
+
+A text scores by its strongest words and its strongest sentence: a logistic fit on the greatest
+margin of either, the number of words with a margin above zero, and the text's size. Whole texts
+are scored. Null and empty
 texts score as texts without words. Repeated rows score alike, ties and all; null ids are kept. A very
 long text is a slice of its own. Only the id and text columns are read, so other columns may
 have any name. An empty table gives no rows; a sample of one label gives its share as score.
@@ -41,6 +46,10 @@ DECAY = 0.6
 LANDMARKS = 160
 THRESHOLD = 0.3
 SEED = 11
+#: Sentences of a labelled text that the second machine learns from.
+SENTENCES = 2
+#: Their machine is held closer to zero than the words', which keeps small samples from being learned by heart.
+SENTENCE_RIDGE = 3e-3
 #: Distinct words whose subsequences are listed at once.
 CHUNK = 1 << 16
 
@@ -128,42 +137,83 @@ def spelled(w: Words) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([w.array(), pa.array(extra, pa.binary())]), np.append(text, np.array(of, np.int64))
 
 
+ENDS = np.isin(np.arange(256), list(b".!?"))
+
+
+def sentences_of(w: Words, texts: pa.Array) -> np.ndarray:
+    """Number of the sentence of each word, from 0 on over all texts: one ends with a word that
+    ends in . ! or ?, or with its text."""
+    n = len(w)
+    if not n:
+        return np.zeros(0, np.int64)
+    stop = ENDS[w.data[w.offsets[1:] - 1]]
+    new = np.zeros(n, bool)
+    new[1:] = stop[:-1]
+    new[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
+    new[0] = True
+    return np.cumsum(new) - 1
+
+
 class ToxicityModel:
-    """weights: margin of a subsequence; bias; platt: logistic weights over the text's figures."""
+    """weights, bias: margin of a word; sentence_weights, sentence_bias: of a sentence; platt:
+    logistic weights over the text's figures."""
 
-    def __init__(self, weights: np.ndarray, bias: float, platt: np.ndarray):
+    def __init__(self, weights: np.ndarray, bias: float, platt: np.ndarray, sentence_weights: np.ndarray | None = None, sentence_bias: float = 0.0):
         self.weights, self.bias, self.platt = weights, bias, platt
+        self.sentence_weights, self.sentence_bias = sentence_weights, sentence_bias
 
-    def margins(self, words: pa.Array) -> np.ndarray:
-        out = np.empty(len(words))
+    def folded(self, words: pa.Array, weights: list[np.ndarray]) -> list[np.ndarray]:
+        """The words' scaled sums of each weighting of subsequences."""
+        out = [np.empty(len(words)) for _ in weights]
         for i in range(0, len(words), CHUNK):
             part = words.slice(i, CHUNK)
             s, bounds = signs(part)
-            total, norm = np.zeros(len(part)), np.zeros(len(part))
+            total, norm = [np.zeros(len(part)) for _ in weights], np.zeros(len(part))
             for w, u, c in occurrences(s, bounds):
-                total += c * np.bincount(w, weights=self.weights[u], minlength=len(part))
+                for t, x in zip(total, weights):
+                    t += c * np.bincount(w, weights=x[u], minlength=len(part))
                 norm += c * c * np.bincount(w, minlength=len(part))
-            out[i : i + len(part)] = total / np.maximum(np.sqrt(norm), 1e-9) + self.bias
+            for o, t in zip(out, total):
+                o[i : i + len(part)] = t / np.maximum(np.sqrt(norm), 1e-9)
         return out
 
+    def margins(self, words: pa.Array) -> np.ndarray:
+        return self.folded(words, [self.weights])[0] + self.bias
+
     def figures(self, texts: pa.Array) -> np.ndarray:
         w = Words(texts, lower=True)
         n = len(texts)
         words, text = spelled(w)
         d = words.dictionary_encode()
-        margin = self.margins(d.dictionary)[d.indices.to_numpy()] if len(d.dictionary) else np.zeros(0)
-        return text_figures(margin, text, n)
+        which = d.indices.to_numpy()
+        if not len(d.dictionary):
+            return text_figures(np.zeros(0), text, n, np.full(n, -2.0))
+        some = [self.weights] if self.sentence_weights is None else [self.weights, self.sentence_weights]
+        each = self.folded(d.dictionary, some)
+        strongest = np.full(n, -2.0)
+        if self.sentence_weights is not None:
+            sentence = sentences_of(w, texts)
+            _, margin = sentence_margins(each[1][which[: len(w)]], sentence, self.sentence_bias)
+            first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+            np.maximum.at(strongest, text[: len(w)][first], margin)
+        return text_figures((each[0] + self.bias)[which], text, n, strongest)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.figures(texts) @ self.platt, -700, 700)))
 
 
-def text_figures(margin: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+def sentence_margins(value: np.ndarray, sentence: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """(words, margin) of each sentence from the values of its words."""
+    size = np.bincount(sentence)
+    return size, np.bincount(sentence, weights=value) / np.sqrt(np.maximum(size, 1)) + bias
+
+
+def text_figures(margin: np.ndarray, text: np.ndarray, n: int, strongest: np.ndarray) -> np.ndarray:
     best = np.full(n, -2.0)
     np.maximum.at(best, text, margin)
     count = np.bincount(text, minlength=n)
     over = np.bincount(text, weights=margin > 0, minlength=n)
-    return np.stack([np.clip(best, -2, 2), np.log1p(over), over / np.sqrt(np.maximum(count, 1)), np.log1p(count) / 10, np.ones(n)], axis=1)
+    return np.stack([np.clip(best, -2, 2), np.log1p(over), over / np.sqrt(np.maximum(count, 1)), np.log1p(count) / 10, np.clip(strongest, -2, 2), np.ones(n)], axis=1)
 
 
 def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -231,7 +281,7 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
     y = got.column("y").to_numpy().astype(bool)
     if not y.any() or y.all():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-        return ToxicityModel(np.zeros(SIGNS**3, np.float32), 0.0, np.array([0, 0, 0, 0, np.log(share / (1 - share))]))
+        return ToxicityModel(np.zeros(SIGNS**3, np.float32), 0.0, np.array([0, 0, 0, 0, 0, np.log(share / (1 - share))]))
     lists = got.column("w").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     bounds = lists.offsets.to_numpy()
@@ -272,7 +322,7 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
         ww[yy > 0] *= 0.3 * ww[yy < 0].sum() / max(ww[yy > 0].sum(), 1e-9)
         w, bias = hinge(x, yy, ww)
         weights = (marks.T @ (root @ w)).astype(np.float32)
-        margin = ToxicityModel(weights, bias, np.zeros(5)).margins(words)
+        margin = ToxicityModel(weights, bias, np.zeros(6)).margins(words)
         if r == rounds - 1:
             break
         # witnesses: words of toxic texts only, over the margin; hard negatives: the nearest of clean texts
@@ -282,8 +332,82 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
             positive = strong[:5]
         hard = in_clean[np.argsort(-margin[in_clean], kind="stable")[:10_000]]
         pool = np.union1d(pool, hard)
-    total = text_figures(np.repeat(margin[index], counts), np.repeat(text, counts), len(y))
-    return ToxicityModel(weights, bias, logistic(total, y.astype(float)))
+    first = ToxicityModel(weights, bias, np.zeros(6))
+    del lists, d, index, words, margin, counts, text, got
+    second, second_bias = fit_sentences(sample, first, marks, root)
+    model = ToxicityModel(weights, bias, np.zeros(6), second, second_bias)
+    x, y = labelled_figures(sample, model)
+    model.platt = logistic(x, y)
+    return model
+
+
+def fit_sentences(sample: DataFrame, model: ToxicityModel, marks: np.ndarray, root: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the machine over sentences. Workers send the strongest sentences of each
+    text, SENTENCES at most, as words."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def strongest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in slices(b.column(1)):
+                w = Words(b.column(1).slice(i, j - i), lower=True)
+                d = w.array().dictionary_encode()
+                which, sentence = d.indices.to_numpy(), sentences_of(w, b.column(1))
+                if not len(which):
+                    continue
+                value = np.maximum(sent.value.margins(d.dictionary), -1)[which]
+                size, margin = sentence_margins(value, sentence, 0.0)
+                begin = np.cumsum(size) - size
+                of = w.text_of_word()[begin]
+                best = np.full(len(size), -np.inf)
+                np.maximum.at(best, sentence, value)
+                order = np.lexsort((np.arange(len(size)), -best, of))
+                rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+                keep = np.sort(order[rank < SENTENCES])
+                rows = [pa.array(np.unique(which[begin[k] : begin[k] + size[k]])) for k in keep]
+                cuts = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), d.dictionary.take(pa.concat_arrays(rows)))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(of[keep])), lists, b.column(2).slice(i, j - i).take(pa.array(of[keep])).cast(pa.int32())], names=["id", "w", "y"])
+
+    f = T.StructField
+    got = sample.mapInArrow(strongest, T.StructType([sample.schema["id"], f("w", T.ArrayType(T.BinaryType())), f("y", T.IntegerType())])).toArrow()
+    if not got.num_rows:
+        return np.zeros(SIGNS**3, np.float32), 0.0
+    got = got.sort_by("id").combine_chunks()
+    lists = got.column("w").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    bounds = lists.offsets.to_numpy()
+    d = lists.flatten().dictionary_encode()
+    each = kernel(d.dictionary, marks) @ root
+    which = d.indices.to_numpy()
+    x = np.add.reduceat(each[which], bounds[:-1], axis=0) / np.sqrt(np.diff(bounds))[:, None]
+    y = got.column("y").to_numpy().astype(bool)
+    ids = got.column("id").to_pylist()
+    text = np.append(0, np.cumsum([a != b for a, b in zip(ids, ids[1:])])) if ids else np.zeros(0, np.int64)
+    use = np.ones(len(y), bool)
+    for _ in range(rounds):
+        sign = np.where(y[use], 1.0, -1.0)
+        weight = np.where(sign > 0, 0.3 * (sign < 0).sum() / max((sign > 0).sum(), 1), 1.0)
+        w, bias = hinge(x[use], sign, weight, ridge=SENTENCE_RIDGE)
+        margin = x @ w + bias
+        top = np.full(text[-1] + 1, -np.inf)
+        np.maximum.at(top, text, margin)
+        use = ~y | (margin >= top[text])  # a toxic text's label stands on its strongest sentence
+    return (marks.T @ (root @ w)).astype(np.float32), bias
+
+
+def labelled_figures(sample: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """(figures, labels) of the labelled texts, a few numbers each."""
+    sent = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j in slices(b.column(1)):
+                x = sent.value.figures(b.column(1).slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(list(x)), b.column(2).slice(i, j - i).cast(pa.int32())], names=["id", "x", "y"])
+
+    f = T.StructField
+    got = sample.mapInArrow(run, T.StructType([sample.schema["id"], f("x", T.ArrayType(T.DoubleType())), f("y", T.IntegerType())])).toArrow().sort_by("id")
+    return np.array(got.column("x").to_pylist()), got.column("y").to_numpy().astype(float)
 
 
 def toxicity_scores(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,14 +6,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Territory to region.
-TERRITORY = {"US": "A1", "GB": "A1", "DE": "B1", "FR": "B2", "IT": "B3", "BR": "B4", "GR": "C1", "RU": "C2", "IN": "D2", "CN": "E1", "JP": "E3", "KR": "E4"}
-#: Sub-national overlays, before the territory.
-OVERLAY = {"CN-11": "E2", "GB-WLS": "A3", "US-PR": "B5"}
+from . import detection
+
+#: Territory to region, sub-national code to region, group of each region: the tables of detection.
+TERRITORY = {c: r[0] for c, r in detection.listed(detection.TERRITORIES).items()}
+OVERLAY = detection.OVERLAYS
+GROUPS = detection.GROUP_OF
 #: Country, first and last year (null: open), region, in order of precedence.
-DIASPORA = [("US", None, 1925, "B1"), ("US", 1940, None, "E1"), ("BR", 1908, 1945, "E3"), ("FR", 1917, 1930, "C2")]
-#: Group of each region.
-GROUPS = {"A1": "anglo", "A3": "anglo", "B1": "europe", "B2": "europe", "B3": "europe", "B4": "iberia", "B5": "iberia", "C1": "hellenic", "C2": "slavic", "D2": "indic", "E1": "sinic", "E2": "sinic", "E3": "japonic", "E4": "koreanic"}
+DIASPORA = [(c, *detection.interval(years), r) for c, rules in detection.ERAS.items() for years, r in rules]
 #: Region, kind (surname, prefix, suffix), pattern, weight.
 LEXICON = [
     ("A1", "surname", "widget", 5.0), ("B1", "surname", "bolt", 5.0), ("E1", "surname", "plate", 5.0), ("B2", "prefix", "wid", 3.0),

@@ -26,22 +26,23 @@ def territory_region(spark, sf):
 
 @query(
     "overlay_precedence",
-    f"""WITH {V.ENTRIES_SQL}, c AS (SELECT ord, country, CASE WHEN ord % 24 = 3 THEN 'CN-11' WHEN ord % 24 = 9 THEN 'GB-WLS' WHEN ord % 24 = 12 THEN 'US-PR' END AS code, CASE WHEN ord % 10 = 0 THEN 'ZZ' ELSE country END AS cc FROM entries)
+    f"""WITH {V.ENTRIES_SQL}, c AS (SELECT ord, country, CASE WHEN ord % 24 = 3 THEN 'CH-FR' WHEN ord % 24 = 9 THEN 'IN-WB' WHEN ord % 24 = 12 THEN 'LK-TA' END AS code, CASE WHEN ord % 10 = 0 THEN 'ZZ' ELSE country END AS cc FROM entries)
     SELECT ord, coalesce(o.r, t.region, 'R0') AS region_code, CASE WHEN o.r IS NOT NULL THEN 0.88 WHEN t.region IS NOT NULL THEN 0.85 ELSE 0.1 END::DOUBLE AS confidence
     FROM c LEFT JOIN {TERRITORY} ON cc = t.c LEFT JOIN {values(list(regions.OVERLAY.items()), 'o', 'r').replace('AS t', 'AS o')} ON code = o.o""",
 )
 def overlay_precedence(spark, sf):
     n = F.col("ord") % 24
-    c = V.entries(spark, sf).select("ord", F.when(n == 3, "CN-11").when(n == 9, "GB-WLS").when(n == 12, "US-PR").alias("code"), F.when(F.col("ord") % 10 == 0, "ZZ").otherwise(F.col("country")).alias("cc"))
+    c = V.entries(spark, sf).select("ord", F.when(n == 3, "CH-FR").when(n == 9, "IN-WB").when(n == 12, "LK-TA").alias("code"), F.when(F.col("ord") % 10 == 0, "ZZ").otherwise(F.col("country")).alias("cc"))
     return regions.overlay(c, "code", "cc").select("ord", "region_code", "confidence")
 
 
 RULES = values([(c, lo if lo is not None else -9999, hi if hi is not None else 9999, r, i) for i, (c, lo, hi, r) in enumerate(regions.DIASPORA)], "c", "lo", "hi", "r", "n")
 
 
-@query("diaspora_interval", f"WITH {V.ENTRIES_SQL} SELECT ord, arg_min(t.r, t.n) AS diaspora_region FROM entries JOIN {RULES} ON country = t.c AND birth BETWEEN t.lo AND t.hi GROUP BY ord")
+@query("diaspora_interval", f"WITH {V.ENTRIES_SQL}, e AS (SELECT ord, CASE WHEN ord % 3 = 0 THEN 'TH' ELSE country END AS country, birth + CAST(ord % 4 AS INTEGER) * 40 AS birth FROM entries) SELECT ord, arg_min(t.r, t.n) AS diaspora_region FROM e JOIN {RULES} ON country = t.c AND birth BETWEEN t.lo AND t.hi GROUP BY ord")
 def diaspora_interval(spark, sf):
-    return regions.diaspora(V.entries(spark, sf), "country", "birth", "ord")
+    e = V.entries(spark, sf).select("ord", F.when(F.col("ord") % 3 == 0, "TH").otherwise(F.col("country")).alias("country"), (F.col("birth") + (F.col("ord") % 4).cast("int") * 40).alias("birth"))
+    return regions.diaspora(e, "country", "birth", "ord")
 
 
 @query(

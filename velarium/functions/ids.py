@@ -58,3 +58,8 @@ def treatment(c: Column, share: int) -> Column:
     """Arm of an A/B split: SHA-256 as a number modulo 100, below share is A."""
     rest = F.aggregate(F.split(F.sha2(c, 256), ""), F.lit(0), lambda a, d: (a * 16 + F.conv(d, 16, 10).cast("int")) % 100)
     return F.when(rest < share, "A").otherwise("B")
+
+
+def json_hash(*columns: str) -> Column:
+    """SHA-256 of the columns as one JSON object with its keys in order; nulls are left out."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)

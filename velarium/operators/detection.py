@@ -420,3 +420,15 @@ def calibrated(p: Column, knots: list[tuple[float, float]]) -> Column:
         return p
     q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), p))
     return F.coalesce(*(F.when(q <= t, F.lit(float(v))) for t, v in sorted(knots)), F.lit(float(max(knots)[1])))
+
+
+#: Scripts that one region's names are written in, in the order in which they are tried.
+SCRIPT_REGIONS = (
+    ("E4", "[\\uAC00-\\uD7AF\\u1100-\\u11FF]"), ("E3", "[\\u3040-\\u30FF]"), ("E1", "[\\u4E00-\\u9FFF]"), ("B1", "[\\u0400-\\u04FF]"), ("B3", "[\\u0370-\\u03FF]"), ("C6", "[\\u0590-\\u05FF]"),
+    ("C3", "[\\u0600-\\u06FF]"), ("C7", "[\\u0530-\\u058F]"), ("C8", "[\\u10A0-\\u10FF]"), ("D1", "[\\u0900-\\u097F]"), ("D3", "[\\u0980-\\u09FF]"), ("D5", "[\\u0D80-\\u0DFF]"), ("E6", "[\\u0E00-\\u0E7F]"), ("F3", "[\\u1200-\\u137F]"),
+)
+
+
+def by_script(c: Column) -> Column:
+    """The region whose script a name holds; nowhere for Latin and others."""
+    return F.coalesce(*(F.when(c.rlike(p), F.lit(r)) for r, p in SCRIPT_REGIONS), F.lit(NOWHERE))

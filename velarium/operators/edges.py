@@ -110,3 +110,30 @@ def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
 def with_identity(entries: DataFrame, gid: str = "gid") -> DataFrame:
     """One row: share of rows that have an id; 1 for none."""
     return entries.agg(F.round(F.coalesce(F.avg(F.when(F.coalesce(F.col(gid), F.lit("")) != "", 1.0).otherwise(0.0)), F.lit(1.0)), 9).alias("coherence"))
+
+
+def invariants(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rule, violations) of the seven rules a genealogy must keep: self loops, edges that lead
+    into a cycle, advisors named twice, edges without source or confidence, advisors that are no
+    record, records without name or id, ids of several records. records: gid, name; edges:
+    student, advisor, source, confidence. Each rule is one aggregate or anti-join."""
+    from . import lineage
+
+    def rule(name: str, df: DataFrame) -> DataFrame:
+        return df.agg(F.count("*").alias("violations")).select(F.lit(name).alias("rule"), "violations")
+
+    e = edges.select("student", "advisor")
+    ids = records.where("gid IS NOT NULL").select("gid").distinct()
+    parts = [
+        rule("self_loop", e.where("student = advisor")),
+        rule("cycle", lineage.peel(e.where("student <> advisor"))),
+        rule("repeated", e.groupBy("student", "advisor").agg(F.count("*").alias("n")).where("n > 1")),
+        rule("provenance", edges.where("coalesce(source, '') = '' OR confidence IS NULL")),
+        rule("dangling", e.select("advisor").distinct().join(ids, F.col("advisor") == F.col("gid"), "left_anti")),
+        rule("missing_key", records.where("coalesce(name, '') = '' OR gid IS NULL")),
+        rule("shared_id", records.where("gid IS NOT NULL").groupBy("gid").agg(F.count("*").alias("n")).where("n > 1")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out

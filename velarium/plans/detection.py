@@ -176,3 +176,12 @@ KNOTS = [(0.2, 0.1), (0.5, 0.35), (0.9, 0.8)]
 @query("calibrated_confidence", f"WITH {V.PREDICTIONS_SQL} SELECT doc_id, CASE WHEN conf <= 0.2 THEN 0.1 WHEN conf <= 0.5 THEN 0.35 ELSE 0.8 END::DOUBLE AS p FROM predictions")
 def calibrated_confidence(spark, sf):
     return V.predictions(spark, sf).select("doc_id", D.calibrated(F.col("conf"), KNOTS).alias("p"))
+
+
+SCRIPTED = {"김철수": "E4", "たなか": "E3", "王明": "E1", "Иван": "B1", "Νίκος": "B3", "דוד": "C6", "علي": "C3", "Անի": "C7", "ნინო": "C8", "राम": "D1", "রবি": "D3", "අමල්": "D5", "สมชาย": "E6", "ሰላም": "F3", "Smith": "R0"}
+
+
+@query("script_region", f"WITH {V.ENTRIES_SQL}, s(name, region) AS ({_values(list(SCRIPTED.items()))}) SELECT ord, s.region FROM entries JOIN s ON s.name = {_sql_pick(list(SCRIPTED), 'ord')}")
+def script_region(spark, sf):
+    name = F.element_at(F.array(*map(F.lit, SCRIPTED)), (F.col("ord") % len(SCRIPTED) + 1).cast("int"))
+    return V.entries(spark, sf).select("ord", D.by_script(name).alias("region"))

@@ -102,3 +102,18 @@ def graph_upsert(spark, sf):
 @query("identity_share", f"WITH {V.ENTRIES_SQL} SELECT round(avg(CASE WHEN ord % 9 <> 0 THEN 1.0 ELSE 0.0 END), 9) AS coherence FROM entries")
 def identity_share(spark, sf):
     return E.with_identity(V.entries(spark, sf).select(F.when(F.col("ord") % 9 != 0, F.col("latin")).alias("gid")))
+
+
+@query(
+    "integrity_invariants",
+    f"""WITH RECURSIVE {V.EDGES_SQL}, ed AS (SELECT student, advisor, CASE WHEN student % 9 <> 0 THEN 'x' END AS source FROM edges), r AS (SELECT CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 19 = 0 THEN p_partkey - 1 ELSE p_partkey END AS gid, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS name FROM part),
+    e AS (SELECT DISTINCT student, advisor FROM ed WHERE student <> advisor), w AS (SELECT student AS root, advisor AS node FROM e UNION SELECT w.root, e.advisor FROM w JOIN e ON w.node = e.student), c AS (SELECT DISTINCT root FROM w WHERE root = node), k AS (SELECT DISTINCT w.root FROM w JOIN c ON w.node = c.root UNION SELECT root FROM c)
+    SELECT 'self_loop' AS rule, count(*) AS violations FROM ed WHERE student = advisor UNION ALL SELECT 'cycle', count(*) FROM e WHERE advisor IN (SELECT root FROM k) UNION ALL SELECT 'repeated', count(*) FROM (SELECT 1 FROM ed GROUP BY student, advisor HAVING count(*) > 1)
+    UNION ALL SELECT 'provenance', count(*) FROM ed WHERE source IS NULL UNION ALL SELECT 'dangling', count(*) FROM (SELECT DISTINCT advisor FROM ed WHERE advisor NOT IN (SELECT gid FROM r WHERE gid IS NOT NULL)) UNION ALL SELECT 'missing_key', count(*) FROM r WHERE gid IS NULL OR name = ''
+    UNION ALL SELECT 'shared_id', count(*) FROM (SELECT 1 FROM r WHERE gid IS NOT NULL GROUP BY gid HAVING count(*) > 1)""",
+)
+def integrity_invariants(spark, sf):
+    key = F.col("p_partkey")
+    r = V.read(spark, sf, "part").select(F.when(key % 17 != 0, F.when(key % 19 == 0, key - 1).otherwise(key)).alias("gid"), F.when(key % 13 == 0, "").otherwise(F.col("p_name")).alias("name"))
+    e = V.advisor_edges(spark, sf).withColumn("source", F.when(F.col("student") % 9 != 0, "x")).withColumn("confidence", F.lit(0.9))
+    return E.invariants(r, e)

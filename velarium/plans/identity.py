@@ -210,3 +210,9 @@ def transliteration(spark, sf):
 @query("id_collision_report", f"WITH {MINTED} SELECT gid, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord FROM minted GROUP BY gid HAVING count(*) > 1")
 def id_collision_report(spark, sf):
     return identity.mint(V.entries(spark, sf)).groupBy("gid").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).where("n > 1")
+
+
+@query("json_hash", f"""WITH {V.ENTRIES_SQL} SELECT ord, sha256('{{"birth":' || birth || ',"country":"' || country || '","latin":"' || latin || '"' || CASE WHEN advisor IS NOT NULL THEN ',"source":"' || source || '"' ELSE '' END || '}}') AS hash FROM entries""")
+def json_hash(spark, sf):
+    e = V.entries(spark, sf).withColumn("source", F.when(F.col("advisor").isNotNull(), F.col("source")))
+    return e.select("ord", ids.json_hash("latin", "country", "birth", "source").alias("hash"))

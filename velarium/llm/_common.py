@@ -212,6 +212,15 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+#: Small rows that are worth a task.
+TASK_ROWS = 100_000
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its number of small rows is worth; more rows, more tasks."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 # ---------------------------------------------------------------- components
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over links (nulls dropped, nodes without
@@ -221,7 +230,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     e = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, rows: int) -> DataFrame:
         if large:
             both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
@@ -232,14 +241,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             out = j.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = j.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select(F.col("c").alias("u"), F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        out = gathered(out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), 2 * rows)
+        return gathered(out.distinct(), rows)
 
     def sign(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     was = sign(e)
     for _ in range(rounds):
-        before, e = e, written(star(star(e, True), False))
+        before, e = e, written(star(star(e, True, was[0]), False, was[0]))
         discard(before)
         now = sign(e)
         if now == was:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, components, discard, load, pack, ship, slices, table, text_blocks, tidy, unpack, written
+from ._common import Words, components, discard, gathered, load, pack, ship, slices, table, text_blocks, tidy, unpack, written
 
 SEED = 42
 WORDS_PER_SHINGLE = 3
@@ -55,7 +55,7 @@ MAX_BROADCAST_VALUES = 200_000
 STAGE_WORDS = 5
 SIMILAR = (4, 5)
 #: Bytes of text in a block, and groups of shingles at most; a block sends each one row.
-BLOCK_BYTES, MAX_GROUPS = 8 << 20, 4096
+BLOCK_BYTES, MAX_GROUPS = 4 << 20, 4096
 #: Words of 64 bits of a set's parity bitmap.
 BITMAP = 8
 #: Turns in which crowded lists try one pair a set before all pairs are tried.
@@ -181,6 +181,7 @@ class Shingles:
         padded = np.append(own, np.zeros(k, U))
         for j in range(k):
             h = _mix(h ^ np.where(j < size, padded[at + j], U(0)))
+        del w, index, words, own, padded, at, size
         self.n, self.k = len(count), k
         self.hashes, self.of = h, text  # repeats included
         self.tokens, inverse = np.unique(h, return_inverse=True)
@@ -215,9 +216,15 @@ class Shingles:
     def bitmaps(self) -> np.ndarray:
         """Parity bitmap of each text's set: its bits that differ from another's are no more than
         the tokens that only one of the two sets holds."""
-        bit = ((self.tokens >> U(7)) % U(64 * BITMAP)).astype(np.int64)[self.which]
-        odd = np.bincount(self.text * (64 * BITMAP) + bit, minlength=self.n * 64 * BITMAP) & 1
-        return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(self.n, BITMAP)
+        bit = ((self.tokens >> U(7)) % U(64 * BITMAP)).astype(np.int64)
+        out = np.empty((self.n, BITMAP), np.int64)
+        cuts = np.append(0, np.cumsum(self.sizes))
+        for a in range(0, self.n, 2048):  # many short texts would make many counters
+            b = min(a + 2048, self.n)
+            i, j = cuts[a], cuts[b]
+            odd = np.bincount((self.text[i:j] - a) * (64 * BITMAP) + bit[self.which[i:j]], minlength=(b - a) * 64 * BITMAP) & 1
+            out[a:b] = np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(b - a, BITMAP)
+        return out
 
     def prefixes(self, rarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place, token) of the rarest of each text's tokens, so many that two sets as
@@ -259,6 +266,8 @@ def marks(docs: DataFrame, id_col: str, text_col: str, k: int, block_bytes: int
                 sh = Shingles(texts_of(data), k)
                 by, group, first, last = by_group(sh.tokens)
                 low, n = (sh.tokens[by] & U(0xFFFFFFFF)).astype(np.uint32), sh.held()[by].astype(np.uint32)
+                del sh, by
+                tidy()
                 if len(first):
                     yield pa.RecordBatch.from_arrays([pa.array([block] * len(first), pa.int64()), pa.array(group.astype(np.int64)), pa.array([pack(low[x:y]) for x, y in zip(first, last)], pa.binary()), pa.array([pack(n[x:y]) for x, y in zip(first, last)], pa.binary())], names=["block", "grp", "a", "b"])
         tidy()
@@ -356,6 +365,7 @@ def similar_links(marked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     post = nodes.select("node", "size", F.inline(F.arrays_zip(F.col("places").alias("pos"), F.col("tokens").alias("token"))))
     lists = post.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
     live = written(post.join(lists, "token"))
+    rows = live.count()
     stars = written(fingerprint_stars(nodes.where("size > 0").select("node", "fp")))
     wanted = live.select("node").unionByName(stars.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
     sets = written(shingle_sets(blocks, nodes.select("node", "at").join(wanted, "node", "left_semi"), k))
@@ -369,13 +379,13 @@ def similar_links(marked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         return df.select("token", F.col("node").alias(x), F.col("size").alias(f"s{x}"), F.col("pos").alias(f"p{x}"), F.col("c").alias(f"c{x}"), *(F.col(m).alias(f"x{x}") for m in more))
 
     def pairs(df: DataFrame) -> DataFrame:
-        d = written(df.join(nodes.select("node", "bits"), "node"))
+        d = written(gathered(df.join(nodes.select("node", "bits"), "node"), 4 * rows))
         return side(d, "a", "bits").join(side(d, "b", "bits"), "token").where(f"a < b AND ca <> cb AND {may} AND {close}").select("a", "b").distinct()
 
     links, settled = written(verified(stars, sets)), False
     for turn in range(ROUNDS + 1):
-        cur = written(live.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")))
-        mixed = written(cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1"))
+        cur = written(gathered(live.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")), rows))
+        mixed = written(gathered(cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1"), rows))
         if settled or turn == ROUNDS or mixed.where(F.col("n") > BUCKET).isEmpty():
             return links.unionByName(verified(pairs(cur.join(mixed.select("token"), "token", "left_semi")), sets))
         tried = side(cur, "a").join(side(mixed.select("token", "p.*"), "b"), "token").where(f"ca <> cb AND {may}")

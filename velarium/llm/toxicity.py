@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ._common import Words, bytes_of, crc_mod, ship, slices, table
+from ._common import Words, bytes_of, crc_mod, ship, slices, table, tidy
 from ._labels import MAX_LABELLED, labelled_sample
 
 SIGNS = 44
@@ -50,8 +51,8 @@ SEED = 11
 SENTENCES = 2
 #: Their machine is held closer to zero than the words', which keeps small samples from being learned by heart.
 SENTENCE_RIDGE = 3e-3
-#: Distinct words whose subsequences are listed at once.
-CHUNK = 1 << 16
+#: Distinct words whose subsequences are listed at once, and subsequences whose landmarks are.
+CHUNK, ROWS = 1 << 16, 1 << 14
 
 SIGN_OF = np.full(256, -1, np.int8)
 SIGN_OF[97:123] = SIGN_OF[65:91] = np.arange(26)
@@ -111,9 +112,11 @@ def kernel(words: pa.Array, marks: np.ndarray) -> np.ndarray:
         w, u, v = features(part)
         order = np.argsort(w, kind="stable")
         w, u, v = w[order], u[order], v[order]
-        for c in range(0, len(w), CHUNK):
-            first = np.flatnonzero(np.append(True, np.diff(w[c : c + CHUNK]) != 0))
-            out[i + w[c : c + CHUNK][first]] += np.add.reduceat(turned[u[c : c + CHUNK]] * v[c : c + CHUNK, None], first, axis=0)
+        for c in range(0, len(w), ROWS):
+            first = np.flatnonzero(np.append(True, np.diff(w[c : c + ROWS]) != 0))
+            gain = turned[u[c : c + ROWS]]
+            gain *= v[c : c + ROWS, None]
+            out[i + w[c : c + ROWS][first]] += np.add.reduceat(gain, first, axis=0)
     return out
 
 
@@ -220,7 +223,8 @@ def hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4,
     """Linear machine with squared hinge loss by accelerated gradient; the bias is not shrunk."""
     x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(float)
     weight = weight / weight.sum()
-    size = 2 * np.linalg.norm(x1 * np.sqrt(weight)[:, None], 2) ** 2 + 2 * ridge
+    gram = sum(x1[i : i + 4096].T @ (x1[i : i + 4096] * weight[i : i + 4096, None]) for i in range(0, len(x1), 4096))
+    size = 2 * float(np.linalg.eigvalsh(gram)[-1]) + 2 * ridge
     w = v = np.zeros(x1.shape[1])
     t = 1.0
     for _ in range(rounds):
@@ -249,7 +253,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def first_of_copies(index: np.ndarray, bounds: np.ndarray, words: pa.Array) -> np.ndarray:
     """False for texts whose three words of smallest hash are those of an earlier text: near
     copies would make all their words look bound to their label."""
-    order = np.fromiter((zlib.crc32(w) for w in words.to_pylist()), np.int64, len(words))
+    parts = (words.slice(i, CHUNK).to_pylist() for i in range(0, len(words), CHUNK))
+    order = np.fromiter((zlib.crc32(w) for p in parts for w in p), np.int64, len(words))
     seen, out = set(), np.ones(len(bounds) - 1, bool)
     for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
         if b - a >= 3:
@@ -259,6 +264,25 @@ def first_of_copies(index: np.ndarray, bounds: np.ndarray, words: pa.Array) -> n
     return out
 
 
+def _numbered(got: pa.Table, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(bounds, number of each word, distinct words) of a table's word lists in order; words are
+    numbered as they come up, whatever the order of arrival."""
+    lists = got.column("w").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    at = lists.offsets.to_numpy()
+    size = np.diff(at)[order]
+    bounds = np.append(0, np.cumsum(size))
+    d = lists.flatten().dictionary_encode()
+    take = np.arange(bounds[-1]) + np.repeat(at[:-1][order] - bounds[:-1], size)
+    index = d.indices.to_numpy()[take]
+    del take
+    number, first = np.unique(index, return_index=True)
+    number = number[np.argsort(first)]
+    to = np.empty(len(d.dictionary), np.int32)
+    to[number] = np.arange(len(number), dtype=np.int32)
+    return bounds, to[index], d.dictionary.take(pa.array(number))
+
+
 def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
     """From (id, text, y). Workers send each text's distinct words."""
     ship(sample.sparkSession)
@@ -268,29 +292,25 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
             for i, j in slices(b.column(1)):
                 words, text = spelled(Words(b.column(1).slice(i, j - i), lower=True))
                 d = words.dictionary_encode()
-                key, n = np.unique(text * max(len(d.dictionary), 1) + d.indices.to_numpy(), return_counts=True)
+                key = np.unique(text * max(len(d.dictionary), 1) + d.indices.to_numpy())
                 of = key // max(len(d.dictionary), 1)
                 at = np.searchsorted(of, np.arange(j - i + 1)).astype(np.int32)
                 w = pa.ListArray.from_arrays(pa.array(at), d.dictionary.take(pa.array(key % max(len(d.dictionary), 1))))
-                c = pa.ListArray.from_arrays(pa.array(at), pa.array(n, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), w, c, b.column(2).slice(i, j - i).cast(pa.int32())], names=["id", "w", "c", "y"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), w, b.column(2).slice(i, j - i).cast(pa.int32())], names=["id", "w", "y"])
 
     f = T.StructField
-    schema = T.StructType([sample.schema["id"], f("w", T.ArrayType(T.BinaryType())), f("c", T.ArrayType(T.IntegerType())), f("y", T.IntegerType())])
-    got = sample.mapInArrow(distinct, schema).toArrow().sort_by("id").combine_chunks()
-    y = got.column("y").to_numpy().astype(bool)
+    schema = T.StructType([sample.schema["id"], f("w", T.ArrayType(T.BinaryType())), f("y", T.IntegerType())])
+    got = sample.mapInArrow(distinct, schema).toArrow().combine_chunks()
+    order = pc.sort_indices(got.column("id")).to_numpy()
+    y = got.column("y").to_numpy()[order].astype(bool)
     if not y.any() or y.all():
         share = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
         return ToxicityModel(np.zeros(SIGNS**3, np.float32), 0.0, np.array([0, 0, 0, 0, 0, np.log(share / (1 - share))]))
-    lists = got.column("w").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    bounds = lists.offsets.to_numpy()
-    counts = got.column("c").combine_chunks()
-    counts = (counts.chunk(0) if isinstance(counts, pa.ChunkedArray) else counts).flatten().to_numpy()
-    d = lists.flatten().dictionary_encode()
-    index, words = d.indices.to_numpy(), d.dictionary
+    bounds, index, words = _numbered(got, order)
+    del got
+    tidy()
     single = first_of_copies(index, bounds, words)
-    text = np.repeat(np.arange(len(y)), np.diff(bounds))
+    text = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(bounds))
     once = single[text]
     rng = np.random.default_rng(SEED)
 
@@ -316,7 +336,7 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
     for r in range(rounds):
         pool = np.setdiff1d(pool, positive)
         rows = np.concatenate([positive, pool])
-        x = kernel(words.take(pa.array(rows)), marks) @ root
+        x = kernel(words.take(pa.array(rows)), marks) @ root.astype(np.float32)
         yy = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
         ww = np.where(yy > 0, np.log1p(hit[rows]), np.log1p(clean[rows]))
         ww[yy > 0] *= 0.3 * ww[yy < 0].sum() / max(ww[yy > 0].sum(), 1e-9)
@@ -333,7 +353,8 @@ def fit(sample: DataFrame, rounds: int = 4) -> ToxicityModel:
         hard = in_clean[np.argsort(-margin[in_clean], kind="stable")[:10_000]]
         pool = np.union1d(pool, hard)
     first = ToxicityModel(weights, bias, np.zeros(6))
-    del lists, d, index, words, margin, counts, text, got
+    del index, words, margin, text, x, yy, ww, pool, in_clean, hit, clean, a, b, z, once, bounds
+    tidy()
     second, second_bias = fit_sentences(sample, first, marks, root)
     model = ToxicityModel(weights, bias, np.zeros(6), second, second_bias)
     x, y = labelled_figures(sample, model)
@@ -377,7 +398,7 @@ def fit_sentences(sample: DataFrame, model: ToxicityModel, marks: np.ndarray, ro
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     bounds = lists.offsets.to_numpy()
     d = lists.flatten().dictionary_encode()
-    each = kernel(d.dictionary, marks) @ root
+    each = kernel(d.dictionary, marks) @ root.astype(np.float32)
     which = d.indices.to_numpy()
     x = np.add.reduceat(each[which], bounds[:-1], axis=0) / np.sqrt(np.diff(bounds))[:, None]
     y = got.column("y").to_numpy().astype(bool)
@@ -392,6 +413,8 @@ def fit_sentences(sample: DataFrame, model: ToxicityModel, marks: np.ndarray, ro
         top = np.full(text[-1] + 1, -np.inf)
         np.maximum.at(top, text, margin)
         use = ~y | (margin >= top[text])  # a toxic text's label stands on its strongest sentence
+    del x, each, got, lists, d, which
+    tidy()
     return (marks.T @ (root @ w)).astype(np.float32), bias
 
 

@@ -326,3 +326,28 @@ def test_rows_of_queries_without_sql(spark):
     assert {n: (round(x, 4), True) for n, x in score.items()} == {n: (round(x, 4), e) for n, (x, e) in got.items()}
 
     assert {(r["log"], r["ok"]) for r in QUERIES["audit_chain"](spark, sf).collect()} == {(e["event_type"], True) for e in events}
+
+
+def test_cycle_pairs_of_many_walks_equal_brute_force(spark):
+    rng = random.Random(41)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(150)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (7, 7), (None, 1), (1, None)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    want = {}
+    for most in (1, 3, 5):
+        for root in near:
+            at = {root}
+            for d in range(1, most + 1):
+                at = {b for a in at if a is not None for b in near.get(a, ()) if b is not None}
+                if root in at and root is not None:
+                    want[most, root] = d
+                    break
+    e = spark.createDataFrame(pairs, "student bigint, advisor bigint")
+    limit = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")  # a recursive query would need more
+    try:
+        got = {(most, r["node"]): r["length"] for most in (1, 3, 5) for r in lineage.cycle_pairs(e, most).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
+    assert got == want and len({d for d in want.values()}) == 5

@@ -1,5 +1,5 @@
-"""Advisor graphs: cleaning, lineage, cycles, components and centrality. Depth-bounded walks are
-recursive queries; unbounded ones iterate over frames written to the checkpoint folder."""
+"""Advisor graphs: cleaning, lineage, cycles, components and centrality. Paths are a
+recursive query; walks iterate over frames of distinct pairs written to the checkpoint folder."""
 
 from __future__ import annotations
 
@@ -59,15 +59,21 @@ def frontier(edges: DataFrame, roots: DataFrame, up: bool, depth: int) -> DataFr
 
 
 def cycle_pairs(edges: DataFrame, most: int) -> DataFrame:
-    """(node, length): nodes on a cycle of at most `most` steps, with the shortest length."""
-    spark = edges.sparkSession
-    edges.select(F.col("student").alias("a"), F.col("advisor").alias("b")).distinct().createOrReplaceTempView("_cycle_edges")
-    return spark.sql(f"""
-      WITH RECURSIVE w(root, node, depth) MAX RECURSION LEVEL {most + 2} AS (
-        SELECT a, b, 1 FROM _cycle_edges
-        UNION ALL
-        SELECT w.root, e.b, w.depth + 1 FROM w JOIN _cycle_edges e ON w.node = e.a WHERE w.depth < {most} AND w.node <> w.root)
-      SELECT root AS node, min(depth) AS length FROM w WHERE root = node GROUP BY root""")
+    """(node, length): nodes on a cycle of at most `most` steps, with the shortest length. Distinct
+    pairs by steps, as in `frontier`: a recursive query stops at a million rows. A root that came
+    back goes no farther, and a pair that was seen is on no shorter way."""
+    checkpoints(edges.sparkSession)
+    e = edges.select(F.col("student").alias("a"), F.col("advisor").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct().checkpoint()
+    last = e.select(F.col("a").alias("root"), F.col("b").alias("node"), F.lit(1).alias("depth"))
+    back, seen = last.where("root = node"), last
+    for d in range(2, most + 1):
+        done = back.select(F.col("root").alias("done"))
+        on = last.join(done, F.col("root") == F.col("done"), "left_anti").join(e, F.col("node") == F.col("a")).select("root", F.col("b").alias("node")).distinct()
+        last = on.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        if last.isEmpty():
+            break
+        seen, back = seen.unionByName(last), back.unionByName(last.where("root = node"))  # steps already written
+    return back.select(F.col("root").alias("node"), F.col("depth").alias("length"))
 
 
 def peel(edges: DataFrame, rounds: int = 1000) -> DataFrame:

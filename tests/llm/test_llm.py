@@ -261,6 +261,33 @@ def test_stage_links_equal_brute_force(spark, monkeypatch, bucket):
     assert dict(rows(simhash.similar_documents(docs))) == groups(range(len(texts)), links)
 
 
+def test_stage_turns_leave_settled_lists(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", 2)
+    written, sizes = simhash.written, []
+
+    def counted(df):
+        out = written(df)
+        if out.columns == ["token", "node", "size", "pos", "c"]:
+            sizes.append((out.count(), out.groupBy("token").agg(F.count_distinct("c").alias("n")).where("n = 1").count()))
+        return out
+
+    monkeypatch.setattr(simhash, "written", counted)
+    rng = random.Random(17)
+    texts = []
+    for _ in range(10):
+        words = [f"w{rng.randrange(3000)}" for _ in range(160)]
+        for _ in range(10):
+            w = list(words)
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(f"common{j}" for j in range(12)) + f" a{i} b{i}" for i in range(8)]  # share a list and stay apart
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(rows(simhash.similar_documents(docs)))
+    assert got == {i: i - i % 10 if i < 100 else i for i in range(108)}
+    assert len(sizes) > 1 and any(n for _, n in sizes)  # several turns, and lists that are settled
+    assert sizes[-1][0] < sizes[0][0] and not sizes[-1][1]
+
+
 def test_simhash_on_odd_rows(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

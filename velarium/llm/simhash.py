@@ -386,15 +386,18 @@ def similar_links(marked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     for turn in range(ROUNDS + 1):
         cur = written(gathered(live.join(components(links), "node", "left").select("token", "node", "size", "pos", F.coalesce("component", "node").alias("c")), rows))
         mixed = written(gathered(cur.groupBy("token").agg(F.count_distinct("c").alias("n"), F.min_by(F.struct("node", "size", "pos", "c"), F.xxhash64("node", "token", F.lit(turn))).alias("p")).where("n > 1"), rows))
+        # a list in one component stays in one, so later turns carry the others' rows alone
+        rest = written(gathered(cur.join(mixed.select("token"), "token", "left_semi"), rows))
         if settled or turn == ROUNDS or mixed.where(F.col("n") > BUCKET).isEmpty():
-            return links.unionByName(verified(pairs(cur.join(mixed.select("token"), "token", "left_semi")), sets))
-        tried = side(cur, "a").join(side(mixed.select("token", "p.*"), "b"), "token").where(f"ca <> cb AND {may}")
+            return links.unionByName(verified(pairs(rest), sets))
+        tried = side(rest, "a").join(side(mixed.select("token", "p.*"), "b"), "token").where(f"ca <> cb AND {may}")
         some = tried.groupBy("a").agg(F.min_by("b", F.xxhash64("token", F.lit(turn))).alias("b"))
         new = written(verified(some, sets))
         settled = new.isEmpty()  # tries that link nothing any more end the turns
         before, links = links, written(links.unionByName(new))
-        for old in (before, cur, mixed, new):
+        for old in (before, live, cur, mixed, new):
             discard(old)
+        live = rest
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = STAGE_WORDS) -> DataFrame:

@@ -351,3 +351,35 @@ def test_cycle_pairs_of_many_walks_equal_brute_force(spark):
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", limit)
     assert got == want and len({d for d in want.values()}) == 5
+
+
+@pytest.mark.parametrize("chunk, tile", [(256, 2048), (2, 5), (1, 1)])
+def test_scored_pairs_equal_scores_of_all_pairs(spark, chunk, tile):
+    rng = random.Random(43)
+    names = ["aab, x", "abc, x", "ABC, x", "ring, 🙂", "ring, 🙃", "", None, "blue, ring"]
+    rows = [(i if i % 17 else None, rng.choice(names), rng.choice([1900, 1901, 1905, None]), rng.choice(["DE", "FR", None]), rng.choice("ST"), rng.choice(["r", "q", None])) for i in range(150)]
+    rows += rows[:5] + [(1000 + i, "blue, ring", 1900, "DE", "S", "r") for i in range(20)]
+    df = spark.createDataFrame(rows, "ord bigint, name string, birth int, country string, source string, region string").withColumn("keys", F.array("country", "region"))
+    block, columns = ["source", "region"], ["name", "birth", "country", "keys"]
+    want = matching.duplicate_score(matching.blocked_pairs(df, "ord", block, columns)).select("ord_a", "ord_b", "score")
+    got = matching.scored_pairs(df, "ord", block, columns, matching.duplicate_score, chunk, tile)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert matching.scored_pairs(df.limit(0), "ord", block, columns, matching.duplicate_score).count() == 0
+
+
+def test_pair_scores_are_computed_for_kinds_not_for_pairs(spark, tmp_path, monkeypatch):
+    from velarium.plans.registry import QUERIES
+
+    n = 1200
+    part = spark.range(n).selectExpr("id AS p_partkey", "if(id % 2 = 0, 'red bolt', 'blue ring') AS p_name", "'B' AS p_brand", "'T' AS p_type", "1 AS p_size", "1.0D AS p_retailprice")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    score, scored = matching.duplicate_score, []
+
+    def counted(pairs):
+        scored.append(pairs.count())
+        return score(pairs)
+
+    monkeypatch.setattr(matching, "duplicate_score", counted)
+    assert QUERIES["pair_duplicate_score"](spark, str(tmp_path)).count() == n * (n - 1) // 2
+    assert scored[0] < 1000

@@ -40,7 +40,7 @@ def char_overlap(a: Column, b: Column) -> Column:
     short = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     long = F.when(F.length(a) <= F.length(b), b).otherwise(a)
     n = F.length(short)
-    return F.when(n == 0, 0.0).otherwise(F.size(F.filter(F.split(short, ""), lambda c: F.contains(long, c) & (F.length(c) > 0))) / n)
+    return F.when(n == 0, 0.0).otherwise((n - F.length(F.call_function("translate", short, long, F.lit("")))) / n)
 
 
 def _jaro_winkler(a: str, b: str) -> float:

@@ -3,6 +3,8 @@ the caller chooses keys fine enough that a block's pairs stay few."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,39 @@ def blocked_pairs(df: DataFrame, key: str, block: list, columns: list[str]) -> D
     return left.join(right, blocks).where(F.col(f"{key}_a") < F.col(f"{key}_b")).drop(*blocks)
 
 
+#: Members of a kind in one row of scored_pairs, members in a tile, and pairs worth a task.
+CHUNK, TILE, TASK_PAIRS = 256, 2048, 4_000_000
+
+
+def scored_pairs(df: DataFrame, key: str, block: list[str], columns: list[str], score: Callable[[DataFrame], DataFrame], chunk: int = CHUNK, tile: int = TILE) -> DataFrame:
+    """(key_a, key_b, score): the pairs of blocked_pairs, scored by what `score` adds to its columns.
+    Rows that agree in block and columns are of one kind: kinds are paired and scored in both
+    directions, and only then spread to their members. A kind's members stand in chunks, a block's
+    chunks in tiles; a task gets pairs of tiles, so neither a large kind nor a large block is one
+    task's. The number of tasks follows that of the pairs."""
+    rows = df.select(key, *block, *columns).where(" AND ".join(f"`{c}` IS NOT NULL" for c in (key, *block)))
+    rows = rows.withColumn("_kind", F.xxhash64(*block, *columns))  # deals only; equal hashes stay apart below
+    many = rows.groupBy("_kind").agg(F.count("*").alias("_n")).where(F.col("_n") > chunk)
+    part = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(key), F.ceil(F.col("_n") / chunk)))
+    chunks = rows.join(many, "_kind", "left").withColumn("_part", part).groupBy(*block, *columns, "_kind", "_part").agg(F.collect_list(key).alias("_keys"))
+    chunks = chunks.withColumn("_lo", F.array_min("_keys")).withColumn("_hi", F.array_max("_keys"))
+    sizes = rows.groupBy(*block).agg(F.count("*").alias("_n"))
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_n"))).first()[0] or 0.0
+    tasks = int(min(max(1, pairs // 2 // TASK_PAIRS), 100_000))
+    tiled = chunks.join(sizes, block).withColumn("_tiles", F.ceil(F.col("_n") / tile).cast("int"))
+    tiled = tiled.withColumn("_tile", F.pmod(F.xxhash64("_kind", "_part"), F.col("_tiles")).cast("int"))
+    others, kept = F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)), (*columns, "_keys", "_lo", "_hi")
+    cell = [*(f"_b{i}" for i in range(len(block))), "_i", "_j"]
+
+    def side(x: str, own: str, other: str) -> DataFrame:
+        d = tiled.select(*(F.col(c).alias(f"_b{i}") for i, c in enumerate(block)), F.col("_tile").alias(own), others.alias(other), *(F.col(c).alias(f"{c}_{x}") for c in kept))
+        return d.repartition(tasks, *cell)
+
+    scored = score(side("a", "_i", "_j").join(side("b", "_j", "_i"), cell).where("_lo_a < _hi_b")).select("_keys_a", "_keys_b", "score")
+    a, b = f"{key}_a", f"{key}_b"
+    return scored.select(F.explode("_keys_a").alias(a), "_keys_b", "score").select(a, F.explode("_keys_b").alias(b), "score").where(F.col(a) < F.col(b))
+
+
 def fill_only(left: DataFrame, right: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Left join that copies fields only where the left one is null or empty."""
     r = right.select(key, *(F.col(f).alias(f"_r_{f}") for f in fields))

@@ -383,3 +383,39 @@ def test_pair_scores_are_computed_for_kinds_not_for_pairs(spark, tmp_path, monke
     monkeypatch.setattr(matching, "duplicate_score", counted)
     assert QUERIES["pair_duplicate_score"](spark, str(tmp_path)).count() == n * (n - 1) // 2
     assert scored[0] < 1000
+
+
+def test_betweenness_folds_trees_and_equals_brute_force(spark):
+    rng = random.Random(45)
+    pairs = [(i, i // 3) for i in range(3, 60)] + [(rng.randrange(100, 112), rng.randrange(100, 112)) for _ in range(16)] + [(i, rng.randrange(100, i)) for i in range(112, 150)] + [(200, 201), (301, 300), (301, 302)]
+    pairs = [(a, b) for a, b in pairs if a != b]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def walked(s):
+        dist, count, order = {s: 0}, {s: 1}, [s]
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], count[w] = dist[v] + 1, 0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    count[w] += count[v]
+        return dist, count
+
+    walks = {s: walked(s) for s in near}
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        dist, count = walks[s]
+        for t in dist:
+            for v in dist:
+                if s < t and v not in (s, t) and dist[v] + walks[v][0][t] == dist[t]:
+                    want[v] += count[v] * walks[v][1][t] / count[t]
+    e = spark.createDataFrame(pairs, "student bigint, advisor bigint")
+    got = {r["node"]: (r["score"], r["exact"]) for r in lineage.betweenness(e).collect()}
+    assert got == {v: (pytest.approx(x, abs=1e-5), True) for v, x in want.items()}
+    forest = e.where("student < 60 OR student >= 200")  # no edge goes to the tasks, however many there are
+    got = {r["node"]: (r["score"], r["exact"]) for r in lineage.betweenness(forest, most_edges=5, exact_nodes=2).collect()}
+    assert got == {v: (want[v], True) for v in want if v < 60 or v >= 200}

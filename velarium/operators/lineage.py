@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoints
 
-#: Nodes up to which betweenness starts from every node; beyond, from PIVOTS of them.
+#: Nodes outside trees up to which betweenness starts from each; beyond, from PIVOTS of them.
 EXACT_NODES, PIVOTS = 10_000, 256
 
 
@@ -115,27 +115,77 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 100) -> DataFrame
     raise RuntimeError("components did not settle")
 
 
+def fold_leaves(edges: DataFrame, rounds: int = 64) -> tuple[DataFrame, list[DataFrame]]:
+    """(rest, folded): nodes with one neighbour are folded into it, again and again. Rows are (node,
+    deg, other, m, sq): neighbours left, their ids by exclusive or (of a leaf: its neighbour), nodes
+    folded into it with itself, and the sum of squares of its folded branches. folded has one frame
+    for each round; of a forest the rest is one node a tree. A long path leaves some for later."""
+    checkpoints(edges.sparkSession)
+    both = edges.select(F.col("student").alias("node"), F.col("advisor").alias("o")).unionAll(edges.select("advisor", "student")).where("node <> o").distinct()
+    one = F.lit(1).cast("bigint")
+    rest = both.groupBy("node").agg(F.count("*").alias("deg"), F.bit_xor("o").alias("other")).withColumns({"m": one, "sq": one - 1}).checkpoint()
+    folded = []
+    for _ in range(rounds):
+        got = rest.where("deg = 1").groupBy(F.col("other").alias("to")).agg(F.count("*").alias("k"), F.bit_xor("node").alias("x"), F.sum("m").alias("dm"), F.sum(F.col("m") * F.col("m")).alias("ds"))
+        # a leaf that got something is one of two joined to each other only: the smaller stays
+        stays = (F.col("deg") != 1) | (F.col("k").isNotNull() & (F.col("node") < F.col("other")))
+        new = rest.join(got, F.col("node") == F.col("to"), "left").withColumn("stays", stays).checkpoint()
+        gone = new.where("NOT stays").select(*rest.columns)
+        if gone.isEmpty():
+            break
+        folded.append(gone)
+        more = {"deg": F.col("deg") - F.coalesce("k", one - 1), "other": F.col("other").bitwiseXOR(F.coalesce("x", one - 1)), "m": F.col("m") + F.coalesce("dm", one - 1), "sq": F.col("sq") + F.coalesce("ds", one - 1)}
+        rest = new.where("stays").withColumns(more).select(*rest.columns)
+    return rest.checkpoint(), folded
+
+
 def betweenness(edges: DataFrame, most_edges: int = 5_000_000, exact_nodes: int | None = EXACT_NODES) -> DataFrame:
-    """(node, score, exact): shortest-path betweenness, undirected, from every node up to
-    exact_nodes of them (None: always), else scaled from PIVOTS chosen by hash; `exact` says which.
-    Starts are dealt over tasks; the edges go to each, so their number is checked."""
-    spark = edges.sparkSession
-    e = edges.select("student", "advisor").distinct()
+    """(node, score, exact): shortest-path betweenness, undirected. Trees are folded first and
+    counted exactly by the sizes of their branches, as frames. What is left, the core, is walked
+    from every node up to exact_nodes of them (None: always), else scaled from PIVOTS chosen by
+    hash; `exact` says which. Starts are dealt over tasks; the core's edges go to each, so their
+    number is checked."""
+    rest, folded = fold_leaves(edges)
+    core = rest.where("deg > 0")
+    known, part, exact = rest.where("deg = 0").select("node", "m", "sq", F.col("m").alias("n")), None, True
+    if not core.isEmpty():
+        at = [core.select(F.col("node").alias(c)) for c in ("student", "advisor")]
+        e = edges.select(F.least("student", "advisor").alias("student"), F.greatest("student", "advisor").alias("advisor")).where("student <> advisor").distinct().join(at[0], "student", "left_semi").join(at[1], "advisor", "left_semi").checkpoint()
+        of = components(e, "student", "advisor").join(core, "node")
+        whole = of.groupBy("component").agg(F.sum("m").alias("n"))
+        known = known.unionByName(of.join(whole, "component").select("node", "m", "sq", "n").checkpoint())
+        part, exact = _walked(e, core.select("node", "m"), most_edges, exact_nodes)
+    m, n, sq = F.col("m"), F.col("n"), F.col("sq")
+    score = ((m - 1) * (m - 1) - sq) / 2 + (m - 1) * (n - m)
+    known = known.select("node", "n", score.alias("score"))
+    for gone in reversed(folded):  # a folded node's other side is all but its own
+        up = known.select(F.col("node").alias("up"), "n")
+        known = known.unionByName(gone.join(up, F.col("other") == F.col("up")).select("node", "n", score.alias("score")).checkpoint())
+    if part is not None:
+        known = known.join(part, "node", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
+    return known.select("node", F.round(F.col("score").cast("double"), 6).alias("score")).withColumn("exact", F.lit(exact))
+
+
+def _walked(e: DataFrame, masses: DataFrame, most_edges: int, exact_nodes: int | None) -> tuple[DataFrame, bool]:
+    """(node, part) by walks from the nodes of `masses` (node, m), each of which counts m times as an
+    end of paths, and whether from all."""
+    spark = e.sparkSession
     if e.count() > most_edges:
         raise ValueError("too many edges to send to every task")
-    table = e.toPandas()
-    pairs = spark.sparkContext.broadcast((table["student"].to_numpy(), table["advisor"].to_numpy()))
-    nodes = e.select(F.explode(F.array("student", "advisor")).alias("node")).distinct()
-    n = nodes.count()
+    table, mass = e.toPandas(), masses.toPandas()
+    sent = spark.sparkContext.broadcast((table["student"].to_numpy(), table["advisor"].to_numpy(), mass["node"].to_numpy(), mass["m"].to_numpy()))
+    n = len(mass)
     exact = exact_nodes is None or n <= exact_nodes
-    pivots = nodes if exact else nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS)
+    pivots = masses.select("node") if exact else masses.select("node").orderBy(F.xxhash64("node"), "node").limit(PIVOTS)
     scale = 1.0 if exact else n / min(n, PIVOTS)
 
     def work(batches):
+        students, advisors, *weights = (v.tolist() for v in sent.value)
         near: dict[int, list[int]] = {}
-        for x, y in zip(*(v.tolist() for v in pairs.value)):
+        for x, y in zip(students, advisors):
             near.setdefault(x, []).append(y)
             near.setdefault(y, []).append(x)
+        m = dict(zip(*weights))
         total: dict[int, float] = {}
         for b in batches:
             for s in b["node"].tolist():
@@ -151,13 +201,13 @@ def betweenness(edges: DataFrame, most_edges: int = 5_000_000, exact_nodes: int
                 share = dict.fromkeys(order, 0.0)
                 for w in reversed(order):
                     for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
+                        share[v] += paths[v] / paths[w] * (m[w] + share[w])
                     if w != s:
-                        total[w] = total.get(w, 0.0) + share[w]
+                        total[w] = total.get(w, 0.0) + m[s] * share[w]
         yield pd.DataFrame({"node": list(total), "part": list(total.values())})
 
     parts = pivots.repartition("node").mapInPandas(work, "node bigint, part double")
-    return parts.groupBy("node").agg(F.round(F.sum("part") * scale / 2, 6).alias("score")).withColumn("exact", F.lit(exact))
+    return parts.groupBy("node").agg((F.sum("part") * scale / 2).alias("part")), exact
 
 
 def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:

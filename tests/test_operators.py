@@ -385,6 +385,30 @@ def test_pair_scores_are_computed_for_kinds_not_for_pairs(spark, tmp_path, monke
     assert scored[0] < 1000
 
 
+@pytest.mark.parametrize("chunk, tile, values", [(256, 2048, 256), (2, 5, 256), (3, 4, 4)])
+def test_pairs_scored_by_parts_equal_scores_of_all_pairs(spark, monkeypatch, chunk, tile, values):
+    rng = random.Random(44)
+    names = ["aab, x", "abc, x", "ABC, x", "ring, 🙂", "ring, 🙃", "", None, "blue, ring"]
+    rows = [(i if i % 17 else None, rng.choice(names), rng.choice([*range(1900, 1940), None]), rng.choice(["DE", "FR", "IT", None]), rng.choice("ST"), rng.choice(["r", "q", None])) for i in range(400)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "ord bigint, name string, birth int, country string, source string, region string").withColumn("keys", F.array("country", "region"))
+    block, columns = ["source", "region"], ["name", "birth", "country", "keys"]
+    want = matching.duplicate_score(matching.blocked_pairs(df, "ord", block, columns)).select("ord_a", "ord_b", "score")
+    score, scored = matching.duplicate_score, []
+
+    def counted(pairs):
+        scored.append(pairs.count())
+        return score(pairs)
+
+    monkeypatch.setattr(matching, "PART_VALUES", values)  # the last case has more values than that
+    args = "ord", block, columns, counted, chunk, tile, matching.duplicate_parts()
+    got = matching.scored_pairs(df, *args)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert (scored[0] < 200) == (values == 256)  # kinds of all columns are nearly one for each row
+    assert matching.scored_pairs(df.limit(0), *args).count() == 0
+
+
 def test_betweenness_folds_trees_and_equals_brute_force(spark):
     rng = random.Random(45)
     pairs = [(i, i // 3) for i in range(3, 60)] + [(rng.randrange(100, 112), rng.randrange(100, 112)) for _ in range(16)] + [(i, rng.randrange(100, i)) for i in range(112, 150)] + [(200, 201), (301, 300), (301, 302)]

@@ -118,7 +118,7 @@ def lookup_cascade(spark, sf):
 )
 def pair_duplicate_score(spark, sf):
     e = V.entries(spark, sf).select("ord", F.col("latin").alias("name"), "birth", "country", "source", "region", F.array("country", "region").alias("keys"))
-    return matching.scored_pairs(e, "ord", ["source", "region"], ["name", "birth", "country", "keys"], matching.duplicate_score)
+    return matching.scored_pairs(e, "ord", ["source", "region"], ["name", "birth", "country", "keys"], matching.duplicate_score, parts=matching.duplicate_parts())
 
 
 @query("suppression_anti", f"WITH {V.ENTRIES_SQL} SELECT ord, CASE WHEN advisor % 11 = 0 THEN NULL ELSE advisor END AS advisor FROM entries WHERE ord % 11 <> 0")
